@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.functions import values as V
+from evidentia.session import computed_once
 
 WINDOW_LINES = 40
 WINDOW_OVERLAP = 5
@@ -31,7 +32,7 @@ def window_starts(n: Column) -> Column:
 
 def line_windows(files: DataFrame) -> DataFrame:
     """Overlapping windows of (repo, file, content); end line is the window's, not the cut's."""
-    with_lines = files.withColumn("_lines", tx.lines_of(F.left(F.col("content"), F.lit(MAX_FILE_CHARS))))
+    with_lines = computed_once(files, _lines=tx.lines_of(F.left(F.col("content"), F.lit(MAX_FILE_CHARS))))
     win = with_lines.select(
         "repo", "file", "_lines", F.explode(window_starts(F.size("_lines"))).alias("_start")
     )

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from evidentia.plans.registry import ORACLES, QUERIES
 
-MODULES = ["search"]
+MODULES = ["search", "code"]
 
 
 def _load() -> None:

@@ -58,3 +58,65 @@ def run_vocabulary(spark: SparkSession, sf_dir: str, run_pattern: str) -> DataFr
             lexical.line_runs(doc_files(spark, sf_dir), run_pattern).select("run").distinct(), "runs"
         ),
     )
+
+
+# ------------------------------------------------------------------ source code
+def _capital(word, default: str):
+    w = F.coalesce(word, F.lit(default))
+    return F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1_000_000)))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one source file of the repository named by its source.
+
+    The words of the document name the types and methods, and each of its lines
+    becomes a statement, so the code grows with the text.
+    """
+    docs = spread(table(spark, sf_dir, "documents"))
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0)
+    named = docs.select(
+        "doc_id", "source", tx.lines_of(F.col("text")).alias("body"),
+        F.concat(_capital(F.get(found, F.lit(0)), "alpha"), F.lit("Service")).alias("cls"),
+        F.concat(_capital(F.get(found, F.lit(1)), "beta"), F.lit("Repository")).alias("dep"),
+        F.concat(F.lit("find"), _capital(F.get(found, F.lit(2)), "gamma")).alias("method"),
+    )
+
+    def t(*parts):
+        return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+
+    head = F.array(
+        t("package com.acme.", F.col("source"), ";"), t(""), t("import java.util.List;"),
+        t("import com.acme.store.", F.col("dep"), ";"), t(""), t("@Service"),
+        t("public class ", F.col("cls"), " {"),
+        t("    private final ", F.col("dep"), " repo;"), t(""),
+        t("    public ", F.col("cls"), "(", F.col("dep"), " repo) {"), t("        this.repo = repo;"), t("    }"),
+        t(""), t("    @Transactional"), t("    public List<String> ", F.col("method"), "(String key) {"),
+        t('        String open = "{ not a brace";'), t("        /* block { comment"), t("           } */"),
+        t("        // line } comment"),
+    )
+    statements = F.transform(
+        "body", lambda x: F.concat(F.lit('        text.add("'), F.regexp_replace(x, "[^A-Za-z0-9 ]", ""), F.lit('");'))
+    )
+    tail = F.array(t("        return repo.load(key);"), t("    }"), t("}"))
+    return named.select(
+        F.col("source").alias("repo"),
+        F.concat(F.lit("src/main/java/com/acme/"), "source", F.lit("/D"), F.lpad(F.col("doc_id").cast("string"), 9, "0"),
+                 F.lit(".java")).alias("file"),
+        F.concat(F.array_join(F.concat(head, statements, tail), "\n"), F.lit("\n")).alias("content"),
+        "doc_id", "cls", "dep", "method", F.size("body").cast("bigint").alias("n_body"),
+    )
+
+
+def symbol_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as symbol lookups: (query_id, repo, symbol, symbol_no)."""
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0)
+    symbols = F.array(
+        F.concat(_capital(F.get(found, F.lit(0)), "alpha"), F.lit("Service")),
+        F.concat(F.lit("find"), _capital(F.get(found, F.lit(1)), "beta")),
+        F.lit("Transactional"),
+    )
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("repo"),
+        F.posexplode(symbols).alias("symbol_no", "symbol"),
+    )

@@ -94,7 +94,7 @@ def fn_language(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.language_of(f).alias("language"))
 
 
-@query("pl_chunk_corpus_", f"""WITH {S.CHUNK_TOKENS}
+@query("pl_chunk_corpus", f"""WITH {S.CHUNK_TOKENS}
 SELECT c.chunk_id, c.repo, c.file, 'yaml' AS language, 'config_block' AS chunk_type, c.start_line, c.end_line,
        md5(c.content) AS digest, coalesce(string_agg(t.token, ' ' ORDER BY t.tok_no), '') AS tokens
 FROM chunks c LEFT JOIN chunk_tokens t USING (chunk_id) GROUP BY ALL""")

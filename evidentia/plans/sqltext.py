@@ -120,3 +120,95 @@ lex_top AS (
   SELECT *, left(sha256(file || ':file_window::' || start_line || ':' || end_line), 16) AS chunk_id,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, start_line) AS rank
   FROM lex_files QUALIFY rank <= 10)"""
+
+
+def capital(word: str, default: str) -> str:
+    w = f"coalesce({word}, '{default}')"
+    return f"(upper({w}[1]) || lower({w}[2:]))"
+
+
+_FOUND = "regexp_extract_all(text, '[A-Za-z]{3,}')"
+
+# Documents as source files; ``n`` statements between fixed first and last lines.
+CODE = f"""
+code_base AS (
+  SELECT doc_id, source AS repo, {lines('text')} AS body,
+         'src/main/java/com/acme/' || source || '/D' || lpad(doc_id::VARCHAR, 9, '0') || '.java' AS file,
+         {capital(_FOUND + '[1]', 'alpha')} || 'Service' AS cls,
+         {capital(_FOUND + '[2]', 'beta')} || 'Repository' AS dep,
+         'find' || {capital(_FOUND + '[3]', 'gamma')} AS method
+  FROM documents),
+code_clean AS (
+  SELECT *, len(body) AS n, list_transform(body, lambda x: regexp_replace(x, '[^A-Za-z0-9 ]', '', 'g')) AS stm
+  FROM code_base),
+code AS (
+  SELECT *, list_concat(
+    ['package com.acme.' || repo || ';', '', 'import java.util.List;', 'import com.acme.store.' || dep || ';', '',
+     '@Service', 'public class ' || cls || ' {{', '    private final ' || dep || ' repo;', '',
+     '    public ' || cls || '(' || dep || ' repo) {{', '        this.repo = repo;', '    }}', '', '    @Transactional',
+     '    public List<String> ' || method || '(String key) {{', '        String open = "{{ not a brace";',
+     '        /* block {{ comment', '           }} */', '        // line }} comment'],
+    list_transform(stm, lambda x: '        text.add("' || x || '");'),
+    ['        return repo.load(key);', '    }}', '}}']) AS ls
+  FROM code_clean),
+decls AS (
+  SELECT repo, file, doc_id, ls, 'class' AS kind, cls AS name, 7 AS decl_line, 5 AS start_line, n + 22 AS end_line FROM code
+  UNION ALL SELECT repo, file, doc_id, ls, 'constructor', cls, 10, 9, 12 FROM code
+  UNION ALL SELECT repo, file, doc_id, ls, 'method', method, 15, 13, n + 21 FROM code)"""
+
+SYMBOL_ROWS = """
+symbol_rows AS (
+  SELECT repo, file, n, 7 AS line, 'class' AS kind, cls AS name, n + 22 AS block_end FROM code
+  UNION ALL SELECT repo, file, n, 6, 'annotation', 'Service', least(n + 22, 36) FROM code
+  UNION ALL SELECT repo, file, n, 14, 'annotation', 'Transactional', least(n + 22, 44) FROM code
+  UNION ALL SELECT repo, file, n, 15, 'method', method, n + 21 FROM code)"""
+
+SYMBOL_QUERIES = f"""
+symbol_queries AS (
+  SELECT item_id AS query_id, 'src' || (item_id % 20) AS repo,
+         unnest([{capital(_FOUND + '[1]', 'alpha')} || 'Service', 'find' || {capital(_FOUND + '[2]', 'beta')},
+                 'Transactional']) AS symbol,
+         unnest([0, 1, 2]) AS symbol_no
+  FROM benchmark)"""
+
+# Chunks of the declarations: long blocks become windows of at most 60 lines and
+# 4000 characters; a file with an unbreakable line becomes plain windows.
+DECL_CHUNKS = CODE + """,
+code_cum AS (
+  SELECT *, list_concat([0], list_transform(range(1, len(ls) + 1),
+            lambda i: list_sum(list_transform(ls[1:i], lambda x: length(x)))))::BIGINT[] AS cum FROM decls),
+spans AS (
+  SELECT *, start_line - 1 AS s, end_line - 1 AS e,
+         (end_line - start_line + 1 > 60) OR (cum[end_line + 1] - cum[start_line] + end_line - start_line > 4000) AS is_long
+  FROM code_cum),
+wins AS (
+  SELECT repo, file, kind, name, ls, cum, e AS fin, 0 AS w, s AS cur, least(s + 59, e) AS last FROM spans WHERE is_long
+  UNION ALL
+  SELECT repo, file, kind, name, ls, cum, fin, w + 1, nxt, least(nxt + 59, fin) FROM (
+    SELECT *, CASE WHEN we - 4 <= cur THEN we + 1 ELSE we - 4 END AS nxt FROM (
+      SELECT *, CASE WHEN cum[last + 2] - cum[cur + 1] + last - cur <= 4000 THEN last
+        ELSE coalesce(list_max(list_filter(range(cur, last),
+             lambda k: cum[k + 2] - cum[cur + 1] + k - cur BETWEEN 1 AND 3999)), last) END AS we FROM wins)
+    WHERE we < fin)),
+wins_end AS (
+  SELECT *, CASE WHEN cum[last + 2] - cum[cur + 1] + last - cur <= 4000 THEN last
+        ELSE coalesce(list_max(list_filter(range(cur, last),
+             lambda k: cum[k + 2] - cum[cur + 1] + k - cur BETWEEN 1 AND 3999)), last) END AS we FROM wins),
+pieces AS (
+  SELECT repo, file, kind AS chunk_type, name AS symbol_name, name AS id_symbol, start_line, end_line,
+         array_to_string(ls[start_line:end_line], chr(10)) AS content FROM spans WHERE NOT is_long
+  UNION ALL
+  SELECT repo, file, kind, name, name || '_w' || w, cur + 1, we + 1, array_to_string(ls[cur+1 : we+1], chr(10)) FROM wins_end),
+bad_files AS (SELECT DISTINCT file FROM pieces WHERE length(content) > 4000),
+plain_starts AS (
+  SELECT repo, file, ls, unnest(range(0, greatest(ceil((len(ls) - 40) / 35.0) * 35, 0)::BIGINT + 1, 35)) AS st
+  FROM code WHERE file IN (SELECT file FROM bad_files)),
+plain AS (
+  SELECT repo, file, 'file_window' AS chunk_type, NULL AS symbol_name, '' AS id_symbol, st + 1 AS start_line,
+         least(st + 40, len(ls)) AS end_line, array_to_string(ls[st+1 : st+40], chr(10)) AS body FROM plain_starts),
+decl_chunks AS (
+  SELECT * FROM pieces WHERE file NOT IN (SELECT file FROM bad_files)
+  UNION ALL
+  SELECT repo, file, chunk_type, symbol_name, id_symbol, start_line, end_line,
+         CASE WHEN length(body) > 4000 THEN regexp_replace(left(body, 4000), '(?s)^(.+)\\n[^\\n]*$', '\\1') ELSE body END
+  FROM plain)"""

@@ -79,3 +79,14 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def computed_once(df: DataFrame, **columns) -> DataFrame:
+    """Adds columns that later expressions use many times.
+
+    The optimizer may copy an expression into each of its uses, and inside a
+    lambda it would then run once per element.  A one-row generator keeps the
+    value computed, with no shuffle.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
