@@ -25,6 +25,15 @@ def words(*items: str) -> Column:
     return F.array(*[F.lit(i) for i in items])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once although ``body`` uses it many times.
+
+    Inside lambdas equal sub-expressions are not shared, so a value that several
+    others build on is bound as the element of a one-element array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # ---------------------------------------------------------------------- lines
 def lines_of(text: Column) -> Column:
     """Lines without their ends; a final empty line does not count."""

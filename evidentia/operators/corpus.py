@@ -76,3 +76,26 @@ def chunk_corpus(files: DataFrame) -> DataFrame:
 def window_corpus(files: DataFrame) -> DataFrame:
     """Chunks of non-code files only; no code branch in the plan."""
     return finish_chunks(line_windows(files))
+
+
+def line_slice(files: DataFrame, content: Column, start: Column, end: Column, max_lines: int = 60) -> DataFrame:
+    """A bounded excerpt: 0-based ``start`` up to ``end``, at most 60 lines and 4000 characters.
+
+    Out-of-range bounds fall back to the ends of the text.
+    """
+    df = computed_once(files, _lines=tx.lines_of(content))
+    total = F.size("_lines")
+    s = F.least(F.greatest(start, F.lit(0)), total).cast("int")
+    e = F.when((end < 0) | (end > total), total).otherwise(end).cast("int")
+    asked = F.greatest(e - s, F.lit(0))
+    got = F.least(asked, F.lit(max_lines))
+    df = computed_once(df, _s=s, _asked=asked, _got=got)
+    df = computed_once(df, _body=F.array_join(F.slice("_lines", F.col("_s") + 1, F.col("_got")), "\n"))
+    return df.select(
+        *files.columns,
+        total.cast("bigint").alias("total_lines"),
+        (F.col("_s") + 1).cast("bigint").alias("first_line"),
+        (F.col("_s") + F.col("_got")).cast("bigint").alias("last_line"),
+        ((F.col("_asked") > max_lines) | (F.length("_body") > tx.MAX_CONTENT_CHARS)).alias("truncated"),
+        tx.cut_at_line(F.col("_body")).alias("body"),
+    )

@@ -361,19 +361,26 @@ def qualified_symbols(source: Column) -> Column:
 
 def type_symbols(source: Column) -> Column:
     """struct<confident, uncertain, qualified>: capitalised names used by a piece of code."""
-    code = strip_code(without_imports(source))
-    known = F.array_union(tx.words(*V.JAVA_KEYWORDS, *V.JAVA_LANG_TYPES), _all(code, _QUALIFIED))
-    sure = F.concat(
-        _all(code, _ANNOTATION), _all(code, _DECLARED), _all(code, _DECLARED_ANNOTATION),
-        *[_all(code, p) for p in _TYPE_CONTEXTS],
-    )
-    confident = F.array_except(sure, known)
-    named = F.array_except(_all(code, _CAPITALISED, 0), _all(code, _AFTER_DOT))
-    return F.struct(
-        F.array_sort(confident).alias("confident"),
-        F.array_sort(F.array_except(F.array_except(named, sure), known)).alias("uncertain"),
-        F.array_sort(qualified_symbols(source)).alias("qualified"),
-    )
+
+    def named(code: Column) -> Column:
+        sure = F.concat(
+            _all(code, _ANNOTATION), _all(code, _DECLARED), _all(code, _DECLARED_ANNOTATION),
+            *[_all(code, p) for p in _TYPE_CONTEXTS],
+        )
+        return F.struct(
+            sure.alias("sure"),
+            F.array_except(_all(code, _CAPITALISED, 0), _all(code, _AFTER_DOT)).alias("named"),
+            F.array_union(tx.words(*V.JAVA_KEYWORDS, *V.JAVA_LANG_TYPES), _all(code, _QUALIFIED)).alias("known"),
+        )
+
+    def sort(x: Column) -> Column:
+        return F.struct(
+            F.array_sort(F.array_except(x["sure"], x["known"])).alias("confident"),
+            F.array_sort(F.array_except(F.array_except(x["named"], x["sure"]), x["known"])).alias("uncertain"),
+            F.array_sort(qualified_symbols(source)).alias("qualified"),
+        )
+
+    return tx.let(tx.let(strip_code(without_imports(source)), named), sort)
 
 
 def import_check(existing: Column, proposed: Column, changes: Column) -> Column:
@@ -384,38 +391,53 @@ def import_check(existing: Column, proposed: Column, changes: Column) -> Column:
     """
     empty = F.array().cast("array<string>")
 
-    def added(field: str) -> Column:
-        return F.flatten(
-            F.transform(changes, lambda c: F.array_except(
-                type_symbols(c["new_code"])[field], type_symbols(c["old_code"])[field]))
+    def stripped(code: Column) -> Column:
+        return F.regexp_replace(strip_code(code), r"^\s+|\s+$", "")
+
+    def added(c: Column) -> Column:
+        def gain(n: Column, o: Column) -> Column:
+            return F.struct(*[F.array_except(n[f], o[f]).alias(f) for f in ("confident", "uncertain", "qualified")],
+                            changed.alias("changed"))
+
+        changed = (stripped(c["new_code"]) != stripped(c["old_code"])) & ~(
+            is_import_only(c["new_code"]) | c["new_code"].rlike(r"^\s*$")
         )
+        pair = F.struct(type_symbols(c["new_code"]).alias("n"), type_symbols(c["old_code"]).alias("o"))
+        return tx.let(pair, lambda x: gain(x["n"], x["o"]))
 
-    sure, unsure, qualified = added("confident"), added("uncertain"), added("qualified")
-    introduced = F.array_sort(F.array_distinct(F.concat(sure, unsure, qualified)))
-    known = F.concat(
-        simple_imports(proposed), declared_symbols(proposed), tx.words(*V.JAVA_LANG_TYPES),
-        qualified_symbols(proposed), qualified,
-    )
-    resolved = F.array_intersect(introduced, known)
-    unresolved = F.array_sort(F.array_except(sure, resolved))
-    open_unsure = F.array_except(unsure, resolved)
-    is_java = existing.rlike(_JAVA_MARKER) | proposed.rlike(_JAVA_MARKER)
-    code_changed = F.exists(
-        changes,
-        lambda c: (F.regexp_replace(strip_code(c["new_code"]), r"^\s+|\s+$", "")
-                   != F.regexp_replace(strip_code(c["old_code"]), r"^\s+|\s+$", ""))
-        & ~(is_import_only(c["new_code"]) | c["new_code"].rlike(r"^\s*$")),
-    )
-    status = (
-        F.when(~is_java, "unknown")
-        .when(F.size(introduced) == 0, F.when(code_changed, "unknown").otherwise("pass"))
-        .when(F.size(unresolved) > 0, "fail")
-        .when(F.size(open_unsure) > 0, "unknown")
-        .otherwise("pass")
-    )
-    return F.struct(
-        F.when(is_java, introduced).otherwise(empty).alias("introduced"),
-        F.when(is_java, resolved).otherwise(empty).alias("resolved"),
-        F.when(is_java, unresolved).otherwise(empty).alias("unresolved"),
-        status.alias("status"),
-    )
+    def collect(adds: Column) -> Column:
+        return F.struct(
+            F.flatten(adds["confident"]).alias("sure"), F.flatten(adds["uncertain"]).alias("unsure"),
+            F.flatten(adds["qualified"]).alias("qualified"), F.exists(adds, lambda a: a["changed"]).alias("changed"),
+            (existing.rlike(_JAVA_MARKER) | proposed.rlike(_JAVA_MARKER)).alias("is_java"),
+        )
+
+    def resolve(g: Column) -> Column:
+        introduced = F.array_sort(F.array_distinct(F.concat(g["sure"], g["unsure"], g["qualified"])))
+        known = F.concat(
+            simple_imports(proposed), declared_symbols(proposed), tx.words(*V.JAVA_LANG_TYPES),
+            qualified_symbols(proposed), g["qualified"],
+        )
+        # the file's own names matter only when an edit brings new ones
+        resolved = F.when(F.size(introduced) > 0, F.array_intersect(introduced, known)).otherwise(empty)
+        return F.struct(g.alias("g"), introduced.alias("introduced"), resolved.alias("resolved"))
+
+    def verdict(r: Column) -> Column:
+        g = r["g"]
+        unresolved = F.array_sort(F.array_except(g["sure"], r["resolved"]))
+        status = (
+            F.when(~g["is_java"], "unknown")
+            .when(F.size(r["introduced"]) == 0, F.when(g["changed"], "unknown").otherwise("pass"))
+            .when(F.size(unresolved) > 0, "fail")
+            .when(F.size(F.array_except(g["unsure"], r["resolved"])) > 0, "unknown")
+            .otherwise("pass")
+        )
+        return F.struct(
+            F.when(g["is_java"], r["introduced"]).otherwise(empty).alias("introduced"),
+            F.when(g["is_java"], r["resolved"]).otherwise(empty).alias("resolved"),
+            F.when(g["is_java"], unresolved).otherwise(empty).alias("unresolved"),
+            status.alias("status"),
+        )
+
+    adds = F.transform(changes, added)
+    return tx.let(tx.let(tx.let(adds, collect), resolve), verdict)

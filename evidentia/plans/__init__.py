@@ -6,7 +6,7 @@ from importlib import import_module
 
 from evidentia.plans.registry import ORACLES, QUERIES
 
-MODULES = ["search", "code"]
+MODULES = ["search", "code", "repair"]
 
 
 def _load() -> None:

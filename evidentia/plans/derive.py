@@ -120,3 +120,86 @@ def symbol_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("repo"),
         F.posexplode(symbols).alias("symbol_no", "symbol"),
     )
+
+
+# --------------------------------------------------------------- ranges and edits
+def case_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three retrieved ranges per document: (case_id, file, rank, start_line, end_line)."""
+    d = spread(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").alias("case_id"),
+        F.concat(F.lit("docs/d"), F.col("doc_id").cast("string")).alias("file"),
+        F.size(tx.lines_of(F.col("text"))).cast("bigint").alias("n"),
+        F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(3)])).alias("k"),
+    ).where("n > 0")
+    start = (F.col("case_id") * 7 + F.col("k") * 11) % F.col("n") + 1
+    return d.select("case_id", "file", (F.col("k") + 1).alias("rank"), start.alias("start_line"),
+                    F.least(start + 5 + F.col("k") * 3, F.col("n")).alias("end_line"))
+
+
+def case_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six evidence references per document; some inverted, some to another file."""
+    d = spread(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").alias("case_id"),
+        F.size(tx.lines_of(F.col("text"))).cast("bigint").alias("n"),
+        F.explode(F.array(*[F.lit(j).cast("bigint") for j in range(6)])).alias("j"),
+    ).where("n > 0")
+    start = (F.col("case_id") * 5 + F.col("j") * 9) % F.col("n") + 1
+    return d.select(
+        "case_id", (F.col("j") % 3).alias("candidate_index"), F.col("j").alias("evidence_index"),
+        F.when(F.col("j") == 5, "docs/none").otherwise(F.concat(F.lit("docs/d"), F.col("case_id").cast("string")))
+        .alias("file"),
+        start.alias("start_line"),
+        (start + F.col("j") * 2 - F.when(F.col("j") == 4, 10).otherwise(0)).alias("end_line"),
+    )
+
+
+def code_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files as case files."""
+    return code_files(spark, sf_dir).withColumn("case_id", F.col("doc_id"))
+
+
+def code_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two validated ranges per source file."""
+    pair = F.array(*[F.struct(F.lit(a).cast("bigint").alias("start_line"), F.lit(b).cast("bigint").alias("end_line"))
+                     for a, b in ((8, 11), (18, 25))])
+    return code_cases(spark, sf_dir).select("case_id", "file", F.explode(pair).alias("r")).select(
+        "case_id", "file", "r.*")
+
+
+def proposed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten edits per source file, one for each way an edit can fare."""
+    c = code_cases(spark, sf_dir).select(
+        "case_id", "file", "content", F.slice(F.split("content", "\n"), 1, 25).alias("ls")
+    )
+
+    def line(i):
+        return F.get(F.col("ls"), F.lit(i - 1))
+
+    three = F.col("case_id") % 3
+    helper = F.lit("        text.add(TextHelper.of(key));")
+    plain = F.lit("        text.add(key);")
+    first = F.when(three == 1, plain).otherwise(helper)
+    five = F.col("case_id") % 5 == 0
+    rows = [
+        (0, F.col("file"), 20, 20, line(20), first, F.lit(True)),
+        (1, F.col("file"), 3, 3, line(3), F.lit("import java.util.List;\nimport com.acme.util.TextHelper;"), three != 2),
+        (2, F.col("file"), 20, 21, F.concat(line(20), F.lit("\n"), line(21)), F.lit("        text.clear();"), None),
+        (3, F.col("file"), 8, 8, F.lit("wrong"), plain, None),
+        (4, F.col("file"), 11, 11, line(11), F.when(five, F.lit("        System.exit(1);")).otherwise(line(11)), None),
+        (5, F.lit("src/test/java/T.java"), 1, 1, F.lit("x"), F.lit("y"), None),
+        (6, F.col("file"), 20, 1_000_000, line(20), plain, None),
+        (7, F.col("file"), 20, 20, line(20), plain, None),
+        (8, F.lit("src/main/java/Other.java"), 1, 1, F.lit("x"), F.lit("y"), None),
+        (9, F.col("file"), 1, 1, line(1), F.lit("package com.acme.other;"), None),
+    ]
+    more = F.col("case_id") % 4 != 0
+    made = F.array_compact(F.array(*[
+        F.when(more if cond is None else cond, F.struct(
+            F.lit(i).cast("bigint").alias("edit_index"), f.alias("file"), F.lit(s).cast("bigint").alias("start_line"),
+            F.lit(e).cast("bigint").alias("end_line"), old.alias("old_code"), new.alias("new_code")))
+        for i, f, s, e, old, new, cond in rows
+    ]))
+    return c.select(
+        "case_id", F.when(F.col("case_id") % 7 == 0, "insufficient_evidence").otherwise("proposed").alias("proposal_status"),
+        F.explode(made).alias("e"),
+    ).select("case_id", "proposal_status", "e.*")

@@ -212,3 +212,37 @@ decl_chunks AS (
   SELECT repo, file, chunk_type, symbol_name, id_symbol, start_line, end_line,
          CASE WHEN length(body) > 4000 THEN regexp_replace(left(body, 4000), '(?s)^(.+)\\n[^\\n]*$', '\\1') ELSE body END
   FROM plain)"""
+
+CASES = f"""
+doc_n AS (
+  SELECT doc_id AS case_id, 'docs/d' || doc_id AS file, text, len(ls) AS n
+  FROM (SELECT doc_id, text, {lines('text')} AS ls FROM documents) WHERE len(ls) > 0),
+snippets AS (
+  SELECT case_id, file, k + 1 AS rank, (case_id * 7 + k * 11) % n + 1 AS start_line,
+         least((case_id * 7 + k * 11) % n + 1 + 5 + k * 3, n) AS end_line
+  FROM doc_n, range(3) t(k)),
+refs AS (
+  SELECT case_id, j % 3 AS candidate_index, j AS evidence_index,
+         CASE WHEN j = 5 THEN 'docs/none' ELSE file END AS file, (case_id * 5 + j * 9) % n + 1 AS start_line,
+         (case_id * 5 + j * 9) % n + 1 + j * 2 - CASE WHEN j = 4 THEN 10 ELSE 0 END AS end_line
+  FROM doc_n, range(6) t(j))"""
+
+# What becomes of each derived edit, by construction.
+VERDICTS = CODE + """,
+edit_rows AS (
+  SELECT doc_id AS case_id, file, i AS edit_index, doc_id % 7 = 0 AS idle, doc_id % 3 AS three, doc_id % 5 = 0 AS five
+  FROM code, range(10) t(i)
+  WHERE (i = 0) OR (i = 1 AND doc_id % 3 <> 2) OR (i > 1 AND doc_id % 4 <> 0)),
+verdicts AS (
+  SELECT case_id, edit_index,
+    CASE edit_index WHEN 5 THEN 'src/test/java/T.java' WHEN 8 THEN 'src/main/java/Other.java' ELSE file END AS file,
+    CASE WHEN edit_index = 5 THEN 'path_not_allowed' WHEN idle THEN 'proposal_not_proposed' ELSE
+      CASE edit_index
+        WHEN 0 THEN CASE WHEN three = 2 THEN 'missing_required_import' END
+        WHEN 1 THEN CASE WHEN three = 1 THEN 'unrelated_import' END
+        WHEN 2 THEN 'conflicting_edit' WHEN 3 THEN 'old_code_mismatch'
+        WHEN 4 THEN CASE WHEN five THEN 'dangerous_new_code' ELSE 'empty_or_unchanged_edit' END
+        WHEN 6 THEN 'line_range_invalid' WHEN 7 THEN 'duplicate_edit' WHEN 8 THEN 'file_not_in_validated_evidence'
+        WHEN 9 THEN 'line_range_outside_evidence' END END AS reason,
+    CASE WHEN edit_index = 0 AND three = 2 AND NOT idle THEN 'TextHelper' END AS symbol
+  FROM edit_rows)"""
