@@ -203,3 +203,22 @@ def proposed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case_id", F.when(F.col("case_id") % 7 == 0, "insufficient_evidence").otherwise("proposed").alias("proposal_status"),
         F.explode(made).alias("e"),
     ).select("case_id", "proposal_status", "e.*")
+
+
+# -------------------------------------------------------------------- gold files
+SENTENCE = r"[.\n]+\s*"
+
+
+def expected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, file): documents that share a sentence of 30 or more characters with an item."""
+    def sentences(df, key):
+        return df.select(key, F.explode(F.array_distinct(F.split("text", SENTENCE))).alias("s")).where(F.length("s") >= 30)
+
+    docs = sentences(spread(table(spark, sf_dir, "documents")), "doc_id")
+    items = sentences(table(spark, sf_dir, "benchmark"), "item_id")
+    from evidentia.session import broadcast_if_small
+
+    return docs.join(broadcast_if_small(items), "s").select(
+        F.col("item_id").alias("query_id"),
+        F.concat(F.lit("docs/d"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".yml")).alias("file"),
+    ).distinct()

@@ -246,3 +246,34 @@ verdicts AS (
         WHEN 9 THEN 'line_range_outside_evidence' END END AS reason,
     CASE WHEN edit_index = 0 AND three = 2 AND NOT idle THEN 'TextHelper' END AS symbol
   FROM edit_rows)"""
+
+EXPECTED = r"""
+expected AS (
+  SELECT DISTINCT i.item_id AS query_id, 'docs/d' || lpad(d.doc_id::VARCHAR, 9, '0') || '.yml' AS file
+  FROM (SELECT doc_id, unnest(string_split_regex(text, '[.\n]+\s*')) AS s FROM documents) d
+  JOIN (SELECT item_id, unnest(string_split_regex(text, '[.\n]+\s*')) AS s FROM benchmark) i USING (s)
+  WHERE length(s) >= 30)"""
+
+
+def merged(source: str, name: str) -> str:
+    """Fold of the fused hits of each (query, file) into clusters of overlapping ranges."""
+    inter = "greatest(0, least(c.e, x[1].e) - greatest(c.s, x[1].s) + 1)"
+    shorter = "(least(c.e - c.s, x[1].e - x[1].s) + 1)"
+    wide = "(x[1].e - x[1].s > c.e - c.s)"
+    return f"""
+{name}_lists AS (
+  SELECT query_id, file, list([struct_pack(k := struct_pack(a := -score, f := file, b := start_line, c := chunk_id),
+      id := chunk_id, s := start_line, e := end_line, score := score, src := string_split(sources, ' '))]
+      ORDER BY score DESC, file, start_line, chunk_id) AS hs FROM {source} GROUP BY 1, 2),
+{name}_fold AS (
+  SELECT query_id, file, unnest(list_reduce(hs, lambda a, x:
+    CASE WHEN list_contains(list_transform(a, lambda c: {inter} / {shorter} >= 0.5), true)
+    THEN list_transform(a, lambda c, i: CASE
+      WHEN i = list_position(list_transform(a, lambda c: {inter} / {shorter} >= 0.5), true)
+      THEN struct_pack(k := c.k, id := CASE WHEN {wide} THEN x[1].id ELSE c.id END,
+             s := CASE WHEN {wide} THEN x[1].s ELSE c.s END, e := CASE WHEN {wide} THEN x[1].e ELSE c.e END,
+             score := greatest(c.score, x[1].score), src := list_concat(c.src, list_filter(x[1].src, lambda z: NOT list_contains(c.src, z))))
+      ELSE c END)
+    ELSE list_concat(a, x) END)) AS h FROM {name}_lists),
+{name} AS (SELECT query_id, file, h.k AS hit_no, h.id AS chunk_id, h.s AS start_line, h.e AS end_line, h.score AS score,
+  array_to_string(h.src, ' ') AS sources FROM {name}_fold)"""
