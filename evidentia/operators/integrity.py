@@ -150,10 +150,14 @@ def novelty(fresh: DataFrame, known: DataFrame, copied: DataFrame, min_families:
 
     families = fresh.groupBy("family").agg(F.count(F.lit(1)).alias("n")).agg(
         F.count(F.lit(1)).alias("families"), F.max("n").alias("largest_family"))
-    row = (
-        shared("tree_sha256").join(shared("description")).join(families)
-        .join(copied.agg(F.count(F.lit(1)).alias("copied")))
+    # four one-row counts are stacked and folded into one row
+    stacked = (
+        shared("tree_sha256")
+        .unionByName(shared("description"), allowMissingColumns=True)
+        .unionByName(families, allowMissingColumns=True)
+        .unionByName(copied.agg(F.count(F.lit(1)).alias("copied")), allowMissingColumns=True)
     )
+    row = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     ok = (
         (F.col("shared_tree_sha256") == 0) & (F.col("shared_description") == 0) & (F.col("copied") == 0)
         & (F.col("families") >= min_families) & (F.col("largest_family") <= max_per_family)

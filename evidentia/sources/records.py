@@ -28,7 +28,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def strict_records(
-    raw: DataFrame, schema: T.StructType, key: str, required: Sequence[str], scope: Sequence[str] = (),
+    raw: DataFrame, schema: str, key: str, required: Sequence[str], scope: Sequence[str] = (),
     rules: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Parses ``raw`` by ``schema`` and names the first error of each record.
@@ -37,6 +37,7 @@ def strict_records(
     ``scope`` are errors; ``rules`` adds more (message -> condition that holds
     for bad rows, written over the column ``rec``).
     """
+    schema = T.StructType.fromDDL(schema)
     parsed = raw.withColumn("rec", F.from_json("raw", schema, {"mode": "PERMISSIVE"}))
     valid = F.try_parse_json("raw").isNotNull() & F.json_object_keys("raw").isNotNull()
     unknown = F.array_except(F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")), tx.words(*schema.names))
@@ -68,13 +69,34 @@ def cardinality_check(records: DataFrame, expected: int, key: Column, *scope: st
 
 
 # --------------------------------------------------------------------- schemas
-CASE = T._parse_datatype_string(
+CASE_SCHEMA = (
     "case_id string, repository string, issue_description string, error_log string, expected_issue_category string, "
     "expected_diagnosis_status string, expected_root_cause_keywords array<string>, keyword_groups array<array<string>>, "
     "expected_files array<string>, expected_symbols array<string>, "
     "evidence_targets array<struct<file:string,start_line:int,end_line:int,required_text:array<string>>>, "
     "expected_maven struct<test_name:string,tests:int,failures:int,errors:int,skipped:int,required_failure_terms:array<string>>"
-) if hasattr(T, "_parse_datatype_string") else None
+)
+CASE_REQUIRED = ["case_id", "repository", "issue_description", "expected_issue_category", "expected_diagnosis_status"]
+GOLD_SCHEMA = (
+    "case_id string, acceptable_files array<string>, acceptable_change_concepts array<string>, forbidden_files array<string>"
+)
+_PATTERNS = "array<struct<anchor_aliases:array<string>,value_aliases:array<string>,max_token_distance:int>>"
+_VARIANTS = (
+    "array<struct<left_aliases:array<string>,relation_aliases:array<string>,right_aliases:array<string>,"
+    "required_value_aliases:array<string>,context_aliases:array<string>,max_token_distance:int,"
+    "value_max_token_distance:int,context_max_token_distance:int>>"
+)
+_RELATIONS = f"array<struct<name:string,variants:{_VARIANTS}>>"
+SPEC_SCHEMA = (
+    "schema_version string, case_id string, "
+    f"required_concepts array<struct<name:string,aliases:array<string>,bounded_patterns:{_PATTERNS}>>, "
+    f"required_relations {_RELATIONS}, forbidden_relations {_RELATIONS}"
+)
+REGRESSION_SCHEMA = (
+    "schema_version string, regression_id string, case_id string, semantic_component_id string, "
+    "bounded_input map<string,string>, expected_v2_0 map<string,string>, expected_v2_1 map<string,string>, "
+    "expected_v2_2 map<string,string>"
+)
 GOLD_FIELDS = ["case_id", "acceptable_files", "acceptable_change_concepts", "forbidden_files"]
 PUBLIC_FIELDS = ["repository", "issue_description", "error_log"]
 
