@@ -9,7 +9,8 @@ from evidentia.operators import jsontext as js
 from evidentia.operators.ranking import split_row_number
 
 STATUSES = ["pending", "running", "completed", "failed"]
-INTERRUPTED_REASON = "interrupted by restart"
+# Fixed value: the recorded reason.
+INTERRUPTED_REASON = "interrupted_by_service_restart"
 
 
 def sequenced(traces: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -56,7 +57,7 @@ def mark_interrupted(tasks: DataFrame, now: Column) -> tuple[DataFrame, DataFram
     })
     recovery = tasks.where(is_open).select(
         "task_id", F.lit("system_recovery").alias("kind"), now.alias("recorded_at"),
-        F.to_json(F.struct(F.lit(INTERRUPTED_REASON).alias("reason"), F.col("status").alias("previous_status"))).alias("payload"),
+        F.to_json(F.struct(F.col("current_node").alias("original_node"), F.lit(INTERRUPTED_REASON).alias("reason")), {"ignoreNullFields": "false"}).alias("payload"),
     )
     return fixed, recovery
 
