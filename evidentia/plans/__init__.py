@@ -6,7 +6,7 @@ from importlib import import_module
 
 from evidentia.plans.registry import ORACLES, QUERIES
 
-MODULES = ["search", "code", "repair", "evaluate", "audit", "textops", "builds", "tasks", "meaning"]
+MODULES = ["search", "code", "repair", "evaluate", "audit", "textops", "builds", "tasks", "meaning", "score"]
 
 
 def _load() -> None:
