@@ -106,7 +106,7 @@ def normal_terms(terms: Column, max_terms: int = MAX_QUERY_TERMS) -> Column:
     stop = words(*V.STOP_WORDS)
     split_terms = F.flatten(
         F.transform(
-            F.filter(F.transform(terms, F.trim), lambda t: t != ""),
+            F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: t != ""),
             lambda t: F.when(F.size(_plain_tokens(t)) > 0, _plain_tokens(t)).otherwise(
                 F.filter(F.array(F.lower(t)), lambda x: F.length(x) >= 2)
             ),

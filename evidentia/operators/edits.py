@@ -12,6 +12,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.functions import text as tx
 from evidentia.functions import values as V
@@ -320,7 +321,7 @@ def passed_edits(verdicts: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- application
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unified_diff(before: pd.Series, after: pd.Series, file: pd.Series) -> pd.Series:
     """a/ b/ unified diff of two texts of one file; empty when nothing changed."""
     out = []

@@ -33,7 +33,7 @@ def build_queries(
         long_names, in_issue, in_log, given(search_terms), given(concepts), given(symbols), given(exceptions),
         given(step_terms), given(step_symbols),
     )
-    raw = F.array_distinct(F.filter(F.transform(raw, F.trim), lambda x: F.length(x) >= 2))
+    raw = F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: F.length(x) >= 2))
     named = F.transform(
         F.filter(given(concepts), lambda c: c.rlike(ANNOTATION_START)), lambda c: F.regexp_extract(c, ANNOTATION_START, 1)
     )

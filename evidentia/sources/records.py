@@ -22,7 +22,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
     Whole small files are split by the reader so that line numbers are exact.
     """
-    whole = spark.read.option("wholetext", True).text(path).withColumn("source", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
     lines = whole.select("source", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_p", "raw"))
     return lines.select("source", (F.col("_p") + 1).cast("bigint").alias("line_no"), "raw").where(~F.col("raw").rlike(r"^\s*$"))
 
