@@ -34,6 +34,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """Blanks off both ends in linear time (a pattern would retry on every inner run)."""
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+
+
 # ---------------------------------------------------------------------- lines
 def lines_of(text: Column) -> Column:
     """Lines without their ends; a final empty line does not count."""
@@ -313,7 +318,7 @@ def shorten(text: Column, limit: int = 200) -> Column:
 
 def bounded_list(items: Column, max_chars: int, max_items: int) -> Column:
     """Trimmed, non-blank, length-bounded elements; the first ``max_items``."""
-    trimmed = F.transform(items, lambda x: F.left(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(max_chars)))
+    trimmed = F.transform(items, lambda x: F.left(strip(x), F.lit(max_chars)))
     return F.slice(F.filter(trimmed, lambda x: x != ""), 1, max_items)
 
 

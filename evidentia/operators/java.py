@@ -392,7 +392,7 @@ def import_check(existing: Column, proposed: Column, changes: Column) -> Column:
     empty = F.array().cast("array<string>")
 
     def stripped(code: Column) -> Column:
-        return F.regexp_replace(strip_code(code), r"^\s+|\s+$", "")
+        return tx.strip(strip_code(code))
 
     def added(c: Column) -> Column:
         def gain(n: Column, o: Column) -> Column:

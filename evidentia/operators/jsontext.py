@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as tx
+
 # Fixed value: a fenced JSON object.
 FENCE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 
 
 def json_blob(text: Column) -> Column:
     """The first fenced object, else the outermost braces, else the trimmed text."""
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    first = F.locate("{", t) if isinstance(t, str) else F.instr(t, "{")
+    t = tx.strip(text)
+    first = F.instr(t, "{")
     last = F.length(t) - F.instr(F.reverse(t), "}") + 1
     outer = F.when((first > 0) & F.contains(t, F.lit("}")) & (last > first), F.substring(t, first, last - first + 1)).otherwise(t)
     fenced = F.regexp_extract(t, FENCE, 1)
