@@ -41,9 +41,9 @@ def classified_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 def normal_query_terms(queries: DataFrame) -> DataFrame:
     """The same shape for queries whose ``terms`` are already normalised."""
-    return queries.select("query_id", "repo", F.explode("terms").alias("term")).select(
+    return queries.select("query_id", "repo", F.posexplode("terms").alias("term_no", "term")).select(
         "query_id", "repo", "term", F.lit("plain").alias("kind"), F.lit(1.0).alias("weight"),
-        F.col("term").alias("needle"),
+        F.col("term").alias("needle"), "term_no",
     ).where(F.length("term").between(2, 64))
 
 
@@ -142,10 +142,43 @@ def file_scores(hits: DataFrame) -> DataFrame:
     )
 
 
+def _normal_file_scores(found: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """Top files for normalised queries, whose at most 50 terms fit the bits of one number.
+
+    A bit set aggregates in Spark's hash aggregate, where collected sets would
+    fall back to sorting every match; the terms are spelled out for the winners.
+    """
+    bit = F.when(F.col("term_no") < 62, F.expr("shiftleft(1L, term_no)")).otherwise(
+        F.raise_error(F.lit("a normalised query holds at most 50 terms")).cast("bigint"))
+    lines = (
+        found.join(broadcast_if_small(terms.withColumn("_bit", bit).select("query_id", "repo", "needle", "weight", "_bit")),
+                   ["repo", "needle"])
+        .groupBy("query_id", "repo", "file", "line_no")
+        .agg(F.sum("weight").alias("score"), F.bit_or("_bit").alias("_bits"))
+    )
+    per_file = (
+        first_matching_lines(lines)
+        .groupBy("query_id", "repo", "file")
+        .agg(F.sum("score").alias("score"), F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"),
+             F.bit_or("_bits").alias("_bits"))
+    )
+    best = top_k(per_file, ["query_id"], [F.desc("score"), F.asc("file"), F.asc("start_line")], k)
+    spelled = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "term_no"))).alias("_terms"))
+    used = F.filter("_terms", lambda t: F.getbit(F.col("_bits"), t["term_no"]) == 1)
+    return best.join(spelled, "query_id").select(
+        "query_id", "repo", "file", "score", "start_line", "end_line",
+        F.transform(used, lambda t: t["term"]).alias("matched_terms"),
+        tx.chunk_id(F.col("file"), F.lit("file_window"), F.lit(None), F.col("start_line"), F.col("end_line")).alias("chunk_id"),
+        "rank",
+    )
+
+
 def lexical_search(
     files: DataFrame, terms: DataFrame, k: int = 10, run_pattern: str = NON_BLANK_RUN,
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``k`` files per query."""
+    if "term_no" in terms.columns:
+        return _normal_file_scores(needle_lines(files, terms, run_pattern, vocabulary), terms, k)
     hits = file_scores(first_matching_lines(scored_lines(files, terms, run_pattern, vocabulary)))
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("file"), F.asc("start_line")], k)
