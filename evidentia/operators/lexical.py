@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as tx
 from evidentia.operators.corpus import numbered_lines
 from evidentia.operators.ranking import top_k
-from evidentia.session import broadcast_if_small, materialize
+from evidentia.session import broadcast_if_light, broadcast_if_small, materialize
 
 NON_BLANK_RUN = r"(?U)\S+"
 NORMAL_RUN = "[a-z0-9]+"
@@ -96,7 +96,7 @@ def needle_lines(
     vocabulary = runs.select("run").distinct() if vocabulary is None else vocabulary
     matches = materialize(run_needles(vocabulary, terms), "run-needles")
     return (
-        runs.join(broadcast_if_small(matches), "run")
+        runs.join(broadcast_if_light(matches, "run", "needle"), "run")
         .select("repo", "file", "line_no", "needle")
         .repartition("repo", "file")
         .distinct()

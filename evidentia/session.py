@@ -65,6 +65,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return df
 
 
+def broadcast_if_light(df: DataFrame, *columns: str, max_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """The same check by size, for stored tables of short strings."""
+    width = sum((F.octet_length(c) for c in columns), F.lit(64))
+    total = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
