@@ -35,7 +35,7 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM keyed JOIN h
 cut AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(words) AS n_words, coalesce(len(js), 0) AS n_removed,
        sha256(array_to_string(CASE WHEN js IS NULL THEN words
-                              ELSE list_filter(words, (x, i) -> NOT list_contains(js, i)) END, ' ')) AS kept_sha256
+                              ELSE list_filter(words, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN cut USING (doc_id)
 """
 
@@ -49,7 +49,7 @@ ORACLES["op4_minhash_near_dedup"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS words FROM documents),
-raw AS (SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), i -> array_to_string(list_slice(words, i, i + 4), ' '))
+raw AS (SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))
                             WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS s FROM w),
 sets AS (SELECT doc_id, list_distinct(s) AS s FROM raw),
 sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
