@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import neardup, repeats
+from evidentia.llm import blockmax, bpe, chat, hnsw, neardup, repeats, urls
 from evidentia.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,104 @@ reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b
 least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN least ON id = doc_id
 """
+
+
+@query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    done = chat.format_chats(rows.union(extra))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    read = done.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), loss.alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+_CONTROL = chat.ESCAPE.replace("'", "''")
+ORACLES["op2_chat_formatting"] = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM rows),
+sized AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL}'))
+  + CASE WHEN before IS NULL THEN length('{chat.START}{chat.TEXT}') + length(role) + len(regexp_extract_all(role, '{_CONTROL}'))
+         WHEN before = role THEN length('{chat.NEXT}')
+         ELSE length('{chat.END}{chat.START}{chat.TEXT}') + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) END AS chars FROM placed)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(chars) + length('{chat.END}'))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+QUERY_EVERY = 20
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and vectors in double precision that take part; of rows with one id, the least vector."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~bad).groupBy("id").agg(F.min("vector").alias("vector"))
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("id") % QUERY_EVERY == 0)
+
+
+@query
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole: Column = F.transform("vector", lambda x: F.floor(x * 64).cast("long"))
+    weights = _vectors(spark, sf_dir).select("id", whole.alias("weights"))
+    return blockmax.top_products(weights, _asked(weights), 20).select("query_id", "rank", "vec_id", "score")
+
+
+ORACLES["op5_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS w FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir).where(F.exists("vector", lambda x: x != 0))
+    return hnsw.nearest(vectors, _asked(vectors), 20).select("query_id", "rank", "vec_id", "score")
+
+
+@query
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")],
+                                  "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op9_url_filters"] = r"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+judged AS (SELECT *, '.' || host AS h,
+  CASE WHEN suffix('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+       WHEN suffix('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+       WHEN suffix('.' || host, '.net') AND starts_with(path, '/') THEN 'net/'
+       WHEN suffix('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/' END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
+"""
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query
+def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    done = bpe.decode(ids, path)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
