@@ -102,30 +102,6 @@ def _sweep(names: list[str]):
     return run
 
 
-def judge(self, key: str, path: str) -> tuple[str | None, str | None]:
-        self.close(key)
-        for _, rules in reversed(self.stack):
-            fitting = [r for r in rules if path.startswith(r[0])]
-            if fitting:
-                best = max(fitting, key=lambda r: (len(r[0]), r[1] == "block"))
-                return best[2], best[1]
-        return None, None
-
-
-def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sweep, part = Sweep(), None
-    for batch in batches:
-        out = []
-        for p, is_url, key, path, verdict, rule, row in zip(*(batch[c] for c in ("part", "is_url", "key", "path", "verdict", "rule", "row")), strict=True):
-            if p != part:
-                sweep, part = Sweep(), p
-            if is_url:
-                out.append((row, *sweep.judge(key, path)))
-            else:
-                sweep.rule(key, path, verdict, rule)
-        yield pd.DataFrame(out, columns=["row", "rule", "verdict"])
-
-
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", ranges: int | None = None) -> DataFrame:
     """The input's columns with host, path, rule and verdict.
 
