@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import blockmax, bpe, chat, hnsw, neardup, repeats, urls
+from evidentia.llm import blockmax, bpe, chat, hnsw, langid, mixing, neardup, repeats, urls
 from evidentia.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 """
 
 
+@query
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.plan_mix(docs, weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -126,6 +132,14 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = langid.is_held_out(F.col("doc_id"))
+    field = langid.train(docs.where(~held))
+    return langid.predict(docs.select("doc_id", "text"), field).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir).where(F.exists("vector", lambda x: x != 0))
