@@ -9,10 +9,13 @@ the link is confirmed on the full shingle sets.
 
 A band's bucket is never expanded into all its pairs.  First each class meets one leader
 (the member with the least hash in most of its buckets).  Confirmed links make components.
-Only candidates that stand in different components are looked at again: members outside the
-leader's component meet the bucket in a join whose condition is the sketch test.  Every pair
-that shares a bucket and passes the sketch test is thus either confirmed, refuted, or inside
-one component, so no link between components is lost and no partner is capped.
+Only candidates that stand in different components are looked at again.  In a bucket of at
+most ``SMALL`` classes, members outside the leader's component meet the bucket in a join whose
+condition is the sketch test.  Classes of larger buckets are brought together once, as
+families (buckets that share classes), and every two blocks of a family are one bounded unit of
+work that compares full sets by counting shared shingles and returns only links that join
+components.  Every pair that shares a bucket and passes the sketch test is thus confirmed,
+refuted, or inside one component: no link between components is lost, no partner is capped.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,9 @@ SKETCH_WORDS = 4  # 64-bit words of an odd sketch
 #: XOR bits that a pair of similarity 0.85 stays below but for odds under one in 10**8
 #: (12 of 80 samples differ on average, 31 at six standard deviations).
 SKETCH_BITS = 54
+#: Classes of a bucket whose candidates are listed as pairs; classes and shingles of a family's block.
+SMALL = 32
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 400_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -167,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in sketch)), "classes")
     entries = classes.select("cid", F.posexplode("bands").alias("band", "key"))
     shared = (entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("least"))
-              .where("n > 1").select("band", "key", F.col("least.cid").alias("leader")))
+              .where("n > 1").select("band", "key", "n", F.col("least.cid").alias("leader")))
     buckets = written(entries.join(shared, ["band", "key"]), "buckets")
 
     best = (buckets.where("cid <> leader").groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("votes"))
@@ -179,18 +186,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_confirmed(first, texts, size, percent), "links")
     groups = components(links, "groups")
 
-    inside = buckets.join(groups, F.col("cid") == F.col("id"), "left").select("band", "key", "cid", "leader", F.coalesce("component", "cid").alias("component"))
+    inside = buckets.join(groups, F.col("cid") == F.col("id"), "left").select("band", "key", "n", "cid", "leader", F.coalesce("component", "cid").alias("component"))
     split = inside.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
-    open_ = written(inside.join(split, ["band", "key"]).join(facts, "cid"), "open")
-    lead = open_.where("cid = leader").select("band", "key", F.col("component").alias("main"))
-    rest = open_.join(lead, ["band", "key"])
+    open_ = written(inside.join(split, ["band", "key"]), "open")
+    few = open_.where(F.col("n") <= SMALL).join(facts, "cid")
+    lead = few.where("cid = leader").select("band", "key", F.col("component").alias("main"))
+    rest = few.join(lead, ["band", "key"])
     a, b = rest.where("component <> main").alias("a"), rest.alias("b")
     again = (a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
                     & ((F.col("b.component") == F.col("b.main")) | (F.col("a.cid") < F.col("b.cid"))) & _possible(percent))
              .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct())
     again = written(again, "again")
-    if not again.isEmpty():
-        links = links.union(written(_confirmed(again, texts, size, percent), "links2"))
+    more = [_confirmed(again, texts, size, percent)] if not again.isEmpty() else []
+    many = open_.where(F.col("n") > SMALL)
+    if not many.isEmpty():
+        more.append(_by_blocks(many, classes, texts, size, percent))
+    if more:
+        links = links.union(written(more[0].union(more[1]) if len(more) > 1 else more[0], "links2"))
         groups = components(links, "groups2")
     member = rows.where("id IS NOT NULL AND digest IS NOT NULL").select("id", "digest")
     whole = (member.join(classes.select("digest", "cid"), "digest")
@@ -208,6 +220,96 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.mapInArrow(_confirm(size, percent), "u long, v long").distinct()
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in W.pieces(batch, "text"):
+                hashes, begin = shingles(W.words(piece.column("text"), lower=True), piece.num_rows, size)
+                raw = hashes.tobytes()
+                sets = pa.array([raw[8 * begin[i]:8 * begin[i + 1]] for i in range(piece.num_rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("cid"), sets], names=["cid", "hashes"])
+    return run
+
+
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share, from products of 0/1 matrices a few thousand shingles wide."""
+    def placed(sets: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+        hit = vocabulary[at] == flat
+        order = np.argsort(at[hit], kind="stable")
+        return row[hit][order], at[hit][order]
+
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)
+    vocabulary = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(vocabulary):
+        return counts
+    (lr, lc), (rr, rc) = placed(left, vocabulary), placed(right, vocabulary)
+    wide = 4096
+    for at in range(0, len(vocabulary), wide):
+        a, b = (np.zeros((n, wide), dtype=np.float32) for n in (len(left), len(right)))
+        for matrix, row, column in ((a, lr, lc), (b, rr, rc)):
+            low, high = np.searchsorted(column, [at, at + wide])
+            matrix[row[low:high], column[low:high] - at] = 1
+        counts += a @ b.T
+    return counts
+
+
+def _block_links(percent: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            lc, rc = left["component"].to_numpy(), right["component"].to_numpy()
+            ln, rn = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
+            need = (lc[:, None] != rc[None, :]) & (100 * np.minimum(ln[:, None], rn[None, :]) >= percent * np.maximum(ln[:, None], rn[None, :]))
+            if i == j:
+                need = np.triu(need, 1)
+            flips = np.zeros(need.shape, dtype=np.int64)
+            for s in range(SKETCH_WORDS):
+                flips += np.bitwise_count(left[f"s{s}"].to_numpy().view(np.uint64)[:, None] ^ right[f"s{s}"].to_numpy().view(np.uint64)[None, :])
+            need &= flips <= SKETCH_BITS
+            lb, rb = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
+            together = np.zeros(need.shape, dtype=bool)
+            for band in range(BANDS):
+                together |= lb[:, band, None] == rb[None, :, band]
+            need &= together
+            if need.any():
+                sets = [[np.frombuffer(x, dtype=np.uint64) for x in side["hashes"]] for side in (left, right)]
+                shared = _shared_counts(*sets).astype(np.int64)
+                good = need & (100 * shared >= percent * (ln[:, None] + rn[None, :] - shared))
+                parent: dict[int, int] = {}
+
+                def root(x: int) -> int:
+                    while parent.setdefault(x, x) != x:
+                        parent[x] = parent[parent[x]]
+                        x = parent[x]
+                    return x
+
+                li, ri = left["cid"].to_numpy(), right["cid"].to_numpy()
+                for x, y in zip(*np.nonzero(good), strict=True):  # links that join components suffice
+                    a, b = root(int(lc[x])), root(int(rc[y]))
+                    if a != b:
+                        parent[a] = b
+                        out.append((int(li[x]), int(ri[y])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    return run
+
+
+def _by_blocks(many: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that join components among the classes of large buckets."""
+    family = components(many.select(F.col("cid").alias("u"), F.col("leader").alias("v")), "families").select(F.col("id").alias("cid"), F.col("component").alias("family"))
+    known = many.select("cid", "component").distinct().join(family, "cid").join(classes.drop("digest").dropDuplicates(["cid"]), "cid")
+    sets = (texts.join(family.select("cid"), F.col("id") == F.col("cid"), "inner").select("cid", "text").mapInArrow(_sets(size), "cid long, hashes binary")
+            .dropDuplicates(["cid"]))
+    sizes = known.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = known.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int"))
+    rows = written(dealt.join(sets, "cid"), "blocks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.groupBy("family", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input without the rows whose group has a smaller id; repeated rows of one id become one."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
