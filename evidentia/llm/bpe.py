@@ -25,7 +25,7 @@ from evidentia.llm import words as W
 from evidentia.llm.tables import free_name
 
 SCAN_BYTES = 300
-CACHE_WORDS = 150_000
+CACHE_WORDS = 240_000
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: end fixed value
@@ -205,7 +205,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
         step = 500
         for at in range(0, batch.num_rows, step):
             piece = batch.slice(at, step)
-            column = piece.column("input")
-            yield piece, pa.array([bpe.decode(column[i].values.to_pylist()) if column[i].is_valid else "" for i in range(len(column))], pa.string())
+            column = piece.column("input").fill_null([])
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            yield piece, pa.array([bpe.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
     return _with_arrow_column(df, text_col, "string", ids_col, work)
