@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side with at most this many rows of short scalar columns stays far below
-# Spark's broadcast limits; anything larger goes through a shuffle join.
+# A side within both limits stays far below Spark's broadcast limits; anything
+# larger goes through a shuffle join.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def local_session(cores: str = "8", app: str = "evidentia") -> SparkSession:
@@ -24,6 +26,7 @@ def local_session(cores: str = "8", app: str = "evidentia") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="evidentia-"))
         .getOrCreate()
     )
 
@@ -31,13 +34,17 @@ def local_session(cores: str = "8", app: str = "evidentia") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    created and remembered for the life of the session.
+    A session on one machine that names none gets a temporary folder, remembered
+    for the life of the session; on a cluster that is an error, as executors and
+    driver do not share local folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -58,11 +65,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the row count; else leave a shuffle join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row; nested values count as the text that shows them."""
+    total = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+        elif "<" in kind:
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(name)))), F.lit(0))
+    return total
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint a broadcast only after checking rows and bytes; else leave a shuffle join."""
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 def broadcast_if_light(df: DataFrame, *columns: str, max_bytes: int = 128 * 1024 * 1024) -> DataFrame:
