@@ -1,18 +1,14 @@
 """Proposed edits: path and code policies, validation, application and diffs.
 
-A proposal holds at most 20 edits, so the edits of one (case, file) form a
+A proposal is a handful of edits, so the edits of one (case, file) form a
 short array; they meet the file's text once and everything about them is
 decided inside that row.
 """
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evidentia.functions import text as tx
 from evidentia.functions import values as V
@@ -131,11 +127,16 @@ def composed(lines: Column, edits: Column) -> Column:
 
 
 # ------------------------------------------------------------------- evidence
-def validated_evidence(refs: DataFrame, snippets: DataFrame, files: DataFrame) -> DataFrame:
-    """References a repair may build on: allowed, inside a retrieved range, with real content."""
-    named = refs.where((F.col("candidate_index") < 3) & path_allowed(F.col("file"))).withColumn(
-        "file", tx.normal_path(F.col("file"))
-    )
+def validated_evidence(
+    refs: DataFrame, snippets: DataFrame, files: DataFrame, max_candidates: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """References a repair may build on: allowed, inside a retrieved range, with real content.
+
+    ``max_candidates`` takes the first candidates only, ``max_chars`` no longer
+    content; by default neither limits.
+    """
+    used = refs if max_candidates is None else refs.where(F.col("candidate_index") < max_candidates)
+    named = used.where(path_allowed(F.col("file"))).withColumn("file", tx.normal_path(F.col("file")))
     sound = named.where((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")))
     usable = snippets.where((F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")))
     inside = with_containment(sound, usable, ["case_id", "file"]).where("contained")
@@ -146,7 +147,7 @@ def validated_evidence(refs: DataFrame, snippets: DataFrame, files: DataFrame) -
     return (
         ranges.join(files.select("case_id", "file", "content"), ["case_id", "file"])
         .withColumn("content", content)
-        .where(F.length("content").between(1, 8000))
+        .where((F.length("content") >= 1) & (F.lit(True) if max_chars is None else F.length("content") <= max_chars))
         .select("case_id", "file", "start_line", "end_line", "content", "_first.*")
     )
 
@@ -321,17 +322,97 @@ def passed_edits(verdicts: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- application
-@F.pandas_udf(T.StringType())
-def unified_diff(before: pd.Series, after: pd.Series, file: pd.Series) -> pd.Series:
-    """a/ b/ unified diff of two texts of one file; empty when nothing changed."""
-    out = []
-    for old, new, name in zip(before, after, file):
-        a = old.replace("\r\n", "\n").replace("\r", "\n").splitlines()
-        b = new.replace("\r\n", "\n").replace("\r", "\n").splitlines()
-        diff = difflib.unified_diff(a, b, fromfile=f"a/{name}", tofile=f"b/{name}", lineterm="")
-        text = "\n".join(diff)
-        out.append(text + "\n" if text else "")
-    return pd.Series(out)
+CONTEXT_LINES = 3
+_CHANGE = "struct<s:int,old:array<string>,new:array<string>>"
+
+
+def _equal_head(a: Column, b: Column) -> Column:
+    """How many first elements two arrays share."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    return F.when(differs == 0, F.size(a)).otherwise(differs - 1)
+
+
+def _changes(lines: Column, edits: Column) -> Column:
+    """array<struct<s, old, new>> in file order: 0-based start, replaced and new lines, without common ends."""
+    raw = F.array_sort(F.transform(edits, lambda e: F.struct(
+        (e["start_line"] - 1).cast("int").alias("s"), replacement_lines(e["new_code"]).alias("new"), e["end_line"].cast("int").alias("e"))))
+
+    def trimmed(c: Column) -> Column:
+        old = F.slice(lines, c["s"] + 1, F.greatest(c["e"] - c["s"], F.lit(0)))
+
+        def after_head(x: Column) -> Column:
+            head = F.struct((c["s"] + x["k"]).alias("s"), F.slice(x["old"], x["k"] + 1, F.size(x["old"])).alias("old"),
+                            F.slice(x["new"], x["k"] + 1, F.size(x["new"])).alias("new"))
+
+            def before_tail(y: Column) -> Column:
+                tail = _equal_head(F.reverse(y["old"]), F.reverse(y["new"]))
+                return tx.let(tail, lambda t: F.struct(
+                    y["s"].alias("s"), F.slice(y["old"], F.lit(1), F.size(y["old"]) - t).alias("old"),
+                    F.slice(y["new"], F.lit(1), F.size(y["new"]) - t).alias("new")))
+
+            return tx.let(head, before_tail)
+
+        both = F.struct(_equal_head(old, c["new"]).alias("k"), old.alias("old"), c["new"].alias("new"))
+        return tx.let(both, after_head)
+
+    def together(out: Column, c: Column) -> Column:
+        """Changes that touch are one change."""
+        last = F.try_element_at(out, F.lit(-1))
+        both = F.struct(last["s"].alias("s"), F.concat(last["old"], c["old"]).alias("old"), F.concat(last["new"], c["new"]).alias("new"))
+        touch = (F.size(out) > 0) & (last["s"] + F.size(last["old"]) == c["s"])
+        return F.when(touch, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(c)))
+
+    real = F.filter(F.transform(raw, trimmed), lambda c: (F.size(c["old"]) > 0) | (F.size(c["new"]) > 0))
+    return F.aggregate(real, F.array().cast(f"array<{_CHANGE}>"), together)
+
+
+def _range(start: Column, length: Column) -> Column:
+    """A hunk header's range; ``start`` is 0-based."""
+    first = F.when(length == 0, start).otherwise(start + 1).cast("string")
+    return F.when(length == 1, first).otherwise(F.concat(first, F.lit(","), length.cast("string")))
+
+
+def unified_diff(file: Column, lines: Column, edits: Column) -> Column:
+    """a/ b/ unified diff of non-overlapping edits on the file's lines; empty when nothing changes.
+
+    Changes whose context of three lines meets share a hunk.
+    """
+    n = F.size(lines)
+    none = F.array().cast(f"array<struct<low:int,high:int,moved:int,changes:array<{_CHANGE}>>>")
+
+    def grown(hunks: Column, c: Column) -> Column:
+        low = F.greatest(c["s"] - CONTEXT_LINES, F.lit(0))
+        high = F.least(c["s"] + F.size(c["old"]) + CONTEXT_LINES, n)
+        last = F.try_element_at(hunks, F.lit(-1))
+        gain = F.aggregate(last["changes"], last["moved"], lambda k, x: k + F.size(x["new"]) - F.size(x["old"]))
+        alone = F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.coalesce(gain, F.lit(0)).cast("int").alias("moved"),
+                         F.array(c).alias("changes"))
+        joined = F.struct(last["low"].alias("low"), high.cast("int").alias("high"), last["moved"].alias("moved"),
+                          F.concat(last["changes"], F.array(c)).alias("changes"))
+        return F.when((F.size(hunks) > 0) & (low <= last["high"]), F.concat(F.slice(hunks, F.lit(1), F.size(hunks) - 1), F.array(joined))).otherwise(
+            F.concat(hunks, F.array(alone)))
+
+    def marked(mark: str, items: Column) -> Column:
+        return F.transform(items, lambda x: F.concat(F.lit(mark), x))
+
+    def context(start: Column, stop: Column) -> Column:
+        return marked(" ", F.slice(lines, start + 1, F.greatest(stop - start, F.lit(0))))
+
+    def shown(h: Column) -> Column:
+        start = F.struct(h["low"].alias("at"), F.array().cast("array<string>").alias("out"))
+        body = F.aggregate(
+            h["changes"], start,
+            lambda acc, c: F.struct((c["s"] + F.size(c["old"])).cast("int").alias("at"), F.concat(
+                acc["out"], context(acc["at"], c["s"]), marked("-", c["old"]), marked("+", c["new"])).alias("out")),
+            lambda acc: F.concat(acc["out"], context(acc["at"], h["high"])))
+        was = h["high"] - h["low"]
+        gain = F.aggregate(h["changes"], F.lit(0), lambda k, x: k + F.size(x["new"]) - F.size(x["old"]))
+        header = F.concat(F.lit("@@ -"), _range(h["low"], was), F.lit(" +"), _range(h["low"] + h["moved"], was + gain), F.lit(" @@"))
+        return F.concat(F.array(header), body)
+
+    hunks = tx.let(_changes(lines, edits), lambda cs: F.aggregate(cs, none, grown))
+    text = F.array_join(F.flatten(F.transform(hunks, shown)), "\n")
+    return F.when(text == "", "").otherwise(F.concat(F.lit("--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n"), text, F.lit("\n")))
 
 
 def pair_conflicts(edits: Column) -> Column:
@@ -408,21 +489,13 @@ def apply_edits(edits: DataFrame, files: DataFrame) -> DataFrame:
     new_text = F.concat(F.array_join(composed(F.col("_lines"), F.col("_edits")), "\n"), ends)
     with_bom = F.concat(F.when(F.startswith(F.col("content"), F.lit("﻿")), "﻿").otherwise(""),
                         F.replace(new_text, F.lit("\n"), newline))
-    done = computed_once(checked, _bad=bad, _new=F.when(~bad, with_bom)).drop("_lines")
-    done = done.withColumn(
-        "_diff",
-        F.when(F.col("_new").isNotNull(),
-               unified_diff(F.coalesce(text, F.lit("")), F.coalesce(tx.strip_bom(F.col("_new")), F.lit("")), F.col("file"))),
-    )
-    # a case touches at most 20 files, so its diffs fit one row
-    cases = done.groupBy("case_id").agg(
-        F.bool_or("_bad").alias("_failed"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "_diff"))), lambda x: x["_diff"]), "")
-        .alias("_case_diff"),
-    )
-    error = F.when(F.col("_failed"), "preflight_failed").when(is_sensitive_diff(F.col("_case_diff")), "unsafe_diff")
-    cases = cases.select("case_id", error.alias("error"))
-    out = done.join(cases, "case_id")
+    # whether a case fails is known before anything is composed; files of a case meet in one window
+    case = Window.partitionBy("case_id")
+    judged = checked.withColumn("_failed", F.max(bad).over(case))
+    done = computed_once(judged, _new=F.when(~F.col("_failed"), with_bom),
+                         _diff=F.when(~F.col("_failed"), unified_diff(F.col("file"), F.col("_lines"), F.col("_edits")))).drop("_lines")
+    unsafe = F.max(F.coalesce(is_sensitive_diff(F.col("_diff")), F.lit(False))).over(case)
+    out = done.withColumn("error", F.when(F.col("_failed"), "preflight_failed").when(unsafe, "unsafe_diff"))
     applied = F.col("error").isNull()
 
     def own(e: Column) -> Column:
