@@ -16,9 +16,10 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 WORD_BOUNDARY = r"(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 
-MAX_CHUNK_TOKENS = 200
-MAX_QUERY_TERMS = 50
-MAX_CONTENT_CHARS = 4000
+
+def first_items(items: Column, limit: int | None) -> Column:
+    """The first ``limit`` elements; all of them for None."""
+    return items if limit is None else F.slice(items, 1, limit)
 
 
 def words(*items: str) -> Column:
@@ -60,8 +61,10 @@ def canonical_newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def cut_at_line(body: Column, max_chars: int = MAX_CONTENT_CHARS) -> Column:
-    """At most ``max_chars``, ending at the last line break inside them if there is one."""
+def cut_at_line(body: Column, max_chars: int | None = None) -> Column:
+    """At most ``max_chars`` (None: all), ending at the last line break inside them if there is one."""
+    if max_chars is None:
+        return body
     head = F.left(body, F.lit(max_chars))
     return F.when(
         F.length(body) > max_chars,
@@ -84,8 +87,11 @@ def identifier_tokens(text: Column) -> Column:
 text_tokens = identifier_tokens
 
 
-def chunk_tokens(content: Column, max_tokens: int = MAX_CHUNK_TOKENS) -> Column:
-    """Sub-words of each identifier, then the whole identifier; stop words out."""
+def chunk_tokens(content: Column, max_tokens: int | None = None) -> Column:
+    """Sub-words of each identifier, then the whole identifier; stop words out.
+
+    ``max_tokens`` keeps the first tokens only; by default all are kept.
+    """
     names = F.array_distinct(F.regexp_extract_all(content, F.lit(IDENTIFIER), 0))
     expanded = F.flatten(
         F.transform(
@@ -100,11 +106,11 @@ def chunk_tokens(content: Column, max_tokens: int = MAX_CHUNK_TOKENS) -> Column:
             ),
         )
     )
-    return F.slice(F.array_except(expanded, words(*V.STOP_WORDS)), 1, max_tokens)
+    return first_items(F.array_except(expanded, words(*V.STOP_WORDS)), max_tokens)
 
 
-def normal_terms(terms: Column, max_terms: int = MAX_QUERY_TERMS) -> Column:
-    """Query terms split into sub-words, stop words out, first ``max_terms`` kept.
+def normal_terms(terms: Column, max_terms: int | None = None) -> Column:
+    """Query terms split into sub-words, stop words out, first ``max_terms`` kept (None: all).
 
     A term without any sub-word is kept lower-cased if it is long enough.
     """
@@ -117,10 +123,10 @@ def normal_terms(terms: Column, max_terms: int = MAX_QUERY_TERMS) -> Column:
             ),
         )
     )
-    return F.slice(F.array_except(split_terms, stop), 1, max_terms)
+    return first_items(F.array_except(split_terms, stop), max_terms)
 
 
-def discarded_terms(terms: Column, max_terms: int = MAX_QUERY_TERMS) -> Column:
+def discarded_terms(terms: Column, max_terms: int | None = None) -> Column:
     """How many inputs the normal form drops.
 
     Below the cap that is every stop-word occurrence plus every unusable term;
@@ -142,6 +148,8 @@ def discarded_terms(terms: Column, max_terms: int = MAX_QUERY_TERMS) -> Column:
         )
 
     below = F.aggregate(F.transform(usable, dropped), F.lit(0), lambda a, x: a + x)
+    if max_terms is None:
+        return below
     kept = F.array_except(F.flatten(F.transform(usable, subs)), stop)
     last = F.element_at(kept, max_terms)
     filler = F.element_at(F.filter(usable, lambda t: F.array_contains(subs(t), last)), 1)
@@ -182,13 +190,13 @@ def is_symbol(token: Column) -> Column:
 FRAME_NAME = r"at\s+((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*\.[A-Za-z_]\w*)\s*\("
 
 
-def stack_symbols(issue: Column, log: Column, cap: int = 10) -> Column:
-    """Class and method of every stack frame, then identifiers of the text."""
+def stack_symbols(issue: Column, log: Column, cap: int | None = None) -> Column:
+    """Class and method of every stack frame, then identifiers of the text; the first ``cap`` (None: all)."""
     frames = F.regexp_extract_all(F.coalesce(log, F.lit("")), F.lit(FRAME_NAME), 1)
     from_log = F.flatten(F.transform(frames, lambda q: F.slice(F.split(q, r"\."), -2, 2)))
     from_text = F.regexp_extract_all(F.coalesce(issue, F.lit("")), F.lit(IDENTIFIER), 0)
     found = F.array_distinct(F.filter(F.concat(from_log, from_text), is_symbol))
-    return F.slice(found, 1, cap)
+    return first_items(found, cap)
 
 
 # ---------------------------------------------------------------------- files

@@ -11,7 +11,6 @@ from evidentia.session import computed_once
 
 WINDOW_LINES = 40
 WINDOW_OVERLAP = 5
-MAX_FILE_CHARS = 200_000
 
 
 def numbered_lines(files: DataFrame, *keys: str, content: str = "content") -> DataFrame:
@@ -30,11 +29,17 @@ def window_starts(n: Column) -> Column:
     )
 
 
-def line_windows(files: DataFrame) -> DataFrame:
-    """Overlapping windows of (repo, file, content); end line is the window's, not the cut's."""
-    with_lines = computed_once(files, _lines=tx.lines_of(F.left(F.col("content"), F.lit(MAX_FILE_CHARS))))
+def line_windows(files: DataFrame, max_chars: int | None = None, max_file_chars: int | None = None) -> DataFrame:
+    """Overlapping windows of (repo, file, content); end line is the window's, not the cut's.
+
+    Windows and files are whole by default; ``max_chars`` cuts a window at a line,
+    ``max_file_chars`` the file, and ``truncated`` marks the windows concerned.
+    """
+    text = F.col("content") if max_file_chars is None else F.left(F.col("content"), F.lit(max_file_chars))
+    long_file = F.lit(False) if max_file_chars is None else F.length("content") > max_file_chars
+    with_lines = computed_once(files.withColumn("_long", long_file), _lines=tx.lines_of(text))
     win = with_lines.select(
-        "repo", "file", "_lines", F.explode(window_starts(F.size("_lines"))).alias("_start")
+        "repo", "file", "_lines", "_long", F.explode(window_starts(F.size("_lines"))).alias("_start")
     )
     body = F.array_join(F.slice("_lines", F.col("_start") + 1, F.lit(WINDOW_LINES)), "\n")
     is_config = F.lower(tx.extension_of(F.col("file"))).isin(".xml", ".yml", ".yaml", ".properties")
@@ -46,31 +51,35 @@ def line_windows(files: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("symbol_name"),
         (F.col("_start") + 1).cast("bigint").alias("start_line"),
         F.least(F.col("_start") + WINDOW_LINES, F.size("_lines")).cast("bigint").alias("end_line"),
-        tx.cut_at_line(body).alias("content"),
+        tx.cut_at_line(body, max_chars).alias("content"),
+        (F.col("_long") | (F.lit(False) if max_chars is None else F.length(body) > max_chars)).alias("truncated"),
     )
 
 
-def finish_chunks(chunks: DataFrame) -> DataFrame:
-    """Adds ``chunk_id`` and ``tokens``."""
+def finish_chunks(chunks: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """Adds ``chunk_id`` and ``tokens`` (the first ``max_tokens``; None: all)."""
     symbol = F.col("_id_symbol") if "_id_symbol" in chunks.columns else F.col("symbol_name")
     return chunks.withColumn(
         "chunk_id",
         tx.chunk_id(F.col("file"), F.col("chunk_type"), symbol, F.col("start_line"), F.col("end_line")),
-    ).withColumn("tokens", tx.chunk_tokens(F.col("content"))).drop("_id_symbol")
+    ).withColumn("tokens", tx.chunk_tokens(F.col("content"), max_tokens)).drop("_id_symbol")
 
 
-def chunk_corpus(files: DataFrame) -> DataFrame:
+def chunk_corpus(
+    files: DataFrame, max_chars: int | None = None, max_file_chars: int | None = None, max_tokens: int | None = None
+) -> DataFrame:
     """Chunks of all indexable files: declarations of code, windows of the rest.
 
-    Code without any declaration falls back to windows.
+    Code without any declaration falls back to windows.  No text and no token is
+    left out unless a limit is given.
     """
     from evidentia.operators.java import declaration_chunks
 
     indexable = files.where(tx.extension_of(F.col("file")).isin(*V.INDEXABLE_EXTENSIONS))
     is_code = F.endswith(F.col("file"), F.lit(".java"))
-    code = declaration_chunks(indexable.where(is_code))
-    plain = line_windows(indexable.where(~is_code)).withColumn("_id_symbol", F.col("symbol_name"))
-    return finish_chunks(code.unionByName(plain))
+    code = declaration_chunks(indexable.where(is_code), max_chars, max_file_chars)
+    plain = line_windows(indexable.where(~is_code), max_chars, max_file_chars).withColumn("_id_symbol", F.col("symbol_name"))
+    return finish_chunks(code.unionByName(plain), max_tokens)
 
 
 def window_corpus(files: DataFrame) -> DataFrame:
@@ -78,8 +87,10 @@ def window_corpus(files: DataFrame) -> DataFrame:
     return finish_chunks(line_windows(files))
 
 
-def line_slice(files: DataFrame, content: Column, start: Column, end: Column, max_lines: int = 60) -> DataFrame:
-    """A bounded excerpt: 0-based ``start`` up to ``end``, at most 60 lines and 4000 characters.
+def line_slice(
+    files: DataFrame, content: Column, start: Column, end: Column, max_lines: int = 60, max_chars: int = 4000
+) -> DataFrame:
+    """A bounded excerpt: 0-based ``start`` up to ``end``, at most ``max_lines`` lines and ``max_chars`` characters.
 
     Out-of-range bounds fall back to the ends of the text.
     """
@@ -96,6 +107,6 @@ def line_slice(files: DataFrame, content: Column, start: Column, end: Column, ma
         total.cast("bigint").alias("total_lines"),
         (F.col("_s") + 1).cast("bigint").alias("first_line"),
         (F.col("_s") + F.col("_got")).cast("bigint").alias("last_line"),
-        ((F.col("_asked") > max_lines) | (F.length("_body") > tx.MAX_CONTENT_CHARS)).alias("truncated"),
-        tx.cut_at_line(F.col("_body")).alias("body"),
+        ((F.col("_asked") > max_lines) | (F.length("_body") > max_chars)).alias("truncated"),
+        tx.cut_at_line(F.col("_body"), max_chars).alias("body"),
     )

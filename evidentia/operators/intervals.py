@@ -64,15 +64,15 @@ def with_enclosed(probes: DataFrame, ranges: DataFrame, keys: Sequence[str], out
     )
 
 
-def check_evidence(refs: DataFrame, snippets: DataFrame, max_candidates: int = 3) -> DataFrame:
+def check_evidence(refs: DataFrame, snippets: DataFrame, max_candidates: int | None = None) -> DataFrame:
     """Verdict of every evidence reference against the retrieved ranges of its case.
 
     Adds ``reason`` (null when kept) and, for a range outside all snippets, the
     widest one.  Each candidate left without evidence adds a row of its own with
-    ``evidence_index`` -1.
+    ``evidence_index`` -1.  ``max_candidates`` looks at the first candidates only.
     """
     keys = ["case_id", "file"]
-    used = refs.where(F.col("candidate_index") < max_candidates)
+    used = refs if max_candidates is None else refs.where(F.col("candidate_index") < max_candidates)
     widest = snippets.groupBy(*keys).agg(
         F.max(
             F.struct(

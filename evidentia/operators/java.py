@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.functions import values as V
-from evidentia.operators.corpus import MAX_FILE_CHARS, WINDOW_LINES, window_starts
+from evidentia.operators.corpus import WINDOW_LINES, window_starts
 from evidentia.session import broadcast_if_small, computed_once
 
 MAX_DECL_LINES = 60
@@ -102,15 +102,15 @@ def block_end(lines: Column, start: Column) -> Column:
     return F.when(end >= 0, start + end).otherwise(F.size(lines) - 1)
 
 
-def annotation_start(lines: Column, decl: Column) -> Column:
-    """0-based first line of the annotations, comments and blanks directly above."""
+def annotation_start(lines: Column, decl: Column, max_above: int | None = None) -> Column:
+    """0-based first line of the annotations, comments and blanks directly above (at most ``max_above`` lines)."""
 
     def attached(line: Column) -> Column:
         bare = F.trim(F.regexp_replace(line, r"\s+", " "))
         return (bare == "") | bare.rlike(r"^(?:@|\*|//)")
 
     above = F.aggregate(
-        F.sequence(F.lit(1), F.lit(9)),
+        F.sequence(F.lit(1), F.greatest(decl, F.lit(1)) if max_above is None else F.lit(max_above)),
         F.lit(0),
         lambda n, k: F.when(
             (n == k - 1) & (decl - k >= 0) & attached(F.get(lines, decl - k)), k
@@ -119,12 +119,12 @@ def annotation_start(lines: Column, decl: Column) -> Column:
     return decl - above
 
 
-def split_block(lines: Column, start: Column, end: Column) -> Column:
+def split_block(lines: Column, start: Column, end: Column, max_chars: int | None = None) -> Column:
     """array<struct<w, s, e, body>>: 60-line windows of a long block.
 
-    A window over the character limit ends at the last line that fits, and the
-    next one starts five lines before its end, or right after it if that would
-    not move forward.
+    A window over ``max_chars`` (None: no limit) ends at the last line that fits,
+    and the next one starts five lines before its end, or right after it if that
+    would not move forward.
     """
     out_type = "array<struct<w:int,s:int,e:int,body:string>>"
     zero = F.struct(start.cast("int").alias("cursor"), F.array().cast(out_type).alias("out"))
@@ -132,9 +132,11 @@ def split_block(lines: Column, start: Column, end: Column) -> Column:
     def window(cursor: Column, w: Column) -> Column:
         last = F.least(cursor + (MAX_DECL_LINES - 1), end)
         body = F.array_join(F.slice(lines, cursor + 1, last - cursor + 1), "\n")
-        cut = tx.cut_at_line(body)
+        if max_chars is None:
+            return F.struct(w.cast("int").alias("w"), cursor.alias("s"), last.cast("int").alias("e"), body.alias("body"))
+        cut = tx.cut_at_line(body, max_chars)
         # a first line beyond the limit leaves no line end to cut at
-        fits = F.when((F.length(body) > tx.MAX_CONTENT_CHARS) & F.left(body, F.lit(4000)).rlike(r"(?s)^.+\n"), cut)
+        fits = F.when((F.length(body) > max_chars) & F.left(body, F.lit(max_chars)).rlike(r"(?s)^.+\n"), cut)
         text = F.coalesce(fits, body)
         e = F.when(fits.isNotNull(), cursor + _newlines(text)).otherwise(last)
         return F.struct(w.cast("int").alias("w"), cursor.alias("s"), e.cast("int").alias("e"), text.alias("body"))
@@ -154,9 +156,10 @@ def split_block(lines: Column, start: Column, end: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), end - start), zero, step, lambda acc: acc["out"])
 
 
-def with_declarations(files: DataFrame) -> DataFrame:
+def with_declarations(files: DataFrame, max_file_chars: int | None = None) -> DataFrame:
     """Adds ``_lines`` and ``_decls`` (kind, name, line, start, end; all 0-based)."""
-    text = tx.canonical_newlines(F.left(F.col("content"), F.lit(MAX_FILE_CHARS)))
+    content = F.col("content") if max_file_chars is None else F.left(F.col("content"), F.lit(max_file_chars))
+    text = tx.canonical_newlines(content)
     base = computed_once(files, _text=text)
     base = computed_once(
         base,
@@ -189,21 +192,25 @@ def declarations(files: DataFrame) -> DataFrame:
     )
 
 
-def declaration_chunks(files: DataFrame) -> DataFrame:
+def declaration_chunks(files: DataFrame, max_chars: int | None = None, max_file_chars: int | None = None) -> DataFrame:
     """Chunks of code files, ready for ``finish_chunks``.
 
-    A file without declarations, or with a single line too long for a chunk,
-    is cut into plain windows instead.
+    A file without declarations, or with a single line too long for a chunk of
+    ``max_chars``, is cut into plain windows instead.  By default nothing is cut;
+    ``truncated`` marks chunks that a limit has cut.
     """
     lines = F.col("_lines")
 
+    def over(text: Column) -> Column:
+        return F.lit(False) if max_chars is None else F.length(text) > max_chars
+
     def pieces(d: Column) -> Column:
         body = F.array_join(F.slice(lines, d["start"] + 1, d["end"] - d["start"] + 1), "\n")
-        long = (d["end"] - d["start"] + 1 > MAX_DECL_LINES) | (F.length(body) > tx.MAX_CONTENT_CHARS)
+        long = (d["end"] - d["start"] + 1 > MAX_DECL_LINES) | over(body)
         single = F.array(
             F.struct(F.lit(-1).alias("w"), d["start"].alias("s"), d["end"].alias("e"), body.alias("body"))
         )
-        windows = F.when(long, split_block(lines, d["start"], d["end"])).otherwise(single)
+        windows = F.when(long, split_block(lines, d["start"], d["end"], max_chars)).otherwise(single)
         return F.transform(
             windows,
             lambda x: F.struct(
@@ -212,10 +219,13 @@ def declaration_chunks(files: DataFrame) -> DataFrame:
                 .otherwise(d["name"]).alias("_id_symbol"),
                 (x["s"] + 1).cast("bigint").alias("start_line"),
                 (x["e"] + 1).cast("bigint").alias("end_line"),
-                x["body"].alias("content"),
+                x["body"].alias("content"), F.lit(False).alias("truncated"),
             ),
         )
 
+    def window_body(s: Column) -> Column:
+        return F.array_join(F.slice(lines, s + 1, F.lit(WINDOW_LINES)), "\n")
+
     plain = F.transform(
         window_starts(F.size(lines)),
         lambda s: F.struct(
@@ -223,13 +233,13 @@ def declaration_chunks(files: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("_id_symbol"),
             (s + 1).cast("bigint").alias("start_line"),
             F.least(s + WINDOW_LINES, F.size(lines)).cast("bigint").alias("end_line"),
-            tx.cut_at_line(F.array_join(F.slice(lines, s + 1, F.lit(WINDOW_LINES)), "\n")).alias("content"),
+            tx.cut_at_line(window_body(s), max_chars).alias("content"), over(window_body(s)).alias("truncated"),
         ),
     )
-    staged = computed_once(with_declarations(files), _pieces=F.flatten(F.transform(F.col("_decls"), pieces)))
-    usable = (F.size("_pieces") > 0) & ~F.exists(
-        F.col("_pieces"), lambda p: F.length(p["content"]) > tx.MAX_CONTENT_CHARS
-    )
+    staged = computed_once(with_declarations(files, max_file_chars), _pieces=F.flatten(F.transform(F.col("_decls"), pieces)))
+    usable = F.size("_pieces") > 0
+    if max_chars is not None:
+        usable = usable & ~F.exists(F.col("_pieces"), lambda p: over(p["content"]))
     return staged.select(
         "repo", "file", F.lit("java").alias("language"),
         F.explode(F.when(usable, F.col("_pieces")).otherwise(plain)).alias("_c"),
@@ -253,22 +263,30 @@ def symbol_matches(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbol_table(files.where(F.endswith("file", F.lit(".java")))).join(wanted, ["repo", "name"])
 
 
-def symbol_search(files: DataFrame, symbols: DataFrame, per_symbol: int = 5, k: int = 10) -> DataFrame:
-    """The symbol channel: matches in discovery order with their surrounding block."""
+def symbol_search(
+    files: DataFrame, symbols: DataFrame, per_symbol: int | None = None, k: int = 10, max_chars: int | None = None,
+    annotation_lines: int = 30,
+) -> DataFrame:
+    """The symbol channel: the first ``k`` matches in discovery order with their surrounding block.
+
+    An annotation use has no block of its own and shows ``annotation_lines`` lines.
+    ``per_symbol`` times the query's symbols is one more limit; ``max_chars`` cuts
+    the block's text at a line.  Neither holds by default.
+    """
     from evidentia.operators.ranking import first_per_key, top_k
 
     hits = symbol_matches(files, symbols)
     hits = computed_once(hits, _lines=tx.lines_of(tx.canonical_newlines(F.col("content"))))
     line = F.col("line").cast("int")
     n = F.size("_lines")
-    end = F.when(F.col("kind") == "annotation", F.least(n, line + 30)).otherwise(
+    end = F.when(F.col("kind") == "annotation", F.least(n, line + annotation_lines)).otherwise(
         F.least(block_end(F.col("_lines"), line - 1) + 1, n)
     )
     hits = hits.withColumn("end_line", end.cast("bigint")).select(
         "query_id", "repo", "file", "kind", F.col("name").alias("symbol"), "symbol_no",
         F.col("line").alias("start_line"), "end_line",
         tx.cut_at_line(
-            F.array_join(F.slice("_lines", line, F.greatest(F.col("end_line").cast("int") - line + 1, F.lit(0))), "\n")
+            F.array_join(F.slice("_lines", line, F.greatest(F.col("end_line").cast("int") - line + 1, F.lit(0))), "\n"), max_chars
         ).alias("content"),
         tx.walk_key(F.col("file")).alias("_walk"),
     )
@@ -278,9 +296,11 @@ def symbol_search(files: DataFrame, symbols: DataFrame, per_symbol: int = 5, k:
     )
     order = [F.asc("symbol_no"), F.asc("_walk"), F.asc("start_line"), F.asc("kind")]
     once = first_per_key(hits, ["query_id", "chunk_id"], order)
-    sizes = symbols.groupBy("query_id").agg((F.count(F.lit(1)) * per_symbol).alias("_cap"))
-    ranked = top_k(once, ["query_id"], order, k).join(broadcast_if_small(sizes), "query_id")
-    return ranked.where(F.col("rank") <= F.col("_cap")).select(
+    ranked = top_k(once, ["query_id"], order, k)
+    if per_symbol is not None:
+        sizes = symbols.groupBy("query_id").agg((F.count(F.lit(1)) * per_symbol).alias("_cap"))
+        ranked = ranked.join(broadcast_if_small(sizes), "query_id").where(F.col("rank") <= F.col("_cap"))
+    return ranked.select(
         "query_id", "repo", "chunk_id", "file", "start_line", "end_line", "rank", "kind", "symbol",
         F.array("symbol").alias("matched_terms"), "content",
     )

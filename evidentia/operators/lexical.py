@@ -19,7 +19,8 @@ from evidentia.session import broadcast_if_light, broadcast_if_small, materializ
 
 NON_BLANK_RUN = r"(?U)\S+"
 NORMAL_RUN = "[a-z0-9]+"
-MAX_LINES_PER_FILE = 100
+# Terms that share one number of a bit set.
+BITS = 60
 
 
 def classified_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -85,14 +86,16 @@ def run_needles(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def needle_lines(
-    files: DataFrame, terms: DataFrame, run_pattern: str = NON_BLANK_RUN, vocabulary: DataFrame | None = None
+    files: DataFrame, terms: DataFrame, run_pattern: str = NON_BLANK_RUN, vocabulary: DataFrame | None = None,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """(repo, file, line_no, needle): which needle occurs in which line, exactly.
 
     The result is partitioned by (repo, file), which every later step of the
-    channel groups by, so this is its only shuffle of the matches.
+    channel groups by, so this is its only shuffle of the matches.  ``runs`` and
+    ``vocabulary`` are the stored index tables; without them they are derived from ``files``.
     """
-    runs = line_runs(files, run_pattern)
+    runs = line_runs(files, run_pattern) if runs is None else runs
     vocabulary = runs.select("run").distinct() if vocabulary is None else vocabulary
     matches = materialize(run_needles(vocabulary, terms), "run-needles")
     return (
@@ -115,13 +118,16 @@ def scored_lines(
     )
 
 
-def first_matching_lines(scored: DataFrame, n: int = MAX_LINES_PER_FILE) -> DataFrame:
+def first_matching_lines(scored: DataFrame, n: int | None = None) -> DataFrame:
+    """The first ``n`` matching lines of each (query, file); all of them for None."""
+    if n is None:
+        return scored
     return top_k(scored, ["query_id", "repo", "file"], [F.asc("line_no")], n, "_hit").drop("_hit")
 
 
-def search_lines(files: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search_lines(files: DataFrame, queries: DataFrame, k: int = 10, lines_per_file: int | None = None) -> DataFrame:
     """The line search: the best ``k`` lines of each raw query text."""
-    hits = first_matching_lines(scored_lines(files, classified_terms(queries)))
+    hits = first_matching_lines(scored_lines(files, classified_terms(queries)), lines_per_file)
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("file"), F.asc("line_no")], k)
 
 
@@ -142,29 +148,34 @@ def file_scores(hits: DataFrame) -> DataFrame:
     )
 
 
-def _normal_file_scores(found: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """Top files for normalised queries, whose at most 50 terms fit the bits of one number.
+def _normal_file_scores(found: DataFrame, terms: DataFrame, k: int, lines_per_file: int | None) -> DataFrame:
+    """Top files for normalised queries, whose matched terms are a bit set.
 
     A bit set aggregates in Spark's hash aggregate, where collected sets would
     fall back to sorting every match; the terms are spelled out for the winners.
+    Sixty terms share a number, and the longest query says how many numbers there are.
     """
-    bit = F.when(F.col("term_no") < 62, F.expr("shiftleft(1L, term_no)")).otherwise(
-        F.raise_error(F.lit("a normalised query holds at most 50 terms")).cast("bigint"))
-    lines = (
-        found.join(broadcast_if_small(terms.withColumn("_bit", bit).select("query_id", "repo", "needle", "weight", "_bit")),
-                   ["repo", "needle"])
-        .groupBy("query_id", "repo", "file", "line_no")
-        .agg(F.sum("weight").alias("score"), F.bit_or("_bit").alias("_bits"))
-    )
-    per_file = (
-        first_matching_lines(lines)
-        .groupBy("query_id", "repo", "file")
-        .agg(F.sum("score").alias("score"), F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"),
-             F.bit_or("_bits").alias("_bits"))
-    )
+    longest = terms.agg(F.max("term_no")).first()[0] or 0
+    sets = [f"_bits{i}" for i in range(longest // BITS + 1)]
+    bits = [F.when(F.floor(F.col("term_no") / BITS) == i, F.expr(f"shiftleft(1L, CAST(term_no % {BITS} AS INT))")).otherwise(F.lit(0).cast("long"))
+            .alias(name) for i, name in enumerate(sets)]
+    used_terms = broadcast_if_small(terms.select("query_id", "repo", "needle", "weight", *bits))
+    ends = [F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line")]
+    any_bits = [F.bit_or(name).alias(name) for name in sets]
+    if lines_per_file is None:
+        # lines are counted per needle before queries meet them: no row per query and line
+        by_needle = found.groupBy("repo", "file", "needle").agg(F.count(F.lit(1)).alias("n"), *ends)
+        matched = by_needle.join(used_terms, ["repo", "needle"]).withColumn("weight", F.col("weight") * F.col("n"))
+        ends = [F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")]
+    else:
+        lines = found.join(used_terms, ["repo", "needle"]).groupBy("query_id", "repo", "file", "line_no").agg(
+            F.sum("weight").alias("weight"), *any_bits)
+        matched = first_matching_lines(lines, lines_per_file)
+    per_file = matched.groupBy("query_id", "repo", "file").agg(F.sum("weight").alias("score"), *ends, *any_bits)
     best = top_k(per_file, ["query_id"], [F.desc("score"), F.asc("file"), F.asc("start_line")], k)
     spelled = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "term_no"))).alias("_terms"))
-    used = F.filter("_terms", lambda t: F.getbit(F.col("_bits"), t["term_no"]) == 1)
+    words = F.array(*sets)
+    used = F.filter("_terms", lambda t: F.getbit(F.get(words, F.floor(t["term_no"] / BITS).cast("int")), (t["term_no"] % BITS).cast("int")) == 1)
     return best.join(spelled, "query_id").select(
         "query_id", "repo", "file", "score", "start_line", "end_line",
         F.transform(used, lambda t: t["term"]).alias("matched_terms"),
@@ -175,10 +186,13 @@ def _normal_file_scores(found: DataFrame, terms: DataFrame, k: int) -> DataFrame
 
 def lexical_search(
     files: DataFrame, terms: DataFrame, k: int = 10, run_pattern: str = NON_BLANK_RUN,
-    vocabulary: DataFrame | None = None,
+    vocabulary: DataFrame | None = None, lines_per_file: int | None = None, runs: DataFrame | None = None,
 ) -> DataFrame:
-    """Top ``k`` files per query."""
+    """Top ``k`` files per query, by all matching lines or the first ``lines_per_file``.
+
+    Terms of ``normal_query_terms`` and of ``classified_terms`` give the same columns.
+    """
     if "term_no" in terms.columns:
-        return _normal_file_scores(needle_lines(files, terms, run_pattern, vocabulary), terms, k)
-    hits = file_scores(first_matching_lines(scored_lines(files, terms, run_pattern, vocabulary)))
+        return _normal_file_scores(needle_lines(files, terms, run_pattern, vocabulary, runs), terms, k, lines_per_file)
+    hits = file_scores(first_matching_lines(scored_lines(files, terms, run_pattern, vocabulary), lines_per_file))
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("file"), F.asc("start_line")], k)

@@ -14,11 +14,13 @@ ANNOTATION_START = r"^@([A-Z][A-Za-z0-9_]*)"
 
 def build_queries(
     cases: DataFrame, issue: Column, log: Column, search_terms: Column, concepts: Column, symbols: Column,
-    exceptions: Column, step_terms: Column, step_symbols: Column, mined: Column,
+    exceptions: Column, step_terms: Column, step_symbols: Column, mined: Column, max_terms: int | None = None,
+    max_symbols: int | None = None, max_exceptions: int | None = None, max_annotations: int | None = None,
 ) -> DataFrame:
-    """Adds terms (<=50), exact_symbols (<=20), exception_types (<=10), annotations (<=10).
+    """Adds terms, exact_symbols, exception_types and annotations.
 
     Arrays may be null.  Sources are merged in a fixed order, first seen wins.
+    The limits keep the first items of a list; by default all are kept.
     """
     none = F.array().cast("array<string>")
 
@@ -39,14 +41,14 @@ def build_queries(
     )
     kinds = F.array_distinct(F.concat(in_issue, in_log, given(exceptions)))
     df = cases.withColumn("_raw", raw).withColumn("_kinds", kinds)
-    df = df.withColumn("_terms", tx.normal_terms(F.col("_raw")))
+    df = df.withColumn("_terms", tx.normal_terms(F.col("_raw"), max_terms))
     # names of exceptions are searched with all their parts, stop words included
     parts = F.flatten(F.transform(
         F.filter("_kinds", lambda e: ~F.array_contains(F.col("_terms"), F.lower(e))), tx.identifier_tokens))
     return df.select(
         *cases.columns,
-        F.slice(F.array_distinct(F.concat("_terms", parts)), 1, tx.MAX_QUERY_TERMS).alias("terms"),
-        F.slice(F.array_distinct(F.concat(given(symbols), given(step_symbols), given(mined))), 1, 20).alias("exact_symbols"),
-        F.slice("_kinds", 1, 10).alias("exception_types"),
-        F.slice(F.array_distinct(named), 1, 10).alias("annotations"),
+        tx.first_items(F.array_distinct(F.concat("_terms", parts)), max_terms).alias("terms"),
+        tx.first_items(F.array_distinct(F.concat(given(symbols), given(step_symbols), given(mined))), max_symbols).alias("exact_symbols"),
+        tx.first_items(F.col("_kinds"), max_exceptions).alias("exception_types"),
+        tx.first_items(F.array_distinct(named), max_annotations).alias("annotations"),
     )

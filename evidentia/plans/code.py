@@ -50,8 +50,7 @@ def pl_declarations(spark, sf):
 SELECT file, kind, name, w, cur + 1 AS start_line, we + 1 AS end_line FROM wins_end""")
 def win_split_oversized(spark, sf):
     d = java.with_declarations(code_files(spark, sf)).select("file", "_lines", F.explode("_decls").alias("d"))
-    body = F.array_join(F.slice("_lines", F.col("d.start") + 1, F.col("d.end") - F.col("d.start") + 1), "\n")
-    long = (F.col("d.end") - F.col("d.start") + 1 > java.MAX_DECL_LINES) | (F.length(body) > tx.MAX_CONTENT_CHARS)
+    long = F.col("d.end") - F.col("d.start") + 1 > java.MAX_DECL_LINES
     wins = d.where(long).select(
         "file", "d.kind", "d.name",
         F.explode(java.split_block(F.col("_lines"), F.col("d.start"), F.col("d.end"))).alias("x"))
@@ -137,7 +136,7 @@ parts AS (
          generate_subscripts(list_concat(log_names, regexp_extract_all(array_to_string(ls, chr(10)), '[A-Za-z_][A-Za-z0-9_]*')), 1) AS p
   FROM frames),
 firsts AS (SELECT doc_id, x, min(p) AS p FROM parts WHERE {_IDENT_OK} GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS n FROM firsts QUALIFY n <= 10)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS n FROM firsts)
 """
 
 
@@ -234,11 +233,11 @@ _WALK = """array_to_string(list_concat(list_transform(string_split(file, '/')[:-
 
 @query("src_repo_files", f"""WITH {_PATHS}, kept AS (
   SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_WALK}) AS file_no FROM paths WHERE {_SCAN_WHERE})
-SELECT repo, file, file_no, length(left(text, 200000)) AS n_chars FROM kept WHERE file_no <= 200""")
+SELECT repo, file, file_no, length(text) AS n_chars FROM kept WHERE file_no <= 200""")
 def src_repo_files(spark, sf):
     kept = top_k(_scanned(spark, sf), ["repo"], [tx.walk_key(F.col("file"))], 200, "file_no")
     return kept.select("repo", "file", _big("file_no"),
-                       F.length(F.left("text", F.lit(corpus.MAX_FILE_CHARS))).cast("bigint").alias("n_chars"))
+                       F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query("src_walk_order", f"""WITH {_PATHS} SELECT repo, file, row_number() OVER (PARTITION BY repo ORDER BY {_WALK}) AS walk_no FROM paths""")

@@ -50,12 +50,27 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     )
 
 
+def posting_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored postings of the document corpus."""
+    return _once(spark, sf_dir, "postings", lambda: bm25.build_postings(chunk_index(spark, sf_dir)[0]))
+
+
+def stored_runs(spark: SparkSession, sf_dir: str, run_pattern: str) -> DataFrame:
+    """The stored runs of every line of the document corpus, clustered by run."""
+    return _once(
+        spark, sf_dir, f"line-runs-{run_pattern}",
+        lambda: materialize(
+            lexical.line_runs(doc_files(spark, sf_dir), run_pattern).repartition("run").sortWithinPartitions("run"), "line-runs"
+        ),
+    )
+
+
 def run_vocabulary(spark: SparkSession, sf_dir: str, run_pattern: str) -> DataFrame:
     """The stored distinct runs of the document corpus."""
     return _once(
         spark, sf_dir, f"runs-{run_pattern}",
         lambda: materialize(
-            lexical.line_runs(doc_files(spark, sf_dir), run_pattern).select("run").distinct(), "runs"
+            stored_runs(spark, sf_dir, run_pattern).select("run").distinct(), "runs"
         ),
     )
 

@@ -134,7 +134,7 @@ def ext_scorer(spark, sf):
 
 
 # ----------------------------------------------------------------- case metrics
-_TEXT = "lower(left(text, 2000))"
+_TEXT = "lower(text)"
 _GROUPS = "[['the', 'zzqq'], ['password', 'una'], ['qqzz']]"
 
 
@@ -145,7 +145,7 @@ def _metrics(spark, sf):
         i.alias("case_id"), (i % 11 != 0).alias("completed"), (i % 29 == 0).alias("timed_out"),
         F.when(i % 4 == 0, "partial").otherwise("complete").alias("diagnosis_status"), F.lit("complete").alias("expected_status"),
         F.when(i % 3 == 0, "Config").otherwise("transactions").alias("category"), F.lit("configuration").alias("expected_category"),
-        F.left("text", F.lit(2000)).alias("text"), F.when(i % 5 == 0, F.slice(groups, 1, 1)).otherwise(groups).alias("groups"))
+        F.col("text"), F.when(i % 5 == 0, F.slice(groups, 1, 1)).otherwise(groups).alias("groups"))
     refs = case_refs(spark, sf).where("candidate_index < 3")
     checked = intervals.check_evidence(refs, case_snippets(spark, sf)).where("evidence_index >= 0")
     targets = case_snippets(spark, sf).where("rank < 3")
@@ -241,7 +241,7 @@ def _raw_cases(spark, sf):
     rec = F.to_json(F.struct(
         F.when(i % 17 == 0, F.lit("case-0")).otherwise(F.concat(F.lit("case-"), i.cast("string"))).alias("case_id"),
         F.concat(F.lit("samples/"), "source").alias("repository"),
-        F.when(i % 13 == 0, F.lit(" ")).otherwise(F.left(F.regexp_replace("text", "[^A-Za-z0-9 ]", " "), F.lit(300))).alias("issue_description"),
+        F.when(i % 13 == 0, F.lit(" ")).otherwise(F.regexp_replace("text", "[^A-Za-z0-9 ]", " ")).alias("issue_description"),
         F.lit("configuration").alias("expected_issue_category"), F.lit("complete").alias("expected_diagnosis_status"),
         F.array(F.concat(F.lit("src/D"), i.cast("string"), F.lit(".java"))).alias("expected_files")))
     broken = F.when(i % 11 == 0, F.left(rec, F.lit(40))).when(i % 7 == 0, F.regexp_replace(rec, r"\}\z", ',"hint":1}')).otherwise(rec)
@@ -249,7 +249,7 @@ def _raw_cases(spark, sf):
 
 
 _STRICT = """CASE WHEN doc_id % 11 = 0 THEN 'invalid_json' WHEN doc_id % 7 = 0 THEN 'unknown_field:hint'
-  WHEN doc_id % 13 = 0 OR trim(regexp_replace(left(text, 300), '[^A-Za-z0-9 ]', ' ', 'g')) = '' THEN 'missing:issue_description'
+  WHEN doc_id % 13 = 0 OR trim(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')) = '' THEN 'missing:issue_description'
   WHEN doc_id % 17 = 0 THEN 'duplicate_key' ELSE '' END"""
 
 
@@ -263,7 +263,7 @@ def src_cases_jsonl(spark, sf):
 
 
 @query("prj_agent_view", f"""SELECT 'case-' || doc_id AS case_id, 'samples/' || source AS repository,
-  md5(regexp_replace(left(text, 300), '[^A-Za-z0-9 ]', ' ', 'g')) AS issue, 'error_log,issue_description,repository' AS visible FROM documents WHERE {_STRICT} = ''""")
+  md5(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')) AS issue, 'error_log,issue_description,repository' AS visible FROM documents WHERE {_STRICT} = ''""")
 def prj_agent_view(spark, sf):
     view = records.public_view(_strict(spark, sf).where("error is null").select("rec.*"))
     names = ",".join(sorted(c for c in view.columns if c != "case_id"))
@@ -317,7 +317,7 @@ def src_regressions_jsonl(spark, sf):
     i = F.col("doc_id")
     raw = table(spark, sf, "documents").select(F.col("source").alias("corpus"), F.to_json(F.struct(
         F.lit("v").alias("schema_version"), F.floor(i / 40).cast("string").alias("regression_id"), i.cast("string").alias("case_id"),
-        F.lit("c").alias("semantic_component_id"), F.create_map(F.lit("text"), F.left("text", F.lit(100))).alias("bounded_input"))).alias("raw"))
+        F.lit("c").alias("semantic_component_id"), F.create_map(F.lit("text"), F.col("text")).alias("bounded_input"))).alias("raw"))
     r = records.strict_records(raw, records.REGRESSION_SCHEMA, "regression_id", ["regression_id", "case_id"], scope=["corpus"])
     return records.cardinality_check(r, 11, F.col("rec.regression_id"), "corpus")
 

@@ -8,7 +8,7 @@ from evidentia.functions import text as tx
 from evidentia.operators import bm25, corpus, fusion, lexical
 from evidentia.operators.ranking import top_k
 from evidentia.plans import sqltext as S
-from evidentia.plans.derive import bench_queries, chunk_index, doc_files, run_vocabulary
+from evidentia.plans.derive import bench_queries, chunk_index, doc_files, posting_index, run_vocabulary, stored_runs
 from evidentia.plans.registry import query
 from evidentia.session import table
 
@@ -120,7 +120,7 @@ def jn_postings(spark, sf):
 
 def _scores(spark, sf, queries):
     chunks, idf = chunk_index(spark, sf)
-    return bm25.bm25_scores(chunks, queries, idf)
+    return bm25.all_scores(chunks, queries, idf, posting_index(spark, sf))
 
 
 @query("ag_bm25_score", f"""WITH {S.BM25}
@@ -132,7 +132,7 @@ def ag_bm25_score(spark, sf):
 
 def _bm25_top(spark, sf, k=10):
     chunks, idf = chunk_index(spark, sf)
-    return bm25.bm25_search(chunks, bench_queries(spark, sf), k, idf)
+    return bm25.bm25_search(chunks, bench_queries(spark, sf), k, idf, posting_index(spark, sf))
 
 
 _TOP = "SELECT query_id, rank, file, start_line, end_line, chunk_id, round(score, 6) AS score, matched FROM "
@@ -158,13 +158,11 @@ def win_topk(spark, sf):
 
 @query("srt_hits", f"""WITH {S.BM25}
 SELECT b.query_id, c.file, c.start_line, chunk_id, round(b.score, 6) AS score FROM bm25_all b JOIN chunks c USING (chunk_id)
-WHERE b.query_id = (SELECT min(item_id) FROM benchmark)
-ORDER BY b.score DESC, c.file, c.start_line, chunk_id LIMIT 25""")
+QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, c.file, c.start_line, chunk_id) <= 25
+ORDER BY b.query_id, b.score DESC, c.file, c.start_line, chunk_id""")
 def srt_hits(spark, sf):
-    queries = bench_queries(spark, sf)
-    first = queries.agg(F.min("query_id").alias("query_id"))
-    scored = _scores(spark, sf, queries.join(first, "query_id", "left_semi"))
-    return scored.orderBy(*bm25.hit_order()).limit(25).select(
+    scored = top_k(_scores(spark, sf, bench_queries(spark, sf)), ["query_id"], bm25.hit_order(), 25)
+    return scored.orderBy("query_id", "rank").select(
         "query_id", "file", "start_line", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -201,9 +199,7 @@ def jn_substring(spark, sf):
 _SCORED = f"""WITH {S.LINES}, {_RAW_TERMS}, scored AS (
   SELECT query_id, file, line_no, sum(weight) AS score,
          array_to_string(list_sort(list_distinct(list(term))), ' ') AS terms
-  FROM file_lines JOIN weighted_terms ON contains(line, needle) GROUP BY 1, 2, 3),
-first_n AS (SELECT *, row_number() OVER (PARTITION BY query_id, file ORDER BY line_no) AS hit_no
-  FROM scored QUALIFY hit_no <= 100)"""
+  FROM file_lines JOIN weighted_terms ON contains(line, needle) GROUP BY 1, 2, 3)"""
 
 
 def _scored_lines(spark, sf):
@@ -212,14 +208,15 @@ def _scored_lines(spark, sf):
     return lexical.scored_lines(doc_files(spark, sf), terms, vocabulary=vocabulary)
 
 
-@query("win_first_n", _SCORED + " SELECT query_id, file, line_no, score FROM first_n")
+@query("win_first_n", _SCORED + """ SELECT query_id, file, line_no, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id, file ORDER BY line_no) <= 100""")
 def win_first_n(spark, sf):
-    return lexical.first_matching_lines(_scored_lines(spark, sf)).select("query_id", "file", "line_no", "score")
+    return lexical.first_matching_lines(_scored_lines(spark, sf), 100).select("query_id", "file", "line_no", "score")
 
 
 @query("srt_line_hits", _SCORED + """
 SELECT query_id, rank, file, line_no, score, terms FROM (SELECT *, row_number() OVER
-  (PARTITION BY query_id ORDER BY score DESC, file, line_no) AS rank FROM first_n) WHERE rank <= 10""")
+  (PARTITION BY query_id ORDER BY score DESC, file, line_no) AS rank FROM scored) WHERE rank <= 10""")
 def srt_line_hits(spark, sf):
     return lexical.search_lines(doc_files(spark, sf), bench_queries(spark, sf)).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "file", "line_no", "score",
@@ -228,16 +225,15 @@ def srt_line_hits(spark, sf):
 
 @query("ag_lexical_file", _SCORED + """
 SELECT query_id, file, sum(score) AS score, min(line_no) AS start_line, max(line_no) AS end_line
-FROM first_n GROUP BY 1, 2""")
+FROM scored GROUP BY 1, 2""")
 def ag_lexical_file(spark, sf):
-    hits = lexical.first_matching_lines(_scored_lines(spark, sf))
-    return lexical.file_scores(hits).select("query_id", "file", "score", "start_line", "end_line")
+    return lexical.file_scores(_scored_lines(spark, sf)).select("query_id", "file", "score", "start_line", "end_line")
 
 
 def _lexical_top(spark, sf, k=10):
     return lexical.lexical_search(
         doc_files(spark, sf), lexical.normal_query_terms(bench_queries(spark, sf)), k, lexical.NORMAL_RUN,
-        run_vocabulary(spark, sf, lexical.NORMAL_RUN))
+        run_vocabulary(spark, sf, lexical.NORMAL_RUN), runs=stored_runs(spark, sf, lexical.NORMAL_RUN))
 
 
 @query("pl_lexical_search", f"WITH {S.LINES}, {S.QUERY_TERMS}, {S.LEXICAL} {_TOP} lex_top")

@@ -54,8 +54,7 @@ win_body AS (
   FROM win_starts),
 chunks AS (
   SELECT repo, file, doc_id, start_line, end_line,
-         CASE WHEN length(body) > 4000
-              THEN regexp_replace(left(body, 4000), '(?s)^(.+)\\n[^\\n]*$', '\\1') ELSE body END AS content,
+         body AS content,
          left(sha256(file || ':config_block::' || start_line || ':' || end_line), 16) AS chunk_id
   FROM win_body)"""
 
@@ -72,7 +71,7 @@ first_seen AS (
   WHERE token NOT IN {STOP} GROUP BY ALL),
 chunk_tokens AS (
   SELECT chunk_id, token, pos, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS tok_no
-  FROM first_seen QUALIFY tok_no <= 200)"""
+  FROM first_seen)"""
 
 QUERY_TERMS = f"""
 query_idents AS (
@@ -86,7 +85,7 @@ query_first AS (
   SELECT query_id, token, min(p1 * 1000 + p2) AS pos FROM query_parts WHERE token NOT IN {STOP} GROUP BY ALL),
 query_terms AS (
   SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS term_no
-  FROM query_first QUALIFY term_no < 50)"""
+  FROM query_first)"""
 
 BM25 = CHUNK_TOKENS + "," + QUERY_TERMS + """,
 chunk_len AS (SELECT chunk_id, count(*) AS dl FROM chunk_tokens GROUP BY 1),
@@ -109,13 +108,10 @@ LEXICAL = """
 lex_pairs AS (
   SELECT q.query_id, l.file, l.line_no, count(*) AS score, list(q.token) AS terms
   FROM file_lines l JOIN query_terms q ON contains(l.line, q.token) GROUP BY 1, 2, 3),
-lex_first AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id, file ORDER BY line_no) AS hit_no
-  FROM lex_pairs QUALIFY hit_no <= 100),
 lex_files AS (
   SELECT query_id, file, sum(score)::DOUBLE AS score, min(line_no) AS start_line, max(line_no) AS end_line,
          array_to_string(list_sort(list_distinct(flatten(list(terms)))), ' ') AS matched
-  FROM lex_first GROUP BY 1, 2),
+  FROM lex_pairs GROUP BY 1, 2),
 lex_top AS (
   SELECT *, left(sha256(file || ':file_window::' || start_line || ':' || end_line), 16) AS chunk_id,
          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, start_line) AS rank
@@ -171,47 +167,18 @@ symbol_queries AS (
          unnest([0, 1, 2]) AS symbol_no
   FROM benchmark)"""
 
-# Chunks of the declarations: long blocks become windows of at most 60 lines and
-# 4000 characters; a file with an unbreakable line becomes plain windows.
+# Chunks of the declarations: long blocks become windows of at most 60 lines that overlap by five.
 DECL_CHUNKS = CODE + """,
-code_cum AS (
-  SELECT *, list_concat([0], list_transform(range(1, len(ls) + 1),
-            lambda i: list_sum(list_transform(ls[1:i], lambda x: length(x)))))::BIGINT[] AS cum FROM decls),
 spans AS (
-  SELECT *, start_line - 1 AS s, end_line - 1 AS e,
-         (end_line - start_line + 1 > 60) OR (cum[end_line + 1] - cum[start_line] + end_line - start_line > 4000) AS is_long
-  FROM code_cum),
-wins AS (
-  SELECT repo, file, kind, name, ls, cum, e AS fin, 0 AS w, s AS cur, least(s + 59, e) AS last FROM spans WHERE is_long
-  UNION ALL
-  SELECT repo, file, kind, name, ls, cum, fin, w + 1, nxt, least(nxt + 59, fin) FROM (
-    SELECT *, CASE WHEN we - 4 <= cur THEN we + 1 ELSE we - 4 END AS nxt FROM (
-      SELECT *, CASE WHEN cum[last + 2] - cum[cur + 1] + last - cur <= 4000 THEN last
-        ELSE coalesce(list_max(list_filter(range(cur, last),
-             lambda k: cum[k + 2] - cum[cur + 1] + k - cur BETWEEN 1 AND 3999)), last) END AS we FROM wins)
-    WHERE we < fin)),
+  SELECT *, start_line - 1 AS s, end_line - 1 AS e, end_line - start_line + 1 > 60 AS is_long FROM decls),
 wins_end AS (
-  SELECT *, CASE WHEN cum[last + 2] - cum[cur + 1] + last - cur <= 4000 THEN last
-        ELSE coalesce(list_max(list_filter(range(cur, last),
-             lambda k: cum[k + 2] - cum[cur + 1] + k - cur BETWEEN 1 AND 3999)), last) END AS we FROM wins),
-pieces AS (
+  SELECT repo, file, kind, name, ls, w, s + w * 55 AS cur, least(s + w * 55 + 59, e) AS we
+  FROM (SELECT *, unnest(range(0, greatest(ceil((e - s - 59) / 55.0), 0)::BIGINT + 1)) AS w FROM spans WHERE is_long)),
+decl_chunks AS (
   SELECT repo, file, kind AS chunk_type, name AS symbol_name, name AS id_symbol, start_line, end_line,
          array_to_string(ls[start_line:end_line], chr(10)) AS content FROM spans WHERE NOT is_long
   UNION ALL
-  SELECT repo, file, kind, name, name || '_w' || w, cur + 1, we + 1, array_to_string(ls[cur+1 : we+1], chr(10)) FROM wins_end),
-bad_files AS (SELECT DISTINCT file FROM pieces WHERE length(content) > 4000),
-plain_starts AS (
-  SELECT repo, file, ls, unnest(range(0, greatest(ceil((len(ls) - 40) / 35.0) * 35, 0)::BIGINT + 1, 35)) AS st
-  FROM code WHERE file IN (SELECT file FROM bad_files)),
-plain AS (
-  SELECT repo, file, 'file_window' AS chunk_type, NULL AS symbol_name, '' AS id_symbol, st + 1 AS start_line,
-         least(st + 40, len(ls)) AS end_line, array_to_string(ls[st+1 : st+40], chr(10)) AS body FROM plain_starts),
-decl_chunks AS (
-  SELECT * FROM pieces WHERE file NOT IN (SELECT file FROM bad_files)
-  UNION ALL
-  SELECT repo, file, chunk_type, symbol_name, id_symbol, start_line, end_line,
-         CASE WHEN length(body) > 4000 THEN regexp_replace(left(body, 4000), '(?s)^(.+)\\n[^\\n]*$', '\\1') ELSE body END
-  FROM plain)"""
+  SELECT repo, file, kind, name, name || '_w' || w, cur + 1, we + 1, array_to_string(ls[cur+1 : we+1], chr(10)) FROM wins_end)"""
 
 CASES = f"""
 doc_n AS (

@@ -48,13 +48,14 @@ def in_workspace_view(path: Column) -> Column:
 
 
 def read_repositories(
-    spark: SparkSession, root: str, max_files: int | None = 200, max_bytes: int = 200_000
+    spark: SparkSession, root: str, max_files: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
     """(repo, file, content, size, truncated) of every scannable text file below ``root``.
 
     The first directory below ``root`` names the repository.  Files that are not
-    UTF-8 are skipped, longer ones are cut, and each repository is capped to its
-    first ``max_files`` files in walk order (None for no cap).
+    UTF-8 are skipped.  ``max_bytes`` cuts longer ones (``truncated`` marks them) and
+    ``max_files`` takes the first files of each repository in walk order; by default
+    all files are read whole.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     inside = F.regexp_extract("path", rf"(?s)\Q{root.rstrip('/')}\E/(.*)\z", 1)
@@ -69,8 +70,8 @@ def read_repositories(
         files = files.join(keep, ["repo", "file"], "left_semi")
     text = tx.canonical_newlines(F.col("content").cast("string"))
     return files.select(
-        "repo", "file", F.left(text, F.lit(max_bytes)).alias("content"), "size",
-        (F.col("size") > max_bytes).alias("truncated"),
+        "repo", "file", (text if max_bytes is None else F.left(text, F.lit(max_bytes))).alias("content"), "size",
+        (F.lit(False) if max_bytes is None else F.col("size") > max_bytes).alias("truncated"),
     )
 
 

@@ -32,8 +32,10 @@ def test_normal_terms_and_discards(spark):
     row = df.select(tx.normal_terms(F.col("t")).alias("n"), tx.discarded_terms(F.col("t")).alias("d")).first()
     assert row["n"] == ["order", "service"] and row["d"] == 2
     many = spark.createDataFrame([([f"t{i:02d}" for i in range(60)],)], "t array<string>")
-    row = many.select(tx.normal_terms(F.col("t")).alias("n"), tx.discarded_terms(F.col("t")).alias("d")).first()
+    row = many.select(tx.normal_terms(F.col("t"), 50).alias("n"), tx.discarded_terms(F.col("t"), 50).alias("d")).first()
     assert len(row["n"]) == 50 and row["d"] == 10
+    row = many.select(tx.normal_terms(F.col("t")).alias("n"), tx.discarded_terms(F.col("t")).alias("d")).first()
+    assert len(row["n"]) == 60 and row["d"] == 0
 
 
 def test_lines_drop_only_the_final_end(spark):
