@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
-from evidentia.operators import bm25, corpus, lexical
+from evidentia.operators import bm25, corpus, lexical, querying, retrieval
 from evidentia.session import materialize, spread, table
 
 _INDEX: dict[tuple[str, str, str], object] = {}
@@ -137,6 +137,36 @@ def symbol_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text files beside the code derived from them, in the repository of their source."""
+    docs = spread(table(spark, sf_dir, "documents")).select(
+        F.col("source").alias("repo"), F.concat(F.lit("docs/d"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".yml")).alias("file"),
+        F.col("text").alias("content"))
+    return docs.unionByName(code_files(spark, sf_dir).select("repo", "file", "content"))
+
+
+def mixed_index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    """The stored index of the mixed corpus."""
+    return _once(spark, sf_dir, "mixed", lambda: retrieval.build(mixed_files(spark, sf_dir)))
+
+
+def case_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as cases: queries built from their text and the symbols that a plan names."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0)
+    symbols = F.array(
+        F.concat(_capital(F.get(words, F.lit(0)), "alpha"), F.lit("Service")), F.concat(F.lit("find"), _capital(F.get(words, F.lit(1)), "beta")),
+        F.lit("Transactional"))
+    cases = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("repo"), "text", symbols.alias("symbols"))
+    none = F.lit(None).cast("array<string>")
+    return querying.build_queries(cases, F.col("text"), F.lit(""), none, none, F.col("symbols"), none, none, none, none)
+
+
+def case_channels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The three channels' hits of all cases over the mixed corpus."""
+    return _once(spark, sf_dir, "case-channels", lambda: retrieval.channels(mixed_index(spark, sf_dir), case_queries(spark, sf_dir)))
+
+
 # --------------------------------------------------------------- ranges and edits
 def case_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three retrieved ranges per document: (case_id, file, rank, start_line, end_line)."""
@@ -225,15 +255,15 @@ SENTENCE = r"[.\n]+\s*"
 
 
 def expected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, file): documents that share a sentence of 30 or more characters with an item."""
-    def sentences(df, key):
-        return df.select(key, F.explode(F.array_distinct(F.split("text", SENTENCE))).alias("s")).where(F.length("s") >= 30)
+    """(query_id, file): documents of an item's repository that share a sentence with it."""
+    def sentences(df, key, repo):
+        return df.select(key, repo.alias("repo"), F.explode(F.array_distinct(F.split("text", SENTENCE))).alias("s")).where("s <> ''")
 
-    docs = sentences(spread(table(spark, sf_dir, "documents")), "doc_id")
-    items = sentences(table(spark, sf_dir, "benchmark"), "item_id")
+    docs = sentences(spread(table(spark, sf_dir, "documents")), "doc_id", F.col("source"))
+    items = sentences(table(spark, sf_dir, "benchmark"), "item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
     from evidentia.session import broadcast_if_small
 
-    return docs.join(broadcast_if_small(items), "s").select(
+    return docs.join(broadcast_if_small(items), ["repo", "s"]).select(
         F.col("item_id").alias("query_id"),
         F.concat(F.lit("docs/d"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".yml")).alias("file"),
     ).distinct()

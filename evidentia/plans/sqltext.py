@@ -58,7 +58,7 @@ chunks AS (
          left(sha256(file || ':config_block::' || start_line || ':' || end_line), 16) AS chunk_id
   FROM win_body)"""
 
-CHUNK_TOKENS = WINDOWS + f""",
+TOKENS = f"""
 idents AS (
   SELECT chunk_id, unnest(ids) AS ident, generate_subscripts(ids, 1) AS p1
   FROM (SELECT chunk_id, regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*') AS ids FROM chunks)),
@@ -72,6 +72,7 @@ first_seen AS (
 chunk_tokens AS (
   SELECT chunk_id, token, pos, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS tok_no
   FROM first_seen)"""
+CHUNK_TOKENS = WINDOWS + "," + TOKENS
 
 QUERY_TERMS = f"""
 query_idents AS (
@@ -180,6 +181,64 @@ decl_chunks AS (
   UNION ALL
   SELECT repo, file, kind, name, name || '_w' || w, cur + 1, we + 1, array_to_string(ls[cur+1 : we+1], chr(10)) FROM wins_end)"""
 
+# Documents and the code derived from them in one repository per source; items search the code
+# and text of their repository through three channels.
+MIXED = DECL_CHUNKS + "," + SYMBOL_ROWS + "," + SYMBOL_QUERIES + f""",
+mx AS (
+  SELECT source AS repo, 'docs/d' || lpad(doc_id::VARCHAR, 9, '0') || '.yml' AS file, {lines('text')} AS ls FROM documents
+  UNION ALL SELECT repo, file, ls FROM code),
+mx_lines AS (SELECT repo, file, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM mx),
+mx_starts AS (
+  SELECT *, unnest(range(0, greatest(ceil((len(ls) - 40) / 35.0) * 35, 0)::BIGINT + 1, 35)) AS st FROM mx WHERE len(ls) > 0 AND suffix(file, '.yml')),
+chunks AS (
+  SELECT repo, file, st + 1 AS start_line, least(st + 40, len(ls)) AS end_line, array_to_string(ls[st+1 : st+40], chr(10)) AS content,
+         left(sha256(file || ':config_block::' || (st + 1) || ':' || least(st + 40, len(ls))), 16) AS chunk_id FROM mx_starts
+  UNION ALL
+  SELECT repo, file, start_line, end_line, content,
+         left(sha256(file || ':' || chunk_type || ':' || id_symbol || ':' || start_line || ':' || end_line), 16) FROM decl_chunks),""" + TOKENS + f""",
+case_terms AS (
+  SELECT item_id AS query_id, 'src' || (item_id % 20) AS repo,
+    list_concat(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: length(x) >= 3),
+      [{capital(_FOUND + '[1]', 'alpha')} || 'Service', 'find' || {capital(_FOUND + '[2]', 'beta')}, 'Transactional']) AS ts FROM benchmark),
+case_parts AS (
+  SELECT query_id, repo, p1, unnest(ps) AS token, generate_subscripts(ps, 1) AS p2 FROM (
+    SELECT query_id, repo, p1, {plain_tokens('t')} AS ps FROM (SELECT query_id, repo, unnest(ts) AS t, generate_subscripts(ts, 1) AS p1 FROM case_terms))),
+query_terms AS (
+  SELECT query_id, repo, token, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS term_no
+  FROM (SELECT query_id, repo, token, min(p1 * 1000 + p2) AS pos FROM case_parts WHERE token NOT IN {STOP} GROUP BY ALL)),
+chunk_len AS (SELECT chunk_id, repo, count(*) AS dl FROM chunk_tokens JOIN chunks USING (chunk_id) GROUP BY 1, 2),
+corpus_size AS (SELECT repo, count(*) AS n, avg(dl) AS avgdl FROM chunk_len GROUP BY 1),
+dfs AS (SELECT repo, token, count(*) AS df FROM chunk_tokens JOIN chunk_len USING (chunk_id) GROUP BY 1, 2),
+raw_idf AS (SELECT repo, token, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM dfs JOIN corpus_size USING (repo)),
+idfs AS (SELECT *, CASE WHEN r < 0 THEN 0.25 * avg(r) OVER (PARTITION BY repo) ELSE r END AS idf FROM raw_idf),
+bm25_all AS (
+  SELECT q.query_id, t.chunk_id, round(sum(idf * 2.5 / (1 + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score
+  FROM query_terms q JOIN idfs i ON i.repo = q.repo AND i.token = q.token JOIN chunk_tokens t ON t.token = q.token
+  JOIN chunk_len l ON l.chunk_id = t.chunk_id AND l.repo = q.repo GROUP BY 1, 2 HAVING score > 0),
+bm25_top AS (
+  SELECT b.query_id, c.file, c.start_line, c.end_line, b.chunk_id,
+         row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, c.file, c.start_line, b.chunk_id) AS rank
+  FROM bm25_all b JOIN chunks c USING (chunk_id) QUALIFY rank <= 10),
+lex_files AS (
+  SELECT q.query_id, l.file, count(*)::DOUBLE AS score, min(l.line_no) AS start_line, max(l.line_no) AS end_line
+  FROM mx_lines l JOIN query_terms q ON l.repo = q.repo AND contains(l.line, q.token) GROUP BY 1, 2),
+lex_top AS (
+  SELECT *, left(sha256(file || ':file_window::' || start_line || ':' || end_line), 16) AS chunk_id,
+         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, start_line) AS rank FROM lex_files QUALIFY rank <= 10),
+symbol_top AS (
+  SELECT q.query_id, s.file, s.line AS start_line, block_end AS end_line,
+         left(sha256(file || ':' || kind || ':' || symbol || ':' || line || ':' || block_end), 16) AS chunk_id,
+         row_number() OVER (PARTITION BY q.query_id ORDER BY q.symbol_no, s.file, s.line, s.kind) AS rank
+  FROM symbol_rows s JOIN symbol_queries q ON q.repo = s.repo AND q.symbol = s.name QUALIFY rank <= 10),
+both_channels AS (
+  SELECT query_id, chunk_id, file, start_line, end_line, rank, 'baseline' AS channel, 0 AS channel_no FROM lex_top
+  UNION ALL SELECT query_id, chunk_id, file, start_line, end_line, rank, 'bm25', 1 FROM bm25_top
+  UNION ALL SELECT query_id, chunk_id, file, start_line, end_line, rank, 'symbol', 2 FROM symbol_top),
+fused AS (
+  SELECT query_id, chunk_id, any_value(file) AS file, any_value(start_line) AS start_line, any_value(end_line) AS end_line,
+         round(sum(CASE channel WHEN 'symbol' THEN 1.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 12) AS score,
+         string_agg(channel, ' ' ORDER BY channel_no) AS sources FROM both_channels GROUP BY 1, 2)"""
+
 CASES = f"""
 doc_n AS (
   SELECT doc_id AS case_id, 'docs/d' || doc_id AS file, text, len(ls) AS n
@@ -217,9 +276,9 @@ verdicts AS (
 EXPECTED = r"""
 expected AS (
   SELECT DISTINCT i.item_id AS query_id, 'docs/d' || lpad(d.doc_id::VARCHAR, 9, '0') || '.yml' AS file
-  FROM (SELECT doc_id, unnest(string_split_regex(text, '[.\n]+\s*')) AS s FROM documents) d
-  JOIN (SELECT item_id, unnest(string_split_regex(text, '[.\n]+\s*')) AS s FROM benchmark) i USING (s)
-  WHERE length(s) >= 30)"""
+  FROM (SELECT doc_id, source, unnest(string_split_regex(text, '[.\n]+\s*')) AS s FROM documents) d
+  JOIN (SELECT item_id, 'src' || (item_id % 20) AS source, unnest(string_split_regex(text, '[.\n]+\s*')) AS s FROM benchmark) i USING (s, source)
+  WHERE s <> '')"""
 
 
 def merged(source: str, name: str) -> str:
