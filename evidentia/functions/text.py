@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import values as V
 
+# Line ends, word boundaries and identifiers.
 # Line ends as Python's ``splitlines`` sees them.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 WORD_BOUNDARY = r"(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z0-9])(?=[A-Z])"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
+# end fixed values
 
 
 def first_items(items: Column, limit: int | None) -> Column:
@@ -262,12 +264,15 @@ SECRET_ASSIGNMENT = (
 )
 URL = r"(?i)https?://[^\s\]\)}>]+"
 ENV_FILE = r"(?i)(?:^|[\\/])\.env(?:\.[^\s/\\,;]+)?"
-_ROOTS = r"(?:[a-z]:[\\/]|\\\\|/(?:private/tmp|tmp|var|home|users?|root|workspaces?|opt|mnt)/)"
-LOCAL_PATH = rf"(?i)(?:[\"']{_ROOTS}[^\"'\r\n]*[\"']|{_ROOTS}[^\r\n,;]+)"
+LOCAL_PATH = (
+    r"(?i)(?:[\"'](?:[a-z]:[\\/]|\\\\|/(?:private/tmp|tmp|var|home|users?|root|workspaces?|opt|mnt)/)[^\"'\r\n]*[\"']|"
+    r"(?:[a-z]:[\\/]|\\\\|/(?:private/tmp|tmp|var|home|users?|root|workspaces?|opt|mnt)/)[^\r\n,;]+)"
+)
 LOG_SECRET = r"(?i)(api[_ -]?key|token|secret|password|authorization)(\s*[:=]\s*)[^\s,;]+"
 LOG_PATH = r"(?i)(?:[a-z]:[\\/]|/(?:tmp|var|home|users?)/)[^\s\r\n,;]+"
 ANY_ABSOLUTE_PATH = r"(?:[A-Za-z]:[\\/]|(?<!\w)/)[^\s,;)}\]]+"
 PATH_MARK = "<absolute-path-redacted>"
+# end fixed values
 
 
 def redact_artifact(text: Column) -> Column:
@@ -332,6 +337,7 @@ def bounded_list(items: Column, max_chars: int, max_items: int) -> Column:
 
 # Step texts must not ask for these commands.
 SHELL_WORDS = ["mvn ", "mvn\t", "bash ", "sh ", "sudo ", "rm -rf", "curl "]
+# end fixed values
 
 
 def asks_for_shell(text: Column) -> Column:

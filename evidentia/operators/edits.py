@@ -20,6 +20,7 @@ from evidentia.session import computed_once
 ALLOWED_ROOTS = r"^src/main/(?:java|resources)/"
 FORBIDDEN_PARTS = [".git", "benchmark", "target", "artifacts"]
 APPLY_FORBIDDEN_PARTS = [".git", "target", "build", "node_modules", "artifacts", "benchmark", "__pycache__"]
+# end fixed values
 
 
 def _absolute(path: Column) -> Column:

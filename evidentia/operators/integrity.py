@@ -20,6 +20,7 @@ PROHIBITED_TEST_TEXT = [
 ]
 PUBLIC_TREE_SKIP = [".git", "target", "artifacts", "benchmark"]
 MIN_LEAK_SYMBOL = 8
+# end fixed values
 
 
 def canonical_bytes(content: Column) -> Column:

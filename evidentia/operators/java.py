@@ -307,9 +307,9 @@ def symbol_search(
 
 
 # -------------------------------------------------------------------- imports
+# Imports, literals and comments, and where a capitalised name is certainly a type.
 _IMPORT = r"^\s*import\s+(?:static\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+)\s*;\s*$"
 _LITERAL = r'"(?:[^"\\]++|\\(?s:.))*+"|' + r"'(?:[^'\\]++|\\(?s:.))*+'|//[^\r\n]*|/\*(?s:.*?)\*/"
-# Where a capitalised name is certainly a type.
 _DECLARED = r"\b(?:class|interface|enum|record)\s+([A-Z][A-Za-z0-9_$]*)\b"
 _DECLARED_ANNOTATION = r"\b@interface\s+([A-Z][A-Za-z0-9_$]*)\b"
 _CAPITALISED = r"\b[A-Z][A-Za-z0-9_$]*\b"

@@ -10,6 +10,7 @@ from evidentia.functions import text as tx
 # Shapes of exception and annotation names.
 EXCEPTION = r"\b([A-Z][A-Za-z0-9_]*Exception)\b"
 ANNOTATION_START = r"^@([A-Z][A-Za-z0-9_]*)"
+# end fixed values
 
 
 def build_queries(

@@ -24,6 +24,7 @@ FUNNEL = [
     ("Proposal Validated", "proposal_valid"), ("Patch Applied", "patch_applied"),
     ("Target Test Executed", "target_test_found"), ("Repair Successful", "repair_success"),
 ]
+# end fixed values
 SEMANTIC_ANYWHERE = ["src/test", "target", "benchmark"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
+from evidentia.functions import values as V
 from evidentia.operators import integrity as ig
 from evidentia.plans import sqltext as S
 from evidentia.plans.derive import doc_files
@@ -142,15 +143,26 @@ def jn_token_audit(spark, sf):
         "doc_id", F.array_join(ig.pattern_hits(F.lower("text"), _AUDIT_PATTERNS), "~").alias("hits"))
 
 
-_OVERRIDES = ["@TestPropertySource", "@DynamicPropertySource", "properties =", "System.setProperty", "the", "password", "http://"]
+# A document as a test source: some of its lines begin with one of the tokens.
+_TEST_SOURCE = f"""test_lines AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, {S.lines('text')} AS ls FROM documents)),
+test_sources AS (SELECT doc_id, string_agg(coalesce(([{', '.join(S.quoted(t) for t in V.CONFIG_OVERRIDES)}])[(doc_id + i * i) % 40 + 1], '') || line, chr(10) ORDER BY i) AS body
+  FROM test_lines GROUP BY 1)"""
 
 
-@query("flt_config_override", "SELECT doc_id, unnest(list_filter([" + ", ".join(
-    f"CASE WHEN contains(text, {S.quoted(t)}) THEN 'docs/' || doc_id || ': ' || {S.quoted(t)} END" for t in _OVERRIDES)
-    + "], lambda x: x IS NOT NULL)) AS hit FROM documents")
+def _test_sources(spark, sf):
+    tokens = F.array(*[F.lit(t) for t in V.CONFIG_OVERRIDES])
+    number = F.transform(tx.lines_of(F.col("text")), lambda x, i: F.concat(
+        F.coalesce(F.get(tokens, ((F.col("doc_id") + (i + 1) * (i + 1)) % 40).cast("int")), F.lit("")), x))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(number, "\n").alias("body"))
+
+
+@query("flt_config_override", f"WITH {_TEST_SOURCE} SELECT doc_id, unnest(list_filter([" + ", ".join(
+    f"CASE WHEN contains(body, {S.quoted(t)}) THEN 'docs/' || doc_id || ': ' || {S.quoted(t)} END" for t in V.CONFIG_OVERRIDES)
+    + "], lambda x: x IS NOT NULL)) AS hit FROM test_sources")
 def flt_config_override(spark, sf):
-    hits = ig.literal_hits(F.col("text"), _OVERRIDES)
-    return table(spark, sf, "documents").select("doc_id", F.explode(hits).alias("t")).select(
+    hits = ig.literal_hits(F.col("body"), V.CONFIG_OVERRIDES)
+    return _test_sources(spark, sf).select("doc_id", F.explode(hits).alias("t")).select(
         "doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(": "), F.col("t")).alias("hit"))
 
 

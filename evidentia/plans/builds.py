@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as tx
 from evidentia.operators import logs
 from evidentia.plans import sqltext as S
 from evidentia.plans.derive import code_files, spread
 from evidentia.plans.registry import query
-from evidentia.session import table
+from evidentia.session import new_table_path, table
 
 # (log lines, executed, timed out, exit code, report, found, failures, errors, category, phase, message)
 _KINDS = [
@@ -101,11 +102,16 @@ def win_first_event(spark, sf):
     return build_runs(spark, sf).select("run_id", logs.first_error(F.col("stdout")).alias("first_error")).where("first_error is not null")
 
 
-@query("src_build_logs", "SELECT doc_id AS run_id, 2 + len(string_split(text, chr(10))) - 0 AS min_lines FROM documents")
+@query("src_build_logs", f"""SELECT run_id, len({S.lines('log')}) AS log_lines, md5(log) AS digest FROM (
+  SELECT doc_id AS run_id, '[INFO] Scanning' || chr(10) || regexp_replace(text, '[^A-Za-z0-9 \\n]', '', 'g') || chr(10)
+    || replace({_values(0)}, '@', 'D' || doc_id) || chr(10) AS log FROM documents)""")
 def src_build_logs(spark, sf):
-    runs = build_runs(spark, sf)
-    extra = F.element_at(F.array(*[F.lit(k[0].count("\n")) for k in _KINDS]), (F.col("run_id") % _N + 1).cast("int"))
-    return runs.select("run_id", (F.size(F.split("stdout", "\n", -1)) - extra).cast("bigint").alias("min_lines"))
+    from evidentia.sources.files import read_logs
+
+    path = new_table_path(spark, "build-logs")
+    build_runs(spark, sf).select("run_id", "stdout").write.partitionBy("run_id").text(path)
+    return read_logs(spark, path).select(
+        F.col("run_id").cast("bigint").alias("run_id"), F.size(tx.lines_of(F.col("log"))).cast("bigint").alias("log_lines"), F.md5("log").alias("digest"))
 
 
 # -------------------------------------------------------------------- reports

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.operators import bm25, corpus, lexical, querying, retrieval
-from evidentia.session import materialize, spread, table
+from evidentia.session import materialize, new_table_path, spread, table
+from evidentia.sources.records import read_jsonl
 
 _INDEX: dict[tuple[str, str, str], object] = {}
 
@@ -75,6 +76,13 @@ def run_vocabulary(spark: SparkSession, sf_dir: str, run_pattern: str) -> DataFr
     )
 
 
+def through_files(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """The ``raw`` lines written as JSONL files to the shared folder and read back by the reader."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.partitionBy(*partitions).text(path)
+    return read_jsonl(df.sparkSession, path)
+
+
 # ------------------------------------------------------------------ source code
 def _capital(word, default: str):
     w = F.coalesce(word, F.lit(default))

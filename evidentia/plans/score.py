@@ -8,7 +8,7 @@ from evidentia.functions import text as tx
 from evidentia.operators import edits as ed
 from evidentia.operators import intervals, scoring as sc
 from evidentia.plans import sqltext as S
-from evidentia.plans.derive import case_refs, case_snippets, code_cases, code_evidence, proposed_edits
+from evidentia.plans.derive import case_refs, case_snippets, code_cases, code_evidence, proposed_edits, through_files
 from evidentia.plans.registry import query
 from evidentia.session import table
 from evidentia.sources import records
@@ -254,12 +254,18 @@ _STRICT = """CASE WHEN doc_id % 11 = 0 THEN 'invalid_json' WHEN doc_id % 7 = 0 T
 
 
 def _strict(spark, sf):
-    return records.strict_records(_raw_cases(spark, sf), records.CASE_SCHEMA, "case_id", records.CASE_REQUIRED)
+    """The records read back from JSONL files."""
+    lines = through_files(_raw_cases(spark, sf).select("raw"), "cases")
+    return records.strict_records(lines, records.CASE_SCHEMA, "case_id", records.CASE_REQUIRED)
 
 
-@query("src_cases_jsonl", f"SELECT doc_id, {_STRICT} AS error FROM documents")
+@query("src_cases_jsonl", f"""WITH recs AS (SELECT *, '{{"case_id":"case-' || CASE WHEN doc_id % 17 = 0 THEN 0 ELSE doc_id END || '","repository":"samples/' || source
+    || '","issue_description":"' || CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g') END
+    || '","expected_issue_category":"configuration","expected_diagnosis_status":"complete","expected_files":["src/D' || doc_id || '.java"]}}' AS rec FROM documents)
+SELECT md5(CASE WHEN doc_id % 11 = 0 THEN left(rec, 40) WHEN doc_id % 7 = 0 THEN left(rec, length(rec) - 1) || ',"hint":1}}' ELSE rec END) AS record,
+  {_STRICT} AS error FROM recs""")
 def src_cases_jsonl(spark, sf):
-    return _strict(spark, sf).select("doc_id", F.coalesce("error", F.lit("")).alias("error"))
+    return _strict(spark, sf).select(F.md5("raw").alias("record"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query("prj_agent_view", f"""SELECT 'case-' || doc_id AS case_id, 'samples/' || source AS repository,
@@ -293,7 +299,7 @@ def src_gold_jsonl(spark, sf):
     raw = table(spark, sf, "documents").select(F.to_json(F.struct(
         F.concat(F.lit("case-"), i).alias("case_id"), F.array(F.concat(F.lit(" src\\D"), i, F.lit(".java "))).alias("acceptable_files"),
         F.array(F.lit("x")).alias("acceptable_change_concepts"), F.array(F.lit("src/test")).alias("forbidden_files"))).alias("raw"))
-    g = records.strict_records(raw, records.GOLD_SCHEMA, "case_id", records.GOLD_FIELDS).where("error is null")
+    g = records.strict_records(through_files(raw, "gold"), records.GOLD_SCHEMA, "case_id", records.GOLD_FIELDS).where("error is null")
     return g.select("rec.case_id", F.explode(F.transform("rec.acceptable_files", tx.gold_path)).alias("file"))
 
 
@@ -306,7 +312,7 @@ def src_specs_jsonl(spark, sf):
     raw = s.select(F.to_json(F.struct(F.lit("v").alias("schema_version"), F.concat(F.lit("case-"), F.col("case_id").cast("string")).alias("case_id"),
                                       "required_concepts", twice.alias("required_relations"), "forbidden_relations")).alias("raw"))
     names = F.concat("rec.required_concepts.name", "rec.required_relations.name", "rec.forbidden_relations.name")
-    r = records.strict_records(raw, records.SPEC_SCHEMA, "case_id", ["case_id", "required_concepts", "required_relations"],
+    r = records.strict_records(through_files(raw, "specs"), records.SPEC_SCHEMA, "case_id", ["case_id", "required_concepts", "required_relations"],
                                rules={"repeated_name": F.size(F.array_distinct(names)) < F.size(names)})
     n = F.size(F.array_distinct(F.flatten(F.col("rec.required_relations.variants"))))
     return r.select("rec.case_id", F.coalesce("error", F.lit("")).alias("error"), n.cast("bigint").alias("variants"))
@@ -318,7 +324,8 @@ def src_regressions_jsonl(spark, sf):
     raw = table(spark, sf, "documents").select(F.col("source").alias("corpus"), F.to_json(F.struct(
         F.lit("v").alias("schema_version"), F.floor(i / 40).cast("string").alias("regression_id"), i.cast("string").alias("case_id"),
         F.lit("c").alias("semantic_component_id"), F.create_map(F.lit("text"), F.col("text")).alias("bounded_input"))).alias("raw"))
-    r = records.strict_records(raw, records.REGRESSION_SCHEMA, "regression_id", ["regression_id", "case_id"], scope=["corpus"])
+    lines = through_files(raw, "regressions", "corpus").withColumn("corpus", F.regexp_extract("source", "corpus=([^/]*)/", 1))
+    r = records.strict_records(lines, records.REGRESSION_SCHEMA, "regression_id", ["regression_id", "case_id"], scope=["corpus"])
     return records.cardinality_check(r, 11, F.col("rec.regression_id"), "corpus")
 
 

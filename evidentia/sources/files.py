@@ -12,6 +12,7 @@ from evidentia.operators.ranking import top_k
 # What the two sanitised views leave out.
 REPOSITORY_VIEW_DIRS = [".git", "target", "benchmark", "artifacts"]
 WORKSPACE_VIEW_DIRS = [".git", "target", "build", "node_modules", "artifacts", "benchmark", "__pycache__"]
+# end fixed values
 
 
 def _dirs(path: Column) -> Column:
@@ -75,6 +76,11 @@ def read_repositories(
     )
 
 
+def read_logs(spark: SparkSession, root: str, key: str = "run_id") -> DataFrame:
+    """(key, log) of log files below ``root``, each whole, in folders named ``key=value``."""
+    return spark.read.text(root, wholetext=True).select(key, F.col("value").alias("log"))
+
+
 def tree_listing(paths: DataFrame, max_depth: int = 3, max_files: int = 200) -> DataFrame:
     """Per repository: files listed down to ``max_depth``, code files among them, truncation."""
     hidden = F.exists(_dirs(F.col("file")), lambda p: p.isin(*V.SCAN_EXCLUDED_DIRS))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.functions import text as tx
+from evidentia.operators.ranking import split_row_number
 
 
 def manifest_rows(df: DataFrame, *keys: str, json: str = "json") -> DataFrame:
@@ -20,11 +21,14 @@ def manifest_rows(df: DataFrame, *keys: str, json: str = "json") -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """(source, line_no, raw) of all non-blank lines of JSONL files.
 
-    Whole small files are split by the reader so that line numbers are exact.
+    A file of any size is read in splits; line numbers are counted inside each split
+    and shifted by the sizes of the splits before it.
     """
-    whole = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
-    lines = whole.select("source", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("_p", "raw"))
-    return lines.select("source", (F.col("_p") + 1).cast("bigint").alias("line_no"), "raw").where(~F.col("raw").rlike(r"^\s*$"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
+    numbered = split_row_number(lines, ["source"], F.col("_start"), [F.col("_at")], "line_no")
+    return numbered.select("source", F.col("line_no").cast("bigint").alias("line_no"), "raw").where(~F.col("raw").rlike(r"^\s*$"))
 
 
 def strict_records(
