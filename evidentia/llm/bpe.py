@@ -25,7 +25,7 @@ from evidentia.llm import words as W
 from evidentia.llm.tables import free_name
 
 SCAN_BYTES = 300
-CACHE_WORDS = 240_000
+CACHE_WORDS = 200_000
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: end fixed value

@@ -11,7 +11,10 @@ stand in one place only leave with a count.  The rest is confirmed:
   Aho-Corasick automaton (one character per word of the shard), and the shard's passages are
   streamed through it to locate every occurrence;
 * the same, and the anchor has more places than a shard may hold: its windows are counted
-  one by one under two 64-bit hashes, a count that needs no group in one task.
+  one by one under two 64-bit hashes.
+
+An anchor or window with a large share of all rows is never one task: the few there can be are
+counted with partial sums and named in the filter that reads their rows.
 
 No step keeps a list that grows with the copies of a passage; lists are per document.
 Repeated rows count as places of their own, null ids and null texts are ordinary rows (no words).
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import words as W
@@ -32,8 +35,10 @@ from evidentia.llm.tables import free_name, written
 
 ANCHOR_WORDS = 8
 #: Places of an anchor that one shard may hold, and words of one automaton's shard.
-SHARD_PLACES = 4000
-SHARD_WORDS = 400_000
+SHARD_PLACES = 1000
+SHARD_WORDS = 60_000
+#: At most so many anchors are taken out as hot: those with more than this part of all rows.
+HOT_ANCHORS = 2000
 UNIFORM, MIXED, LARGE = 0, 1, 2
 _NO_ID = -(1 << 63)
 
@@ -202,11 +207,11 @@ def _locate(window: int, schema: pa.Schema):
     return run
 
 
-def _remove(window: int, schema: pa.Schema):
+def _remove(window: int, text_name: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = schema.names[:-3]
-        for batch in batches:
-            texts, runs, located = batch.column("text"), batch.column("runs").to_pylist(), batch.column("located").to_pylist()
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            texts, runs, located = batch.column(text_name), batch.column("runs").to_pylist(), batch.column("located").to_pylist()
             total, removed, kept = [], [], []
             for text, sure, more in zip(texts, runs, located, strict=True):
                 split = (text.as_py() or "").encode().split()
@@ -229,6 +234,40 @@ def _remove(window: int, schema: pa.Schema):
     return run
 
 
+def _with_kind(anchors: DataFrame) -> DataFrame:
+    """Anchor rows that stand in two places or more, with how to treat them.
+
+    The few anchors that have a large share of all rows are named by a count (their number is
+    bounded by the share) and decided where their rows are read; all others are decided by a
+    window over the anchor's rows.
+    """
+    def kind(places: Column, least: Column, most: Column) -> Column:
+        return F.when(least == most, UNIFORM).when(places <= SHARD_PLACES, MIXED).otherwise(LARGE)
+
+    least_rows = max(SHARD_PLACES, anchors.count() // HOT_ANCHORS)
+    hot = (anchors.groupBy("h").agg(F.count(F.lit(1)).alias("places"), F.min("content").alias("a"), F.max("content").alias("b"))
+           .where(F.col("places") > least_rows).select("h", kind(F.col("places"), F.col("a"), F.col("b")).alias("kind")).collect())
+    named = dict.fromkeys((UNIFORM, LARGE))
+    for which in named:
+        named[which] = [r["h"] for r in hot if r["kind"] == which]
+    hot_kind = F.when(F.col("h").isin(named[UNIFORM]), UNIFORM).when(F.col("h").isin(named[LARGE]), LARGE)
+    rows = anchors.select("*", hot_kind.alias("kind"))
+    around = Window.partitionBy("h")
+    rest = (rows.where("kind IS NULL").withColumns({"places": F.count(F.lit(1)).over(around), "a": F.min("content").over(around), "b": F.max("content").over(around)})
+            .where("places > 1").withColumn("kind", kind(F.col("places"), F.col("a"), F.col("b"))))
+    columns = ["h", "did", "th", "first", "n", "kind"]
+    return rows.where("kind IS NOT NULL").select(columns).union(rest.select(columns))
+
+
+def _twice(windows: DataFrame) -> DataFrame:
+    """Rows of windows (h, h2) that stand in two places or more; hot ones are named by a count, others found by a window."""
+    least_rows = max(SHARD_PLACES, windows.count() // HOT_ANCHORS)
+    hot = windows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > least_rows).collect()
+    named = F.col("h").isin([r["h"] for r in hot]) & F.col("h2").isin([r["h2"] for r in hot])
+    rest = windows.where(~named).withColumn("places", F.count(F.lit(1)).over(Window.partitionBy("h", "h2"))).where("places > 1").drop("places")
+    return windows.where(named).union(rest)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """The input rows and columns with n_words, n_removed and kept_text (kept words joined by one space).
 
@@ -243,18 +282,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     did, th = _key(id_col, text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
     base = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)),
-                       F.col(text_col).alias("text"), did.alias("did"), th.alias("th"))
+                       did.alias("did"), th.alias("th"))
+    text_name = names[docs.columns.index(text_col)]
     anchors = written(
         docs.select(F.col(text_col).alias("text"), did.alias("did"), th.alias("th"))
         .mapInArrow(_anchor_rows(window), "h long, content long, did long, th long, first int, n int"), "anchors")
-    recurring = (anchors.groupBy("h").agg(F.count(F.lit(1)).alias("places"), F.min("content").alias("a"), F.max("content").alias("b"))
-                 .where("places > 1")
-                 .select("h", F.when(F.col("a") == F.col("b"), UNIFORM).when(F.col("places") <= SHARD_PLACES, MIXED).otherwise(LARGE).alias("kind")))
-    runs = (anchors.join(recurring, "h").groupBy("did", "th")
+    kinds = _with_kind(anchors)
+    runs = (kinds.groupBy("did", "th")
             .agg(F.collect_list(F.struct("first", "n", "kind", F.when(F.col("kind") == MIXED, F.col("h")).alias("h"))).alias("runs")))
     joined = base.join(runs.hint("shuffle_hash"), ["did", "th"], "left")
 
-    around = joined.select("text", "did", "th", "runs")
+    around = joined.select(F.col(text_name).alias("text"), "did", "th", "runs")
     empty = docs.sparkSession.createDataFrame([], PASSAGE)
     passages = around.mapInArrow(_passages(window, to_arrow_schema(empty.schema)), PASSAGE)
     passages = written(passages, "passages")
@@ -262,12 +300,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_words = (passages.where(F.col("kind") == MIXED).select("h", "did", "th", "first", "passage")
                 .repartition("h").sortWithinPartitions("h").mapInArrow(_locate(window, schema), LOCATED))
     large = passages.where(F.col("kind") == LARGE)
-    twice = large.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("h", "h2")
-    by_count = large.join(twice, ["h", "h2"]).select("did", "th", "first", "n")
+    by_count = _twice(large).select("did", "th", "first", "n")
     located = by_words.union(by_count).groupBy("did", "th").agg(F.collect_list(F.struct("first", "n")).alias("located"))
 
     whole = joined.join(located.hint("shuffle_hash"), ["did", "th"], "left")
     new = [free_name(docs, n) for n in ("n_words", "n_removed", "kept_text")]
     out = docs.sparkSession.createDataFrame([], base.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string"))
-    done = whole.mapInArrow(_remove(window, to_arrow_schema(out.schema)), out.schema)
+    done = whole.select(*names, "runs", "located").mapInArrow(_remove(window, text_name, to_arrow_schema(out.schema)), out.schema)
     return done.toDF(*docs.columns, *new)

@@ -1,7 +1,7 @@
 """Words of Arrow text columns as numpy arrays: boundaries, hashes, rolling hashes.
 
 A word is a maximal run of bytes other than space and ``\\x09-\\x0D``; on UTF-8 this is the run
-``[^\\x20\\x09-\\x0D]+`` of characters.  Batches are worked through in pieces of a few megabytes
+``[^\\x20\\x09-\\x0D]+`` of characters.  Batches are worked through in pieces of about a megabyte
 of text, so memory does not follow the batch size; one longer text makes one longer piece.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -102,7 +102,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
 
 
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch whose texts have some megabytes together."""
+    """Slices of the batch whose texts have about a megabyte together."""
     n = batch.num_rows
     texts = batch.column(column).cast(pa.large_string()).fill_null("")
     if not n:
