@@ -252,8 +252,8 @@ def symbol_table(files: DataFrame) -> DataFrame:
     text = tx.canonical_newlines(F.col("content"))
     base = computed_once(files, _text=text)
     found = F.array_distinct(F.concat(*[matches_with_lines(F.col("_text"), p, k) for k, p in SYMBOLS.items()]))
-    return base.select("repo", "file", "content", F.explode(found).alias("s")).select(
-        "repo", "file", "content", (F.col("s.line") + 1).cast("bigint").alias("line"), "s.kind", "s.name"
+    return base.select("repo", "file", F.explode(found).alias("s")).select(
+        "repo", "file", (F.col("s.line") + 1).cast("bigint").alias("line"), "s.kind", "s.name"
     )
 
 
@@ -275,31 +275,31 @@ def symbol_search(
     """
     from evidentia.operators.ranking import first_per_key, top_k
 
-    hits = symbol_matches(files, symbols)
-    hits = computed_once(hits, _lines=tx.lines_of(tx.canonical_newlines(F.col("content"))))
+    # names meet and are ranked as narrow rows; only the winners' files are read for their blocks
+    matches = symbol_matches(files, symbols).withColumn("_walk", tx.walk_key(F.col("file")))
+    order = [F.asc("symbol_no"), F.asc("_walk"), F.asc("line"), F.asc("kind")]
+    once = first_per_key(matches, ["query_id", "file", "kind", "name", "line"], order)
+    ranked = top_k(once, ["query_id"], order, k)
+    if per_symbol is not None:
+        sizes = symbols.groupBy("query_id").agg((F.count(F.lit(1)) * per_symbol).alias("_cap"))
+        ranked = ranked.join(broadcast_if_small(sizes), "query_id").where(F.col("rank") <= F.col("_cap"))
+    ranked = files.select("repo", "file", "content").join(broadcast_if_small(ranked), ["repo", "file"])
+    ranked = computed_once(ranked, _lines=tx.lines_of(tx.canonical_newlines(F.col("content"))))
     line = F.col("line").cast("int")
     n = F.size("_lines")
     end = F.when(F.col("kind") == "annotation", F.least(n, line + annotation_lines)).otherwise(
         F.least(block_end(F.col("_lines"), line - 1) + 1, n)
     )
-    hits = hits.withColumn("end_line", end.cast("bigint")).select(
-        "query_id", "repo", "file", "kind", F.col("name").alias("symbol"), "symbol_no",
-        F.col("line").alias("start_line"), "end_line",
+    ranked = computed_once(ranked, end_line=end.cast("bigint")).select(
+        "query_id", "repo", "file", "kind", F.col("name").alias("symbol"), "rank", F.col("line").alias("start_line"), "end_line",
         tx.cut_at_line(
             F.array_join(F.slice("_lines", line, F.greatest(F.col("end_line").cast("int") - line + 1, F.lit(0))), "\n"), max_chars
         ).alias("content"),
-        tx.walk_key(F.col("file")).alias("_walk"),
     )
-    hits = hits.withColumn(
+    ranked = ranked.withColumn(
         "chunk_id",
         tx.chunk_id(F.col("file"), F.col("kind"), F.col("symbol"), F.col("start_line"), F.col("end_line")),
     )
-    order = [F.asc("symbol_no"), F.asc("_walk"), F.asc("start_line"), F.asc("kind")]
-    once = first_per_key(hits, ["query_id", "chunk_id"], order)
-    ranked = top_k(once, ["query_id"], order, k)
-    if per_symbol is not None:
-        sizes = symbols.groupBy("query_id").agg((F.count(F.lit(1)) * per_symbol).alias("_cap"))
-        ranked = ranked.join(broadcast_if_small(sizes), "query_id").where(F.col("rank") <= F.col("_cap"))
     return ranked.select(
         "query_id", "repo", "chunk_id", "file", "start_line", "end_line", "rank", "kind", "symbol",
         F.array("symbol").alias("matched_terms"), "content",
