@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.session import materialize
+
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """1-based rank per key, cut at ``k``.
@@ -56,6 +58,17 @@ def split_row_number(
     )
 
 
+def ranged_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "row_no") -> DataFrame:
+    """Exact 1-based row numbers per key, whatever share of the rows one key has.
+
+    The rows are dealt to ranges of (keys, order) by Spark's sampled range
+    partitioner and written once with their range; a key of any size lies in as
+    many ranges as it needs.  Numbers are counted inside the ranges and shifted.
+    """
+    ranges = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    return split_row_number(materialize(ranges, "ranges"), keys, F.col("_range"), order, out).drop("_range")
+
+
 def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
     """The first ``cap`` rows per key, each with a flag whether its key had more."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -242,12 +242,9 @@ def src_repo_files(spark, sf):
 
 @query("src_walk_order", f"""WITH {_PATHS} SELECT repo, file, row_number() OVER (PARTITION BY repo ORDER BY {_WALK}) AS walk_no FROM paths""")
 def src_walk_order(spark, sf):
-    from evidentia.operators.ranking import split_row_number
+    from evidentia.operators.ranking import ranged_row_number
 
-    key = tx.walk_key(F.col("file"))
-    # the first path parts already order the walk, so they split a large repository
-    bucket = F.substring_index(key, "\u0001", 2)
-    return split_row_number(_paths(spark, sf), ["repo"], bucket, [key], "walk_no").select("repo", "file", _big("walk_no"))
+    return ranged_row_number(_paths(spark, sf), ["repo"], [tx.walk_key(F.col("file"))], "walk_no").select("repo", "file", _big("walk_no"))
 
 
 @query("srt_list_caps", f"""WITH {_PATHS}, kept AS (

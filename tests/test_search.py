@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.operators import bm25, corpus, fusion, irmetrics, java, lexical
-from evidentia.operators.ranking import split_row_number
+from evidentia.operators.ranking import ranged_row_number, split_row_number
 
 
 def one(spark, value, fn):
@@ -191,3 +191,10 @@ def test_search_plan_has_no_python(spark, sf):
     for name in ("pl_bm25_search", "pl_lexical_search", "pl_hybrid_search", "pl_declarations"):
         plan = plans.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_ranged_row_number_splits_one_hot_key(spark):
+    rows = [("r", f"src/main/f{i * 7 % 1000:04d}") for i in range(1000)] + [("s", "a"), (None, "b")]
+    df = spark.createDataFrame(rows, "k string, t string")
+    got = ranged_row_number(df, ["k"], [F.asc("t")], "n")
+    assert sorted((r.n, r.t) for r in got.where("k = 'r'").collect()) == list(enumerate(sorted(t for k, t in rows if k == "r"), 1))
