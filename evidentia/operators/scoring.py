@@ -94,7 +94,11 @@ def case_metrics(cases: DataFrame, evidence: DataFrame, targets: DataFrame, expe
 
 
 def case_totals(cases: DataFrame, *keys: str) -> DataFrame:
-    """Run totals; failed cases stay in every denominator."""
+    """Run totals; failed cases stay in every denominator.
+
+    Beside the columns of ``case_metrics``: structurally_valid, recall_1, recall_3, recall_5 of
+    the expected files, llm_calls, http_attempts, input_tokens, output_tokens, duration_ms.
+    """
     ev, good, bad = F.sum("model_evidence"), F.sum("valid_evidence"), F.sum("invalid_evidence")
     return cases.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cases_total"), F.count_if("agent_completed").alias("cases_completed"),
@@ -103,7 +107,10 @@ def case_totals(cases: DataFrame, *keys: str) -> DataFrame:
         mean("coverage").alias("mean_coverage"), rate("expected_file_hit").alias("expected_file_hit_rate"),
         mean("target_recall").alias("mean_target_recall"), ev.alias("total_evidence"),
         tx.ratio_or_null(good, ev).alias("valid_evidence_rate"), tx.ratio_or_null(bad, ev).alias("hallucinated_rate"),
-        F.sum("input_tokens").alias("total_input_tokens"), *durations("duration_ms", "duration_ms"))
+        F.count_if("structurally_valid").alias("cases_structurally_valid"), good.alias("total_valid_evidence"), bad.alias("total_invalid_evidence"),
+        *[mean(f"recall_{k}").alias(f"mean_recall_{k}") for k in (1, 3, 5)], F.sum("llm_calls").alias("total_llm_calls"),
+        F.sum("http_attempts").alias("total_http_attempts"), tx.sum_if_all_known(F.col("output_tokens")).alias("total_output_tokens"),
+        tx.sum_if_all_known(F.col("input_tokens")).alias("total_input_tokens"), *durations("duration_ms", "duration_ms"))
 
 
 # -------------------------------------------------------------------- proposals
@@ -166,10 +173,21 @@ def import_status(checks: DataFrame) -> DataFrame:
 
 
 def proposal_totals(cases: DataFrame, *keys: str) -> DataFrame:
+    """Run totals of proposals.
+
+    Beside the columns of ``proposal_metrics``: generated, passed, status, diagnostic_calls,
+    patch_calls, http_attempts, input_tokens, output_tokens, duration_ms.
+    """
+    calls = F.sum("diagnostic_calls"), F.sum("patch_calls")
     return cases.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cases"), mean("valid_edit_rate").alias("mean_valid_edit_rate"),
         tx.ratio(F.sum("validated"), F.sum("edits")).alias("supported_edit_rate"), rate("concept_hit").alias("concept_hit_rate"),
-        F.sum("edits").alias("total_edits"), F.sum("validated").alias("total_validated"))
+        F.sum("edits").alias("total_edits"), F.sum("validated").alias("total_validated"), F.sum(F.col("edits") - F.col("validated")).alias("total_rejected"),
+        rate("generated").alias("generation_rate"), rate("passed").alias("validation_rate"),
+        tx.ratio(F.count_if(F.col("status") == "unsafe_to_propose"), F.count(F.lit(1))).alias("unsafe_rate"),
+        calls[0].alias("total_diagnostic_calls"), calls[1].alias("total_patch_calls"), (calls[0] + calls[1]).alias("total_calls"),
+        F.sum("http_attempts").alias("total_http_attempts"), tx.sum_if_all_known(F.col("input_tokens")).alias("total_input_tokens"),
+        tx.sum_if_all_known(F.col("output_tokens")).alias("total_output_tokens"), mean("duration_ms", 3).alias("mean_duration_ms"))
 
 
 def application_totals(cases: DataFrame, *keys: str) -> DataFrame:
@@ -237,8 +255,11 @@ def outcomes(cases: DataFrame) -> DataFrame:
 def e2e_totals(cases: DataFrame, *keys: str) -> DataFrame:
     """Run totals; a token total is null as soon as one case lacks it."""
     flags = [c for _n, c in FUNNEL]
+    tokens = F.col("input_tokens") + F.col("output_tokens")
     return cases.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cases_total"), *[F.count_if(c).alias(f"{c}_count") for c in flags],
+        F.count(F.lit(1)).alias("cases_total"), F.count_if(F.col("diagnosis_completed")).alias("cases_completed"),
+        *[F.sum(c).alias(f"total_{c}") for c in ("model_evidence", "validated_evidence", "rejected_evidence", "http_attempts")],
+        tx.sum_if_all_known(tokens).alias("total_tokens"), *[F.count_if(c).alias(f"{c}_count") for c in flags],
         *[rate(c).alias(f"{c}_rate") for c in flags], mean("coverage").alias("mean_coverage"), mean("target_recall").alias("mean_target_recall"),
         F.sum("llm_calls").alias("total_llm_calls"), tx.sum_if_all_known(F.col("input_tokens")).alias("total_input_tokens"),
         tx.sum_if_all_known(F.col("output_tokens")).alias("total_output_tokens"), *durations("duration_ms", "pipeline_ms"))

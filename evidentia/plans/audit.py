@@ -117,13 +117,13 @@ def _gold_terms(spark, sf):
     """Long words and three-word concepts of the benchmark items."""
     b = table(spark, sf, "benchmark")
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), lambda w: F.length(w) >= ig.MIN_LEAK_SYMBOL)
-    concept = F.array_compact(F.array(F.nullif(F.lower(F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+ [A-Za-z]+", 0)), F.lit(""))))
-    return b.select(F.explode(F.concat(words, concept)).alias("term"))
+    concepts = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+ [a-z]+ [a-z]+"), 0)
+    return b.select(F.explode(F.concat(words, concepts)).alias("term"))
 
 
 _LEAKS = f"""WITH {S.FILES}, gold_terms AS (
   SELECT DISTINCT unnest(list_concat(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 8),
-    list_filter([lower(regexp_extract(text, '[A-Za-z]+ [A-Za-z]+ [A-Za-z]+'))], lambda w: w <> ''))) AS term FROM benchmark),
+    regexp_extract_all(lower(text), '[a-z]+ [a-z]+ [a-z]+'))) AS term FROM benchmark),
 leaks AS (SELECT file, term FROM files JOIN gold_terms ON contains(lower(content), term))"""
 
 

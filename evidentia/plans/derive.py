@@ -10,7 +10,7 @@ from evidentia.operators import bm25, corpus, lexical, querying, retrieval
 from evidentia.session import materialize, new_table_path, spread, table
 from evidentia.sources.records import read_jsonl
 
-_INDEX: dict[tuple[str, str, str], object] = {}
+_INDEX: dict[tuple[str, str, int, str], object] = {}
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +36,16 @@ def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _version(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes when a file of the indexed tables does; no column is read for it."""
+    files = [table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+             for name in ("documents", "benchmark")]
+    return files[0].unionByName(files[1]).distinct().agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()[0] or 0
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, build):
-    """Index tables are written once per application and input folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Index tables are written once per application and version of the input tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir), name)
     if key not in _INDEX:
         _INDEX[key] = build()
     return _INDEX[key]

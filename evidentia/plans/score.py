@@ -32,14 +32,16 @@ def results(spark, sf):
         F.lit("proposal_validation_rejected").alias("proposal_reason"), F.when(i % 3 == 0, "test_failure").alias("patched_reason"),
         F.when(i % 3 == 0, "test_failure").when(i % 41 == 0, "main_compile_failure").otherwise("success").alias("failure_category"),
         (i % 4 != 0).alias("surefire_report_found"), ((i % 5) / 4.0).alias("coverage"), ((i % 3) / 2.0).alias("target_recall"),
-        (i % 4).alias("llm_calls"), F.when((F.col("user_id") % 3 != 0) | (i % 50 != 0), i % 1000).alias("input_tokens"), (i % 300).alias("output_tokens"),
+        (i % 4).alias("llm_calls"), (i % 4 + i % 2).alias("http_attempts"), (i % 7).alias("model_evidence"), (i % 7 - i % 2 * (i % 7 > 0).cast("int")).alias("validated_evidence"),
+        (i % 2 * (i % 7 > 0).cast("int")).alias("rejected_evidence"), F.when((F.col("user_id") % 3 != 0) | (i % 50 != 0), i % 1000).alias("input_tokens"), (i % 300).alias("output_tokens"),
         F.floor("value").cast("bigint").alias("duration_ms"), F.col("event_type"))
     return sc.outcomes(e)
 
 
 _R = "WITH e AS (SELECT 'r' || user_id % 3 AS run_id, event_id AS case_id, event_id AS i, " + ", ".join(
     f"event_id % {m} <> 0 AS {n}" for n, m in _MODS) + """, event_id % 5 / 4.0::DOUBLE AS coverage, event_id % 3 / 2.0::DOUBLE AS target_recall,
-  event_id % 4 AS llm_calls, CASE WHEN user_id % 3 <> 0 OR event_id % 50 <> 0 THEN event_id % 1000 END AS input_tokens, event_id % 300 AS output_tokens,
+  event_id % 4 AS llm_calls, event_id % 4 + event_id % 2 AS http_attempts, event_id % 7 AS model_evidence, event_id % 7 - event_id % 2 * (event_id % 7 > 0)::INT AS validated_evidence,
+  event_id % 2 * (event_id % 7 > 0)::INT AS rejected_evidence, CASE WHEN user_id % 3 <> 0 OR event_id % 50 <> 0 THEN event_id % 1000 END AS input_tokens, event_id % 300 AS output_tokens,
   floor(value)::BIGINT AS duration_ms, event_type FROM events),
 g AS (SELECT *, """ + " AND ".join(sc.GATE_TRUE) + """ AND i % 37 <> 0 AND i % 3 <> 0 AS repair_success,
   CASE WHEN i % 3 = 0 THEN 'test_failure' WHEN i % 41 = 0 THEN 'main_compile_failure' ELSE 'success' END AS cat FROM e),
@@ -80,7 +82,9 @@ def _dur(p):
     return f"round(avg(duration_ms), 3) AS mean_{p}, round(median(duration_ms), 3) AS p50_{p}, max(duration_ms) AS max_{p}"
 
 
-@query("ag_e2e_totals", _R + "SELECT run_id, count(*) AS cases_total, " + ", ".join(f"count(*) FILTER ({c}) AS {c}_count" for c in _FLAGS) + ", "
+@query("ag_e2e_totals", _R + "SELECT run_id, count(*) AS cases_total, count(*) FILTER (diagnosis_completed) AS cases_completed, "
+       + ", ".join(f"sum({c})::BIGINT AS total_{c}" for c in ("model_evidence", "validated_evidence", "rejected_evidence", "http_attempts"))
+       + ", CASE WHEN count(input_tokens) = count(*) THEN sum(input_tokens + output_tokens)::BIGINT END AS total_tokens, " + ", ".join(f"count(*) FILTER ({c}) AS {c}_count" for c in _FLAGS) + ", "
        + ", ".join(_rate(c) for c in _FLAGS) + f""", round(avg(coverage), 4) AS mean_coverage, round(avg(target_recall), 4) AS mean_target_recall,
   sum(llm_calls)::BIGINT AS total_llm_calls, CASE WHEN count(input_tokens) = count(*) THEN sum(input_tokens)::BIGINT END AS total_input_tokens,
   sum(output_tokens)::BIGINT AS total_output_tokens, {_dur('pipeline_ms')} FROM res GROUP BY 1""")
@@ -181,11 +185,19 @@ def ag_case_metrics(spark, sf):
   {', '.join(f'round(count(*) FILTER ({c}) / count(*), 4) AS {n}' for c, n in (('case_pass', 'case_pass_rate'), ('category_match', 'category_match_rate'), ('diagnosis_match', 'diagnosis_match_rate'), ('expected_file_hit', 'expected_file_hit_rate')))},
   round(avg(coverage), 4) AS mean_coverage, round(avg(target_recall), 4) AS mean_target_recall, sum(model_evidence)::BIGINT AS total_evidence,
   round(sum(valid_evidence) / sum(model_evidence), 4) AS valid_evidence_rate, round(sum(invalid_evidence) / sum(model_evidence), 4) AS hallucinated_rate,
-  sum(CASE WHEN case_id % 3 = 0 THEN case_id END)::BIGINT AS total_input_tokens, round(avg(case_id * 3), 3) AS mean_duration_ms, round(median(case_id * 3), 3) AS p50_duration_ms,
-  max(case_id * 3) AS max_duration_ms FROM met GROUP BY 1""")
+  count(*) FILTER (agent_completed) AS cases_structurally_valid, sum(valid_evidence)::BIGINT AS total_valid_evidence, sum(invalid_evidence)::BIGINT AS total_invalid_evidence,
+  round(avg(CASE WHEN first_rank <= 1 THEN 0.5 ELSE 0 END), 4) AS mean_recall_1, round(avg(CASE WHEN first_rank <= 3 THEN 0.5 ELSE 0 END), 4) AS mean_recall_3,
+  round(avg(CASE WHEN first_rank <= 5 THEN 0.5 ELSE 0 END), 4) AS mean_recall_5, sum(case_id % 5)::BIGINT AS total_llm_calls, sum(case_id % 5 + case_id % 2)::BIGINT AS total_http_attempts,
+  sum(case_id % 100)::BIGINT AS total_output_tokens, CASE WHEN count(CASE WHEN case_id % 12 <> 0 THEN 1 END) = count(*) THEN sum(case_id)::BIGINT END AS total_input_tokens, round(avg(case_id * 3), 3) AS mean_duration_ms, round(median(case_id * 3), 3) AS p50_duration_ms,
+  max(case_id * 3) AS max_duration_ms FROM met LEFT JOIN (SELECT case_id, min(rank) AS first_rank FROM snippets GROUP BY 1) USING (case_id) GROUP BY 1""")
 def ag_case_totals(spark, sf):
-    m = _metrics(spark, sf).withColumns({
-        "run_no": F.col("case_id") % 4, "input_tokens": F.when(F.col("case_id") % 3 == 0, F.col("case_id")), "duration_ms": F.col("case_id") * 3})
+    i = F.col("case_id")
+    # each case expects its own file, which retrieval finds, and one that it never finds
+    found = case_snippets(spark, sf).groupBy("case_id").agg(F.min("rank").alias("first_rank"))
+    recall = {f"recall_{k}": F.when(F.col("first_rank") <= k, 0.5).otherwise(0.0) for k in (1, 3, 5)}
+    m = _metrics(spark, sf).join(found, "case_id", "left").withColumns({
+        "run_no": i % 4, "input_tokens": F.when(i % 12 != 0, i), "output_tokens": i % 100, "duration_ms": i * 3, "llm_calls": i % 5,
+        "http_attempts": i % 5 + i % 2, "structurally_valid": F.col("agent_completed"), **recall})
     return sc.case_totals(m, "run_no")
 
 
@@ -215,9 +227,20 @@ def ag_proposal_metrics(spark, sf):
 
 @query("ag_proposal_totals", _PROP + """ SELECT case_id % 4 AS run_no, count(*) AS cases, round(avg(valid_edit_rate), 4) AS mean_valid_edit_rate,
   round(sum(validated) / sum(edits), 4) AS supported_edit_rate, round(count(*) FILTER (concept_hit) / count(*), 4) AS concept_hit_rate,
-  sum(edits)::BIGINT AS total_edits, sum(validated)::BIGINT AS total_validated FROM pm GROUP BY 1""")
+  sum(edits)::BIGINT AS total_edits, sum(validated)::BIGINT AS total_validated, sum(edits - validated)::BIGINT AS total_rejected,
+  round(count(*) FILTER (edits > 0) / count(*), 4) AS generation_rate, round(count(*) FILTER (validated = edits) / count(*), 4) AS validation_rate,
+  round(count(*) FILTER (dangerous) / count(*), 4) AS unsafe_rate, sum(case_id % 3)::BIGINT AS total_diagnostic_calls, sum(case_id % 2)::BIGINT AS total_patch_calls,
+  sum(case_id % 3 + case_id % 2)::BIGINT AS total_calls, sum(case_id % 5)::BIGINT AS total_http_attempts, sum(case_id)::BIGINT AS total_input_tokens,
+  CASE WHEN count(CASE WHEN case_id % 8 <> 0 THEN 1 END) = count(*) THEN sum(case_id % 100)::BIGINT END AS total_output_tokens, round(avg(case_id * 2), 3) AS mean_duration_ms
+  FROM pm JOIN (SELECT case_id, bool_or(reason = 'dangerous_new_code') IS TRUE AS dangerous FROM verdicts GROUP BY 1) USING (case_id) GROUP BY 1""")
 def ag_proposal_totals(spark, sf):
-    return sc.proposal_totals(_proposals(spark, sf).withColumn("run_no", F.col("case_id") % 4), "run_no")
+    i = F.col("case_id")
+    unsafe = F.map_contains_key(F.coalesce("reasons", F.create_map().cast("map<string,bigint>")), F.lit("dangerous_new_code"))
+    p = _proposals(spark, sf).withColumns({
+        "run_no": i % 4, "generated": F.col("edits") > 0, "passed": F.col("validated") == F.col("edits"),
+        "status": F.when(unsafe, "unsafe_to_propose").otherwise("proposed"), "diagnostic_calls": i % 3, "patch_calls": i % 2, "http_attempts": i % 5,
+        "input_tokens": i, "output_tokens": F.when(i % 8 != 0, i % 100), "duration_ms": i * 2})
+    return sc.proposal_totals(p, "run_no")
 
 
 @query("jn_gold_files", f"""WITH {S.VERDICTS} SELECT case_id, edit_index, edit_index NOT IN (5, 8) AS acceptable, edit_index = 5 AS forbidden FROM verdicts""")
