@@ -82,6 +82,15 @@ def test_cluster_without_a_shared_folder_is_an_error():
         session.shared_dir(Session)
 
 
+def test_written_tables_can_be_dropped(spark):
+    stored = session.materialize(spark.range(3).toDF("x"), "numbers")
+    assert stored.count() == 3
+    path = stored.inputFiles()[0].rsplit("/", 1)[0]
+    session.drop_tables(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_broadcast_needs_few_bytes(spark):
     wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.repeat(F.lit("y"), 1000)).alias("a"))
     plan = lambda df: df._jdf.queryExecution().logical().toString()
