@@ -62,14 +62,24 @@ def failure_category(name: Column, message: Column, cause: Column) -> Column:
     )
 
 
+def field_text(parsed: Column, key: str) -> Column:
+    """A field of a parsed payload (a VARIANT), so several fields cost one parse."""
+    return F.try_variant_get(parsed, f"$.{key}", "string")
+
+
+def field_int(parsed: Column, key: str) -> Column:
+    """An integer field; null when it is absent or of another type."""
+    value = field_text(parsed, key)
+    return F.when(value.rlike(r"^-?\d+$"), value.cast("bigint"))
+
+
 def payload_int(payload: Column, key: str) -> Column:
     """An integer field of a JSON payload; null when it is absent or of another type."""
-    value = F.try_variant_get(F.try_parse_json(payload), f"$.{key}", "string")
-    return F.when(value.rlike(r"^-?\d+$"), value.cast("bigint"))
+    return field_int(F.try_parse_json(payload), key)
 
 
 def payload_text(payload: Column, key: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(payload), f"$.{key}", "string")
+    return field_text(F.try_parse_json(payload), key)
 
 
 def iso_utc(ts: Column) -> Column:

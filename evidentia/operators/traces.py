@@ -62,14 +62,14 @@ def mark_interrupted(tasks: DataFrame, now: Column) -> tuple[DataFrame, DataFram
     return fixed, recovery
 
 
-def llm_columns() -> list[Column]:
-    """Call, attempt and token aggregates over model-call traces."""
+def llm_columns(parsed: Column) -> list[Column]:
+    """Call, attempt and token aggregates over model-call traces; ``parsed`` is the payload as VARIANT."""
     call = F.col("kind") == "llm_call"
-    provider = js.payload_text(F.col("payload"), "provider")
-    attempt = F.greatest(F.lit(1), F.coalesce(js.payload_int(F.col("payload"), "attempt"), F.lit(1)))
-    success = call & (js.payload_text(F.col("payload"), "status") == "success")
-    tokens_in = F.when(call, js.payload_int(F.col("payload"), "input_tokens"))
-    tokens_out = F.when(call, js.payload_int(F.col("payload"), "output_tokens"))
+    provider = js.field_text(parsed, "provider")
+    attempt = F.greatest(F.lit(1), F.coalesce(js.field_int(parsed, "attempt"), F.lit(1)))
+    success = call & (js.field_text(parsed, "status") == "success")
+    tokens_in = F.when(call, js.field_int(parsed, "input_tokens"))
+    tokens_out = F.when(call, js.field_int(parsed, "output_tokens"))
 
     def complete(value: Column) -> Column:
         """Total only when every call reported it; zero calls total zero."""
@@ -86,14 +86,15 @@ def llm_columns() -> list[Column]:
 
 def task_rollup(traces: DataFrame) -> DataFrame:
     """Model-call totals per task."""
-    return traces.groupBy("task_id").agg(*llm_columns())
+    parsed = traces.select("task_id", "kind", F.try_parse_json("payload").alias("_payload"))
+    return parsed.groupBy("task_id").agg(*llm_columns(F.col("_payload")))
 
 
 def node_rollup(traces: DataFrame) -> DataFrame:
     """Per task and node: summed and last duration of node timings."""
-    timing = traces.where("kind = 'node_timing'").select(
-        "task_id", "seq", js.payload_text(F.col("payload"), "node").alias("node"),
-        js.payload_int(F.col("payload"), "duration_ms").alias("ms"))
+    parsed = traces.where("kind = 'node_timing'").select("task_id", "seq", F.try_parse_json("payload").alias("_payload"))
+    timing = parsed.select(
+        "task_id", "seq", js.field_text(F.col("_payload"), "node").alias("node"), js.field_int(F.col("_payload"), "duration_ms").alias("ms"))
     return timing.where("node is not null").groupBy("task_id", "node").agg(
         F.sum("ms").alias("duration_ms"),
         F.greatest(F.lit(0), F.max_by("ms", F.when(F.col("ms").isNotNull(), F.col("seq")))).alias("last_ms"))
