@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as tx
 from evidentia.functions import values as V
 from evidentia.operators import java
-from evidentia.operators.intervals import with_containment, with_overlap
+from evidentia.operators.intervals import range_arrays, with_containment
 from evidentia.session import computed_once
 
 # Where edits may go.
@@ -164,16 +164,17 @@ def checked_edits(edits: DataFrame, files: DataFrame, evidence: DataFrame) -> Da
     evidence = evidence.withColumn("file", tx.normal_path(F.col("file"))).where(
         (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line"))
     )
-    backed = evidence.select(*keys).distinct().withColumn("_backed", F.lit(True))
-    marked = (
-        with_overlap(edits, evidence, keys, "_supported")
-        .join(backed, keys, "left")
-        .withColumn("_allowed", path_allowed(F.col("file")))
-    )
-    grouped = marked.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(*_EDIT_FIELDS, "_supported", "_backed", "_allowed"))).alias("_raw")
-    )
-    met = grouped.join(files.select(*keys, "content"), keys, "left")
+    # edits, evidence ranges and the file meet once by case and file; the rest is decided in that row
+    grouped = edits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*_EDIT_FIELDS))).alias("_given"))
+    met = grouped.join(range_arrays(evidence, keys), keys, "left").join(files.select(*keys, "content"), keys, "left")
+
+    def placed(e: Column) -> Column:
+        supported = F.exists("_ranges", lambda r: (r["start_line"] <= e["end_line"]) & (r["end_line"] >= e["start_line"]))
+        return F.struct(
+            *[e[f].alias(f) for f in _EDIT_FIELDS], F.coalesce(supported, F.lit(False)).alias("_supported"),
+            F.when(F.col("_ranges").isNotNull(), F.lit(True)).alias("_backed"), path_allowed(F.col("file")).alias("_allowed"))
+
+    met = met.withColumn("_raw", F.transform("_given", placed)).drop("_given", "_ranges")
     met = computed_once(met, _lines=tx.code_lines(F.col("content")))
     lines = F.col("_lines")
 
