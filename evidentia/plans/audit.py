@@ -8,7 +8,7 @@ from evidentia.functions import text as tx
 from evidentia.functions import values as V
 from evidentia.operators import integrity as ig
 from evidentia.plans import sqltext as S
-from evidentia.plans.derive import doc_files
+from evidentia.plans.derive import doc_files, through_files
 from evidentia.plans.registry import query
 from evidentia.session import table
 
@@ -108,7 +108,8 @@ def src_manifest(spark, sf):
     # per case a JSON map path -> hash, as manifests store it
     maps = _trees(spark, sf).groupBy("case_id").agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("file", F.sha2("content", 256))))).alias("json"))
-    rows = manifest_rows(maps.select(F.concat(F.lit("s"), (F.col("case_id") % 40).cast("string")).alias("section"), "json"), "section")
+    stored = through_files(maps.select(F.concat(F.lit("s"), (F.col("case_id") % 40).cast("string")).alias("section"), "json"), "manifests", "section")
+    rows = manifest_rows(stored.select(F.regexp_extract("source", "section=([^/]*)/", 1).alias("section"), F.col("raw").alias("json")), "section")
     return rows.select("section", "file", F.col("sha256").alias("sha"))
 
 
@@ -168,10 +169,10 @@ def flt_config_override(spark, sf):
 
 @query("set_intersect", r"""SELECT md5(s) AS shared FROM (
   SELECT unnest(string_split_regex(text, '[.\n]+\s*')) AS s FROM documents INTERSECT
-  SELECT unnest(string_split_regex(text, '[.\n]+\s*')) AS s FROM benchmark) WHERE length(s) >= 20""")
+  SELECT unnest(string_split_regex(text, '[.\n]+\s*')) AS s FROM benchmark) WHERE s <> ''""")
 def set_intersect(spark, sf):
     def parts(name):
-        return table(spark, sf, name).select(F.explode(F.split("text", r"[.\n]+\s*")).alias("s")).where(F.length("s") >= 20)
+        return table(spark, sf, name).select(F.explode(F.split("text", r"[.\n]+\s*")).alias("s")).where("s <> ''")
 
     return parts("documents").intersect(parts("benchmark")).select(F.md5("s").alias("shared"))
 

@@ -358,8 +358,7 @@ def src_frozen_summary(spark, sf):
     # archived summaries hold a few cases each
     body = d.groupBy((F.col("doc_id") / 8).cast("bigint").alias("run")).agg(F.to_json(F.struct(F.collect_list(F.struct(
         F.col("doc_id").alias("case_id"), (F.col("n_chars") % 2 == 0).alias("diagnosis_benchmark_pass"))).alias("cases"))).alias("json"))
-    parsed = F.from_json("json", "cases array<struct<case_id:bigint,diagnosis_benchmark_pass:boolean>>")
-    return body.select(F.explode(parsed["cases"]).alias("c")).select("c.case_id", F.col("c.diagnosis_benchmark_pass").alias("passed"))
+    return records.frozen_cases(through_files(body.select("json"), "summaries")).select("case_id", F.col("diagnosis_benchmark_pass").alias("passed"))
 
 
 @query("pl_manifest_check", f"""WITH {S.CODE} SELECT doc_id AS case_id, CASE WHEN doc_id % 5 = 0 THEN 'file_missing' WHEN doc_id % 7 = 0 THEN 'range_outside_file'

@@ -31,6 +31,19 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("source", F.col("line_no").cast("bigint").alias("line_no"), "raw").where(~F.col("raw").rlike(r"^\s*$"))
 
 
+FROZEN_SCHEMA = "cases array<struct<case_id:bigint,diagnosis_benchmark_pass:boolean>>"
+
+
+def frozen_cases(raw: DataFrame, schema: str = FROZEN_SCHEMA) -> DataFrame:
+    """One row per case of archived run summaries, each a JSON object with a ``cases`` list.
+
+    A summary that is no object or has no list fails the job.
+    """
+    parsed = F.from_json("raw", schema)["cases"]
+    checked = F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.lit("frozen summary does not contain a cases list")))
+    return raw.select(F.explode(checked).alias("_c")).select("_c.*")
+
+
 def strict_records(
     raw: DataFrame, schema: str, key: str, required: Sequence[str], scope: Sequence[str] = (),
     rules: dict[str, Column] | None = None,
