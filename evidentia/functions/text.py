@@ -345,6 +345,44 @@ def asks_for_shell(text: Column) -> Column:
     return F.exists(words(*SHELL_WORDS), lambda w: F.contains(low, w))
 
 
+def bounded_evidence(
+    summary: Column, candidates: Column, max_candidates: int = 3, summary_chars: int = 400, title_chars: int = 200,
+    description_chars: int = 600, fix_chars: int = 600,
+) -> Column:
+    """A diagnosis as struct<summary, candidates, truncated_fields, truncated, evaluation_ready>.
+
+    ``candidates`` is an array of (title, description, recommended_fix).  Texts are redacted,
+    then cut; the names of cut fields are listed in reading order.  Evidence is ready for
+    evaluation if it has any text and nothing was cut.
+    """
+    none = F.array().cast("array<string>")
+    given = F.coalesce(candidates, F.slice(candidates, 1, 0))
+    limits = {"title": title_chars, "description": description_chars, "recommended_fix": fix_chars}
+
+    def safe(text: Column) -> Column:
+        return redact_artifact(F.coalesce(text, F.lit("")))
+
+    def build(x: Column) -> Column:
+        def cut_names(c: Column, i: Column) -> Column:
+            name = F.concat(F.lit("candidates["), i.cast("string"), F.lit("]."))
+            return F.array_compact(F.array(*[F.when(F.length(c[f]) > n, F.concat(name, F.lit(f))) for f, n in limits.items()]))
+
+        names = F.concat(
+            F.when(F.length(x["summary"]) > summary_chars, F.array(F.lit("summary"))).otherwise(none),
+            F.when(x["count"] > max_candidates, F.array(F.lit("candidates"))).otherwise(none),
+            F.flatten(F.transform(x["candidates"], cut_names)))
+        short = F.transform(x["candidates"], lambda c: F.struct(*[F.left(c[f], F.lit(n)).alias(f) for f, n in limits.items()]))
+        text = (F.trim(x["summary"]) != "") | F.exists(
+            x["candidates"], lambda c: (F.trim(c["title"]) != "") | (F.trim(c["description"]) != "") | (F.trim(c["recommended_fix"]) != ""))
+        return let(names, lambda cut: F.struct(
+            F.nullif(F.left(x["summary"], F.lit(summary_chars)), F.lit("")).alias("summary"), short.alias("candidates"), cut.alias("truncated_fields"),
+            (F.size(cut) > 0).alias("truncated"), (text & (F.size(cut) == 0)).alias("evaluation_ready")))
+
+    redacted = F.transform(F.slice(given, 1, max_candidates), lambda c: F.struct(*[safe(c[f]).alias(f) for f in limits]))
+    whole = F.struct(safe(summary).alias("summary"), redacted.alias("candidates"), F.coalesce(F.size(given), F.lit(0)).alias("count"))
+    return let(whole, build)
+
+
 # ------------------------------------------------------------ semantic normal forms
 SENTENCE_END = r"(?<=[.!?])\s+|[;\n]+"
 

@@ -42,16 +42,29 @@ def _red(col):
     return _RED.replace("{0}", col)
 
 
-@query("prj_bounded_evidence", f"""WITH r AS (SELECT conv_id, turn, role, {_red('text')} AS safe FROM conversations),
-b AS (SELECT *, CASE role WHEN 'user' THEN 400 WHEN 'assistant' THEN 600 ELSE 200 END AS lim FROM r)
-SELECT conv_id, turn, md5(left(safe, lim)) AS digest, length(safe) > lim AS truncated, trim(left(safe, lim)) <> '' AND length(safe) <= lim AS evaluation_ready FROM b""")
+_BOUNDED = f"""WITH r AS (SELECT conv_id, list(text ORDER BY turn) AS ts FROM conversations GROUP BY 1),
+e AS (SELECT conv_id, {_red("ts[1]")} AS s, len(ts) - 1 AS n, list_transform(ts[2:4], lambda t: {_red("('case ' || t)")}) AS a,
+  list_transform(ts[2:4], lambda t: {_red("t")}) AS b, list_transform(ts[2:4], lambda t: {_red("(t || ' fix')")}) AS c FROM r),
+f AS (SELECT *, list_filter(list_concat([CASE WHEN length(s) > 400 THEN 'summary' END, CASE WHEN n > 3 THEN 'candidates' END],
+  flatten(list_transform(range(0, len(b)), lambda i: [CASE WHEN length(a[i + 1]) > 200 THEN 'candidates[' || i || '].title' END,
+    CASE WHEN length(b[i + 1]) > 600 THEN 'candidates[' || i || '].description' END,
+    CASE WHEN length(c[i + 1]) > 600 THEN 'candidates[' || i || '].recommended_fix' END]))), lambda x: x IS NOT NULL) AS cut FROM e)
+SELECT conv_id, md5(left(s, 400)) AS summary, md5(array_to_string(list_transform(range(1, len(b) + 1),
+    lambda i: left(a[i], 200) || '|' || left(b[i], 600) || '|' || left(c[i], 600)), '~')) AS candidates, array_to_string(cut, ' ') AS truncated_fields,
+  len(cut) > 0 AS truncated, len(cut) = 0 AND (trim(s) <> '' OR len(b) > 0) AS evaluation_ready FROM f"""
+
+
+@query("prj_bounded_evidence", _BOUNDED)
 def prj_bounded_evidence(spark, sf):
-    limit = F.when(F.col("role") == "user", 400).when(F.col("role") == "assistant", 600).otherwise(200)
-    safe = tx.redact_artifact(F.col("text"))
-    b = _turns(spark, sf).select("conv_id", "turn", safe.alias("safe"), limit.alias("lim"))
-    kept = F.left("safe", F.col("lim"))
-    return b.select("conv_id", "turn", F.md5(kept).alias("digest"), (F.length("safe") > F.col("lim")).alias("truncated"),
-                    ((F.trim(kept) != "") & (F.length("safe") <= F.col("lim"))).alias("evaluation_ready"))
+    turns = _turns(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
+    texts = F.transform("ts", lambda t: t["text"])
+    given = F.transform(F.slice(texts, 2, 1_000_000), lambda t: F.struct(
+        F.concat(F.lit("case "), t).alias("title"), t.alias("description"), F.concat(t, F.lit(" fix")).alias("recommended_fix")))
+    bounded = turns.select("conv_id", tx.bounded_evidence(F.get(texts, F.lit(0)), given).alias("e")).select("conv_id", "e.*")
+    shown = F.transform("candidates", lambda c: F.concat_ws("|", c["title"], c["description"], c["recommended_fix"]))
+    return bounded.select(
+        "conv_id", F.md5(F.coalesce("summary", F.lit(""))).alias("summary"), F.md5(F.array_join(shown, "~")).alias("candidates"),
+        F.array_join("truncated_fields", " ").alias("truncated_fields"), "truncated", "evaluation_ready")
 
 
 @query("prj_output_tail", f"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(repeat(text || chr(10), 12),
