@@ -194,10 +194,12 @@ def fit(spans: list[tuple[str, str]], seed: int = 5, steps: int = 240, batch: in
     if k < 2 or not len(hashes):
         return crf
     label = np.array([languages.index(lang) for lang, _ in spans])
-    word, bucket = crf.feature_rows(w, hashes, np.arange(len(hashes)))
+    _, pick, word_of = np.unique(hashes, return_index=True, return_inverse=True)
+    word, bucket = crf.feature_rows(w, hashes, pick)
     order = np.argsort(word, kind="stable")
-    word, bucket = word[order], bucket[order]
-    begin = np.searchsorted(word, np.arange(len(hashes) + 1))
+    word, bucket = word[order], bucket[order].astype(np.int32)
+    begin = np.searchsorted(word, np.arange(len(pick) + 1))
+    del word, order
     of_label = [np.flatnonzero((label == j) & (np.diff(w.first) > 0)) for j in range(k)]
     usable = [j for j in range(k) if len(of_label[j])]
     sum_w, sum_m = np.full_like(crf.weights, 1e-8), np.full((k, k), 1e-8)
@@ -214,8 +216,9 @@ def fit(spans: list[tuple[str, str]], seed: int = 5, steps: int = 240, batch: in
         there = at >= 0
         flat = at[there]
         truth = np.where(there, label[w.doc[np.maximum(at, 0)]], 0)
-        lengths = begin[flat + 1] - begin[flat]
-        feature = np.concatenate([bucket[begin[i]:begin[i + 1]] for i in flat])
+        kinds = word_of[flat]
+        lengths = begin[kinds + 1] - begin[kinds]
+        feature = np.concatenate([bucket[begin[i]:begin[i + 1]] for i in kinds])
         owner = np.repeat(np.arange(len(flat)), lengths)
         own = np.stack([np.bincount(owner, weights=crf.weights[feature, j], minlength=len(flat)) for j in range(k)], axis=1) + crf.weights[-1]
         factor = np.ones((batch, longest, k))
@@ -295,6 +298,7 @@ def predict(docs: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:
     schema = plain.drop("input", "letter").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "lang_words": F.lit(None).cast("array<double>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("langid")
         field = shared.value
         for batch in batches:
             for piece in W.pieces(batch, "input"):

@@ -95,6 +95,7 @@ SIGNATURE = "id long, n_shingles long, digest binary, bands array<long>, " + ",
 
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("neardup")
         for batch in batches:
             for piece in W.pieces(batch, "text"):
                 rows = piece.num_rows
@@ -126,6 +127,7 @@ def _confirm(size: int, percent: int):
     """Keeps the pairs whose full shingle sets have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("neardup")
         for batch in batches:
             rows = batch.num_rows
             good = np.zeros(rows, dtype=bool)
@@ -222,6 +224,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("neardup")
         for batch in batches:
             for piece in W.pieces(batch, "text"):
                 hashes, begin = shingles(W.words(piece.column("text"), lower=True), piece.num_rows, size)

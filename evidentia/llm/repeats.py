@@ -86,6 +86,7 @@ def _runs(w: W.Words, window: int):
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("repeats")
         for batch in batches:
             for piece in W.pieces(batch, "text"):
                 found = _runs(W.words(piece.column("text")), window)
@@ -106,6 +107,7 @@ def _passages(window: int, schema: pa.Schema):
     """Words around mixed anchors; windows one by one, hashed twice, around large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("repeats")
         for batch in batches:
             out: list[tuple] = []
             texts, runs = batch.column("text"), batch.column("runs")
@@ -193,6 +195,7 @@ LOCATED = "did long, th long, first int, n int"
 
 def _locate(window: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("repeats")
         shard, last = Shard(window), None
         for batch in batches:
             for h, did, th, first, passage in zip(*(batch.column(c).to_pylist() for c in ("h", "did", "th", "first", "passage")), strict=True):
@@ -209,6 +212,7 @@ def _locate(window: int, schema: pa.Schema):
 
 def _remove(window: int, text_name: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("repeats")
         names = schema.names[:-3]
         for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             texts, runs, located = batch.column(text_name), batch.column("runs").to_pylist(), batch.column("located").to_pylist()

@@ -7,7 +7,7 @@ of text, so memory does not follow the batch size; one longer text makes one lon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,21 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def turn_to(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called where an operator begins a task: drops what other operators have kept in this worker.
+
+    Workers serve one stage after another; without this, the caches of a finished stage
+    would stand beside the working memory of the next.  ``release`` drops the owner's own.
+    """
+    for other in [k for k in _kept if k != owner]:
+        _kept.pop(other)()
+    if release is not None:
+        _kept[owner] = release
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
