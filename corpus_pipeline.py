@@ -50,7 +50,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    done = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, decoded_col="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -25,7 +25,7 @@ from evidentia.llm import words as W
 from evidentia.llm.tables import free_name
 
 SCAN_BYTES = 300
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: end fixed value
@@ -61,9 +61,9 @@ class Cache(dict):
 
 
 class Bpe:
-    def __init__(self, source: str):
-        import regex
+    """Both directions, or with ``encoder=False`` only what decoding needs."""
 
+    def __init__(self, source: str, encoder: bool = True):
         spec = json.loads(source)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or spec["normalizer"]:
@@ -71,11 +71,6 @@ class Bpe:
         vocab = model["vocab"]
         letters = byte_letters()
         of_letter = {c: b for b, c in enumerate(letters)}
-        self.byte_ids = [vocab[c] for c in letters]
-        self.pairs: dict[int, tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.pairs.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens must be plain strings")
@@ -85,6 +80,17 @@ class Bpe:
             self.token[i] = bytes(of_letter[c] for c in text) if all(c in of_letter for c in text) else text.encode()
         for text, i in added.items():
             self.token[i] = text.encode()
+        if encoder:
+            self._encoder(model, vocab, letters, added)
+
+    def _encoder(self, model: dict, vocab: dict[str, int], letters: list[str], added: dict[str, int]) -> None:
+        import regex
+
+        self.byte_ids = [vocab[c] for c in letters]
+        self.pairs: dict[int, tuple[int, int]] = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            self.pairs.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
         self.words = regex.compile(SPLIT).findall
         longest = sorted(added, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in longest) + ")") if added else None
@@ -147,14 +153,15 @@ class Bpe:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-_loaded: dict[int, Bpe] = {}
+_loaded: dict[tuple[int, bool], Bpe] = {}
 
 
-def _bpe(shared) -> Bpe:
+def _bpe(shared, encoder: bool) -> Bpe:
+    W.turn_to("bpe", _loaded.clear)
     source = shared.value
-    key = hash(source)
+    key = (hash(source), encoder)
     if key not in _loaded:
-        _loaded[key] = Bpe(source)
+        _loaded[key] = Bpe(source, encoder)
     return _loaded[key]
 
 
@@ -163,37 +170,46 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _with_arrow_column(df: DataFrame, name: str, kind: str, column: str, work) -> DataFrame:
-    """Adds a column computed from Arrow slices; the others pass through as they are."""
+def _with_arrow_columns(df: DataFrame, new: list[tuple[str, str]], column: str, work) -> DataFrame:
+    """Adds (name, type) columns computed from Arrow slices; the others pass through as they are."""
     names = [f"c{i}" for i in range(len(df.columns))]
     plain = df.select(*(df[i].alias(n) for i, n in enumerate(names)), df[df.columns.index(column)].alias("input"))
-    schema = plain.drop("input").withColumn("output", F.lit(None).cast(kind)).schema
+    outputs = [f"output{i}" for i in range(len(new))]
+    schema = plain.drop("input").withColumns({n: F.lit(None).cast(kind) for n, (_, kind) in zip(outputs, new, strict=True)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in work(batch):
-                rows, output = piece
-                yield pa.RecordBatch.from_arrays([rows.column(n) for n in names] + [output], names=[*names, "output"])
+            for rows, made in work(batch):
+                yield pa.RecordBatch.from_arrays([rows.column(n) for n in names] + made, names=[*names, *outputs])
 
-    return plain.mapInArrow(run, schema).toDF(*df.columns, free_name(df, name))
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *(free_name(df, name) for name, _ in new))
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Adds the token ids of every text (null: empty) as array<int>.
 
     Strings of added tokens in a text become those tokens; nothing is added, cut or padded.
+    With ``decoded_col`` the ids are decoded again in the same pass and that text is added too.
     """
     shared = _shared(df, path)
 
     def work(batch: pa.RecordBatch):
-        bpe = _bpe(shared)
+        bpe = _bpe(shared, True)
         for piece in W.pieces(batch, "input"):
             done = [bpe.encode(t) if t else b"" for t in piece.column("input").to_pylist()]
             ends = np.cumsum([0] + [len(d) // 4 for d in done]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(done), dtype="<u4").astype(np.int32))
-            yield piece, pa.ListArray.from_arrays(pa.array(ends), values)
+            values = np.frombuffer(b"".join(done), dtype="<u4").astype(np.int32)
+            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            if decoded_col is not None:
+                made.append(_texts(bpe, values, ends))
+            yield piece, made
+
+    new = [(ids_col, "array<int>")] + ([(decoded_col, "string")] if decoded_col is not None else [])
+    return _with_arrow_columns(df, new, text_col, work)
+
 
-    return _with_arrow_column(df, ids_col, "array<int>", text_col, work)
+def _texts(bpe: Bpe, values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.array([bpe.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -201,12 +217,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     shared = _shared(df, path)
 
     def work(batch: pa.RecordBatch):
-        bpe = _bpe(shared)
+        bpe = _bpe(shared, False)
         step = 500
         for at in range(0, batch.num_rows, step):
             piece = batch.slice(at, step)
             column = piece.column("input").fill_null([])
-            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            yield piece, pa.array([bpe.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            yield piece, [_texts(bpe, column.values.to_numpy(), column.offsets.to_numpy())]
 
-    return _with_arrow_column(df, text_col, "string", ids_col, work)
+    return _with_arrow_columns(df, [(text_col, "string")], ids_col, work)

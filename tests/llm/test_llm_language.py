@@ -59,6 +59,8 @@ def test_bpe_equals_the_library(spark, tokenizer, monkeypatch):
     for r in done.collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert r["ids_"] == ids and r.decoded == library.decode(ids, skip_special_tokens=False) == (r.text or "")
+    both = bpe.encode(df, path, decoded_col="DECODED")
+    assert {(r.doc_id, tuple(r["ids_"]), r["DECODED"]) for r in both.collect()} == {(r.doc_id, tuple(r["ids_"]), r.decoded) for r in done.collect()}
     assert bpe.encode(df.limit(0), path).count() == 0
 
 
