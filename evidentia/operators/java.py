@@ -257,15 +257,19 @@ def symbol_table(files: DataFrame) -> DataFrame:
     )
 
 
-def symbol_matches(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Declarations and uses of exact names: ``symbols`` is (query_id, repo, symbol, symbol_no)."""
+def symbol_matches(files: DataFrame, symbols: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Declarations and uses of exact names: ``symbols`` is (query_id, repo, symbol, symbol_no).
+
+    ``table`` is a stored ``symbol_table`` of the files' code.
+    """
     wanted = broadcast_if_small(symbols.withColumnRenamed("symbol", "name"))
-    return symbol_table(files.where(F.endswith("file", F.lit(".java")))).join(wanted, ["repo", "name"])
+    names = symbol_table(files.where(F.endswith("file", F.lit(".java")))) if table is None else table
+    return names.join(wanted, ["repo", "name"])
 
 
 def symbol_search(
     files: DataFrame, symbols: DataFrame, per_symbol: int | None = None, k: int = 10, max_chars: int | None = None,
-    annotation_lines: int = 30,
+    annotation_lines: int = 30, table: DataFrame | None = None,
 ) -> DataFrame:
     """The symbol channel: the first ``k`` matches in discovery order with their surrounding block.
 
@@ -276,7 +280,7 @@ def symbol_search(
     from evidentia.operators.ranking import first_per_key, top_k
 
     # names meet and are ranked as narrow rows; only the winners' files are read for their blocks
-    matches = symbol_matches(files, symbols).withColumn("_walk", tx.walk_key(F.col("file")))
+    matches = symbol_matches(files, symbols, table).withColumn("_walk", tx.walk_key(F.col("file")))
     order = [F.asc("symbol_no"), F.asc("_walk"), F.asc("line"), F.asc("kind")]
     once = first_per_key(matches, ["query_id", "file", "kind", "name", "line"], order)
     ranked = top_k(once, ["query_id"], order, k)

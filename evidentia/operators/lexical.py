@@ -98,12 +98,11 @@ def needle_lines(
     runs = line_runs(files, run_pattern) if runs is None else runs
     vocabulary = runs.select("run").distinct() if vocabulary is None else vocabulary
     matches = materialize(run_needles(vocabulary, terms), "run-needles")
-    return (
-        runs.join(broadcast_if_light(matches, "run", "needle"), "run")
-        .select("repo", "file", "line_no", "needle")
-        .repartition("repo", "file")
-        .distinct()
-    )
+    found = runs.join(broadcast_if_light(matches, "run", "needle"), "run").select("repo", "file", "line_no", "needle")
+    if "repo" in terms.columns:
+        # a needle counts in the repositories of its queries only; the others leave before the shuffle
+        found = found.join(broadcast_if_small(terms.select("repo", "needle").distinct()), ["repo", "needle"], "left_semi")
+    return found.select("repo", "file", "line_no", "needle").repartition("repo", "file").distinct()
 
 
 def scored_lines(
