@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.operators import bm25, corpus, lexical, querying, retrieval
-from evidentia.session import materialize, new_table_path, spread, table
+from evidentia.session import drops, materialize, new_table_path, spread, table
 from evidentia.sources.records import read_jsonl
 
-_INDEX: dict[tuple[str, str, int, str], object] = {}
+_INDEX: dict[tuple[str, int, str, int, str], object] = {}
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def _version(spark: SparkSession, sf_dir: str) -> int:
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build):
     """Index tables are written once per application and version of the input tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir), name)
+    key = (spark.sparkContext.applicationId, drops(), sf_dir, _version(spark, sf_dir), name)
     if key not in _INDEX:
         _INDEX[key] = build()
     return _INDEX[key]

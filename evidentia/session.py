@@ -59,8 +59,18 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_dropped = 0
+
+
+def drops() -> int:
+    """How often tables were dropped; what is kept by name is void after the next drop."""
+    return _dropped
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Deletes all tables this application has written by ``materialize``; results that read them are void."""
+    global _dropped
+    _dropped += 1
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
     folder.getFileSystem(conf).delete(folder, True)
