@@ -34,9 +34,9 @@ from evidentia.llm.tables import components, free_name, written
 
 BANDS, ROWS = 20, 4
 SKETCH_WORDS = 4  # 64-bit words of an odd sketch
-#: XOR bits that a pair of similarity 0.85 stays below but for odds under one in 10**8
-#: (12 of 80 samples differ on average, 31 at six standard deviations).
-SKETCH_BITS = 54
+#: XOR bits that a linked pair stays below, by the least similarity in percent.  Exceeded at 0.85 with
+#: odds of 6 in 10**8 (12 of 80 samples differ on average), at 0.80 of 1.2 in 10**8 (16 differ).
+SKETCH_BITS = {85: 54, 80: 64}
 #: Classes of a bucket whose candidates are listed as pairs; classes and shingles of a family's block.
 SMALL = 32
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 400_000
@@ -149,11 +149,15 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _sketch_bits(percent: int) -> int:
+    return SKETCH_BITS[85 if percent >= 85 else 80]
+
+
 def _possible(percent: int):
     """What sizes and sketches of two classes (a., b.) must satisfy for a link."""
     flips = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
     small, large = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
-    return (small * 100 >= large * percent) & (flips <= SKETCH_BITS)
+    return (small * 100 >= large * percent) & (flips <= _sketch_bits(percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 85) -> DataFrame:
@@ -272,7 +276,7 @@ def _block_links(percent: int):
             flips = np.zeros(need.shape, dtype=np.int64)
             for s in range(SKETCH_WORDS):
                 flips += np.bitwise_count(left[f"s{s}"].to_numpy().view(np.uint64)[:, None] ^ right[f"s{s}"].to_numpy().view(np.uint64)[None, :])
-            need &= flips <= SKETCH_BITS
+            need &= flips <= _sketch_bits(percent)
             lb, rb = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
             together = np.zeros(need.shape, dtype=bool)
             for band in range(BANDS):

@@ -180,3 +180,19 @@ def test_counts_agree_with_spark(spark):
     rows = copied_texts(9)
     got = spark.createDataFrame(rows, DOCS).select("text", word_count(F.col("text")).alias("n")).collect()
     assert all(r.n == len(split(r.text)) for r in got)
+
+
+def test_pipeline_stage_drops_near_copies_from_080(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(20):  # 200 words, 196 shingles; a tail of k other words leaves 196 - k of 196 + k
+        base = [word() for _ in range(200)]
+        tail = 19 if i % 2 else 25  # similarity 0.823 or 0.774
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-tail] + [word() for _ in range(tail)]))]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    want = {i for i, (_, root) in brute_near(rows, percent=80).items() if i == root}
+    assert got == want and got != {i for i, (_, root) in brute_near(rows).items() if i == root}
+    assert len(got) == 30
