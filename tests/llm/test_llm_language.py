@@ -224,3 +224,16 @@ def test_pipeline_equals_brute_force(spark, tokenizer):
         for _ in r.draws or []:
             want[(r.doc_id, len(ids), hashlib.sha256(str(ids).encode()).hexdigest(), True)] += 1
     assert got == want and len(got) > 50
+
+
+@pytest.mark.parametrize("size", [2, 3, 1000])
+def test_boilerplate_counts_over_the_whole_host(spark, monkeypatch, size):
+    monkeypatch.setattr(htmltext, "SHARD_PAGES", size)
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    notices, texts, twice = [own(20) for _ in range(4)], [own(25) for _ in range(24)], own(30)
+    rows = [(i, "http://h.net/1", f"<div>{notices[i % 4]}</div><div>{t}</div>" + (f"<div>{twice}</div>" if i < 2 else "")) for i, t in enumerate(texts)]
+    rows += [(100, "http://h.net/2", f"<article>{texts[0]}</article><p>x"), (101, "http://h.net/3", ""), (102, "http://i.net/", f"<p>{notices[0]}</p>")]
+    got = dict(htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).select("page_id", "main_text").collect())
+    want = {i: t + (f"\n{twice}" if i < 2 else "") for i, t in enumerate(texts)}
+    assert got == want | {100: texts[0], 101: "", 102: notices[0]}
