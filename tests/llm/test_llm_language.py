@@ -237,3 +237,14 @@ def test_boilerplate_counts_over_the_whole_host(spark, monkeypatch, size):
     got = dict(htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).select("page_id", "main_text").collect())
     want = {i: t + (f"\n{twice}" if i < 2 else "") for i, t in enumerate(texts)}
     assert got == want | {100: texts[0], 101: "", 102: notices[0]}
+
+
+def test_text_around_and_inside_embedded_elements_stays():
+    texts = lambda inner: [t for _, t in htmltext.blocks(f"<article><p>one {inner} two</p><p>three</p></article><footer>f</footer>")[:-1]]
+    for void in ('<svg class="icon" />', "<svg/>", "<math/>", "<svg><title/><style/><path d='M0'/></svg>", '<object data="x"/>', "<canvas/>", "<svg></svg>"):
+        assert texts(void) == ["one two", "three"], void
+    assert texts("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>") == ["one x=2 two", "three"]
+    for name in ("object", "canvas", "svg"):
+        assert texts(f"<{name} a=1>inner</{name}>") == ["one inner two", "three"]
+        assert texts(f"<{name} a=1>inner") == ["one inner two", "three"]
+    assert texts("<svg><script>no</script><style>no</style></svg>") == ["one two", "three"]
