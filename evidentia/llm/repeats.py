@@ -5,13 +5,12 @@ run by hash, so equal windows name equal anchors wherever they stand; consecutiv
 with one anchor are one row of the anchor table (about one row per 14 words).  Anchors that
 stand in one place only leave with a count.  The rest is confirmed:
 
-* all places of the anchor have the same words around it: all its windows recur;
-* the words around it differ: the passages are gathered by anchor in bounded shards, windows
-  that recur are confirmed on their exact words, joined to maximal phrases, compiled to an
-  Aho-Corasick automaton (one character per word of the shard), and the shard's passages are
-  streamed through it to locate every occurrence;
-* the same, and the anchor has more places than a shard may hold: its windows are counted
-  one by one under two 64-bit hashes.
+* the passages are gathered by anchor in bounded shards, windows that recur are confirmed on
+  their exact words, joined to maximal phrases, compiled to an Aho-Corasick automaton (one
+  character per word of the shard), and the shard's passages are streamed through it to locate
+  every occurrence;
+* if the anchor has more places than a shard may hold, its windows are counted one by one under
+  two 64-bit hashes.
 
 An anchor or window with a large share of all rows is never one task: the few there can be are
 counted with partial sums and named in the filter that reads their rows.
@@ -39,7 +38,7 @@ SHARD_PLACES = 1000
 SHARD_WORDS = 60_000
 #: At most so many anchors are taken out as hot: those with more than this part of all rows.
 HOT_ANCHORS = 2000
-UNIFORM, MIXED, LARGE = 0, 1, 2
+SHARED, LARGE = 0, 1
 _NO_ID = -(1 << 63)
 
 
@@ -62,7 +61,7 @@ def window_anchors(g: np.ndarray, span: int) -> np.ndarray:
 
 
 def _runs(w: W.Words, window: int):
-    """(row, first window, number of windows, anchor hash, content hash) of each run of windows with one anchor."""
+    """(row, first window, number of windows, anchor hash) of each run of windows with one anchor."""
     h = w.hashes()
     k = min(ANCHOR_WORDS, window)
     g = W.rolling(h, k)
@@ -79,9 +78,8 @@ def _runs(w: W.Words, window: int):
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(whole)))
     start = whole[begin]
-    content = W.Prefix(h).range(start, start + count + window - 1)
     row = w.doc[start]
-    return row, start - w.first[row], count, g[anchor[begin]].view(np.int64), content.view(np.int64)
+    return row, start - w.first[row], count, g[anchor[begin]].view(np.int64)
 
 
 def _anchor_rows(window: int):
@@ -92,11 +90,11 @@ def _anchor_rows(window: int):
                 found = _runs(W.words(piece.column("text")), window)
                 if found is None:
                     continue
-                row, first, count, anchor, content = found
+                row, first, count, anchor = found
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor), pa.array(content), piece.column("did").take(pa.array(row)),
+                    pa.array(anchor), piece.column("did").take(pa.array(row)),
                     piece.column("th").take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)),
-                ], names=["h", "content", "did", "th", "first", "n"])
+                ], names=["h", "did", "th", "first", "n"])
     return run
 
 
@@ -104,7 +102,7 @@ PASSAGE = "h long, h2 long, kind int, did long, th long, first int, n int, passa
 
 
 def _passages(window: int, schema: pa.Schema):
-    """Words around mixed anchors; windows one by one, hashed twice, around large ones."""
+    """Words around anchors; windows one by one, hashed twice, around large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.turn_to("repeats")
@@ -112,13 +110,11 @@ def _passages(window: int, schema: pa.Schema):
             out: list[tuple] = []
             texts, runs = batch.column("text"), batch.column("runs")
             dids, ths = batch.column("did").to_pylist(), batch.column("th").to_pylist()
-            for i in np.flatnonzero(~np.asarray(runs.is_null())):
-                todo = [r for r in runs[int(i)].as_py() if r["kind"] != UNIFORM]
-                if not todo:
-                    continue
-                split = (texts[int(i)].as_py() or "").encode().split()
+            for i in range(batch.num_rows):
+                todo = runs[i].as_py()
+                split = (texts[i].as_py() or "").encode().split()
                 if any(r["kind"] == LARGE for r in todo):
-                    h = W.words(texts.slice(int(i), 1)).hashes()
+                    h = W.words(texts.slice(i, 1)).hashes()
                     one, two = W.Prefix(h), W.Prefix(h, 0x5851F42D4C957F2D)
                 for r in todo:
                     first, n = r["first"], r["n"]
@@ -128,7 +124,7 @@ def _passages(window: int, schema: pa.Schema):
                         out += [(int(x), int(y), LARGE, dids[i], ths[i], int(s), 1, None) for x, y, s in zip(a, b, at, strict=True)]
                     else:
                         passage = b" ".join(split[first:first + n + window - 1]).decode()
-                        out.append((r["h"], 0, MIXED, dids[i], ths[i], first, n, passage))
+                        out.append((r["h"], 0, SHARED, dids[i], ths[i], first, n, passage))
                 if len(out) > 20_000:
                     yield _batch(out, schema)
                     out = []
@@ -215,11 +211,11 @@ def _remove(window: int, text_name: str, schema: pa.Schema):
         W.turn_to("repeats")
         names = schema.names[:-3]
         for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
-            texts, runs, located = batch.column(text_name), batch.column("runs").to_pylist(), batch.column("located").to_pylist()
+            texts, located = batch.column(text_name), batch.column("located").to_pylist()
             total, removed, kept = [], [], []
-            for text, sure, more in zip(texts, runs, located, strict=True):
+            for text, more in zip(texts, located, strict=True):
                 split = (text.as_py() or "").encode().split()
-                spans = [(r["first"], r["n"]) for r in sure or () if r["kind"] == UNIFORM] + [(r["first"], r["n"]) for r in more or ()]
+                spans = [(r["first"], r["n"]) for r in more or ()]
                 total.append(len(split))
                 if not spans:
                     removed.append(0)
@@ -245,22 +241,13 @@ def _with_kind(anchors: DataFrame) -> DataFrame:
     bounded by the share) and decided where their rows are read; all others are decided by a
     window over the anchor's rows.
     """
-    def kind(places: Column, least: Column, most: Column) -> Column:
-        return F.when(least == most, UNIFORM).when(places <= SHARD_PLACES, MIXED).otherwise(LARGE)
-
     least_rows = max(SHARD_PLACES, anchors.count() // HOT_ANCHORS)
-    hot = (anchors.groupBy("h").agg(F.count(F.lit(1)).alias("places"), F.min("content").alias("a"), F.max("content").alias("b"))
-           .where(F.col("places") > least_rows).select("h", kind(F.col("places"), F.col("a"), F.col("b")).alias("kind")).collect())
-    named = dict.fromkeys((UNIFORM, LARGE))
-    for which in named:
-        named[which] = [r["h"] for r in hot if r["kind"] == which]
-    hot_kind = F.when(F.col("h").isin(named[UNIFORM]), UNIFORM).when(F.col("h").isin(named[LARGE]), LARGE)
-    rows = anchors.select("*", hot_kind.alias("kind"))
-    around = Window.partitionBy("h")
-    rest = (rows.where("kind IS NULL").withColumns({"places": F.count(F.lit(1)).over(around), "a": F.min("content").over(around), "b": F.max("content").over(around)})
-            .where("places > 1").withColumn("kind", kind(F.col("places"), F.col("a"), F.col("b"))))
-    columns = ["h", "did", "th", "first", "n", "kind"]
-    return rows.where("kind IS NOT NULL").select(columns).union(rest.select(columns))
+    hot = [r["h"] for r in anchors.groupBy("h").agg(F.count(F.lit(1)).alias("places")).where(F.col("places") > least_rows).collect()]
+    columns = ["h", "did", "th", "first", "n"]
+    named = F.col("h").isin(hot)
+    rest = (anchors.where(~named).withColumn("places", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("places > 1")
+            .select(*columns, F.when(F.col("places") <= SHARD_PLACES, SHARED).otherwise(LARGE).alias("kind")))
+    return anchors.where(named).select(*columns, F.lit(LARGE).alias("kind")).union(rest)
 
 
 def _twice(windows: DataFrame) -> DataFrame:
@@ -290,25 +277,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_name = names[docs.columns.index(text_col)]
     anchors = written(
         docs.select(F.col(text_col).alias("text"), did.alias("did"), th.alias("th"))
-        .mapInArrow(_anchor_rows(window), "h long, content long, did long, th long, first int, n int"), "anchors")
+        .mapInArrow(_anchor_rows(window), "h long, did long, th long, first int, n int"), "anchors")
     kinds = _with_kind(anchors)
     runs = (kinds.groupBy("did", "th")
-            .agg(F.collect_list(F.struct("first", "n", "kind", F.when(F.col("kind") == MIXED, F.col("h")).alias("h"))).alias("runs")))
-    joined = base.join(runs.hint("shuffle_hash"), ["did", "th"], "left")
-
-    around = joined.select(F.col(text_name).alias("text"), "did", "th", "runs")
+            .agg(F.collect_list(F.struct("first", "n", "kind", F.when(F.col("kind") == SHARED, F.col("h")).alias("h"))).alias("runs")))
+    around = base.select(F.col(text_name).alias("text"), "did", "th").join(runs.hint("shuffle_hash"), ["did", "th"])
     empty = docs.sparkSession.createDataFrame([], PASSAGE)
     passages = around.mapInArrow(_passages(window, to_arrow_schema(empty.schema)), PASSAGE)
     passages = written(passages, "passages")
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], LOCATED).schema)
-    by_words = (passages.where(F.col("kind") == MIXED).select("h", "did", "th", "first", "passage")
+    by_words = (passages.where(F.col("kind") == SHARED).select("h", "did", "th", "first", "passage")
                 .repartition("h").sortWithinPartitions("h").mapInArrow(_locate(window, schema), LOCATED))
     large = passages.where(F.col("kind") == LARGE)
     by_count = _twice(large).select("did", "th", "first", "n")
     located = by_words.union(by_count).groupBy("did", "th").agg(F.collect_list(F.struct("first", "n")).alias("located"))
 
-    whole = joined.join(located.hint("shuffle_hash"), ["did", "th"], "left")
+    whole = base.join(located.hint("shuffle_hash"), ["did", "th"], "left")
     new = [free_name(docs, n) for n in ("n_words", "n_removed", "kept_text")]
     out = docs.sparkSession.createDataFrame([], base.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string"))
-    done = whole.select(*names, "runs", "located").mapInArrow(_remove(window, text_name, to_arrow_schema(out.schema)), out.schema)
+    done = whole.select(*names, "located").mapInArrow(_remove(window, text_name, to_arrow_schema(out.schema)), out.schema)
     return done.toDF(*docs.columns, *new)

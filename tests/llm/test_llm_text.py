@@ -196,3 +196,15 @@ def test_pipeline_stage_drops_near_copies_from_080(spark):
     want = {i for i, (_, root) in brute_near(rows, percent=80).items() if i == root}
     assert got == want and got != {i for i, (_, root) in brute_near(rows).items() if i == root}
     assert len(got) == 30
+
+
+def test_repeats_are_confirmed_on_words_where_hashes_collide(spark, monkeypatch):
+    held = repeats.written
+
+    def collide(df, name):
+        return held(df.withColumns({c: F.lit(7).cast("long") for c in ("h", "content") if c in df.columns}) if name == "anchors" else df, name)
+
+    monkeypatch.setattr(repeats, "written", collide)
+    rows = [(i, " ".join(f"{c}{j}" for j in range(12))) for i, c in enumerate("abcde")] + [(9, "x a0 a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11")]
+    done = repeats.remove_repeats(spark.createDataFrame(rows, DOCS), window=12)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in done.collect()) == brute_repeats(rows, 12)
