@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import blockmax, bpe, chat, hnsw, htmltext, langid, mixing, neardup, repeats, urls
+from evidentia.llm import blockmax, bpe, chat, fim, hnsw, htmltext, langid, merkle, mixing, neardup, repeats, urls
 from evidentia.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,67 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_col="decoded")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), seed="1", rate=90, spm=20, restored_col="restored")
+    return done.select("doc_id", F.col("n_chars").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLES["op11_fill_in_middle"] = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+numbers AS (SELECT doc_id, t, n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM drawn),
+cut AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(hit, merkle.leaf_digest(*(F.col(c) for c in docs.columns[:-1]), lowered))
+    done = merkle.manifest(docs, [F.col(c) for c in docs.columns], extra={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    rows = done.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(low: int = 6, high: int = 3) -> str:
+    """All levels written out: up to 16 ** low documents of a source, 16 ** high sources."""
+    shown = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    fields = lambda text: "sha256(" + " || ".join(shown(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+    crc = ("xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])), "
+           "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295::BIGINT), 4294967295)")
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [f"""docs AS (SELECT doc_id, coalesce('=' || source, '') AS grp, {fields('text')} AS leaf,
+  CASE WHEN {crc} % 5 = 0 THEN {fields(lowered)} END AS tampered FROM documents),
+low0 AS (SELECT *, leaf AS d, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM docs)"""]
+    folds = ["p0 AS (SELECT doc_id, grp, leaf, coalesce(tampered, leaf) AS f, '' AS proof, i AS place FROM low0)"]
+    for name, depth in (("low", low), ("high", high)):
+        if name == "high":
+            steps.append(f"high0 AS (SELECT '' AS grp, grp AS member, d, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM low{low})")
+        for k in range(depth):
+            steps.append(f"""{name}{k}s AS (SELECT *, i // 16 AS up,
+  coalesce(string_agg(d, '') OVER (PARTITION BY grp, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '') OVER (PARTITION BY grp, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k}),
+{name}{k + 1} AS (SELECT grp, up AS i, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}{k}s GROUP BY grp, up, n)""")
+            on = "x.grp = p.grp AND x.i = p.place" if name == "low" else "x.member = p.grp" if k == 0 else "x.i = p.place"
+            folds.append(f"p{len(folds)} AS (SELECT p.doc_id, p.grp, p.leaf, CASE WHEN x.n = 1 THEN f ELSE sha256(x.l || f || x.r) END AS f, proof || x.l || x.r AS proof, x.up AS place "
+                         f"FROM p{len(folds) - 1} p JOIN {name}{k}s x ON {on})")
+    return "WITH " + ",\n".join(steps + folds) + f"""
+SELECT doc_id, leaf, s.d AS subroot, t.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.d AS verified
+FROM p{low + high} p JOIN low{low} s ON s.grp = p.grp CROSS JOIN high{high} t"""
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql()
