@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import blockmax, bpe, chat, fim, hnsw, htmltext, langid, merkle, mixing, neardup, repeats, urls
+from evidentia.llm import blockmax, bpe, chat, fim, hnsw, htmltext, langid, merkle, mixing, neardup, repeats, setjoin, urls
 from evidentia.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,6 +207,29 @@ FROM parts
 """
 
 
+@query
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=90)
+
+
+ORACLES["op12_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+raw AS (SELECT doc_id, CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: array_to_string(list_slice(words, i, i + 2), ' '))
+                            WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS s FROM w),
+sets AS (SELECT doc_id, list_distinct(s) AS s FROM raw),
+sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
+items AS (SELECT doc_id, n, unnest(s) AS x FROM sized),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared
+          FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90 GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (na + nb - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
+SELECT doc_id, n AS n_shingles, least_id AS component_id FROM sized JOIN (SELECT id, min(other) AS least_id FROM reach GROUP BY id) ON id = doc_id
+"""
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
