@@ -1,30 +1,42 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard.
 
-Vectors are dealt to shards of about ``SHARD`` rows by a hash of their id.  In a shard, equal
+Vectors of one length are dealt to shards of about ``SHARD_BYTES`` by a hash of their id.  In a shard, equal
 vectors are one node (a graph of thousands of equal points would fall apart), and a row gets
 an extra component that makes all lengths equal, so the largest inner product is the nearest
 point.  A layer is one flat array of neighbour numbers, -1 where there is none.  Points are
 inserted in small batches, searched for together; neighbours are chosen for diversity.
 
-The index is a written table with one row per shard.  Queries come in groups of bounded size;
-each pair of a shard and a group is one unit of work, and the shards' best are merged by rank.
+The index is a written table with one row per shard.  Every query meets every shard, as any may
+hold its nearest: a shard's row is sent once for each group of ``QUERY_GROUP`` queries, decoded
+once, and the queries stream past it.  Only as many nodes as the result needs, by their distances
+in single precision, get exact products; the shards' best are merged by rank.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm import words as W
 from evidentia.llm.tables import written
 from evidentia.operators.ranking import top_k
+from evidentia.session import broadcast_if_small
 
-SHARD = 4096
+#: Bytes of the vectors of one shard (32,768 rows of 64 dimensions).
+SHARD_BYTES = 16 << 20
 LINKS = 16  # per layer; twice that on the lowest
 BUILD_WIDTH = 64
 BATCH = 128
-QUERY_GROUP = 512
+#: Queries that share one copy of a shard's index, and those searched for together.
+QUERY_GROUP = 65_536
+LOT = 512
+#: Distances of unit vectors this near to each other may stand in the wrong order in single precision.
+ROUNDING = 1e-4
 
 
 def _search_layer(points, links, queries, entries, width):
@@ -157,12 +169,12 @@ class Graph:
             keep = np.argsort(far, axis=1, kind="stable")
             links[nodes[big]] = _choose(points, nodes[big], np.take_along_axis(wide[big], keep, axis=1), np.take_along_axis(far, keep, axis=1), limit)
 
-    def search(self, queries: np.ndarray, width: int) -> np.ndarray:
-        """Nodes near each query, nearest first, -1 where fewer."""
+    def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes near each query and their distances, nearest first; -1 and inf where fewer."""
         entries = np.full(len(queries), self.top, dtype=np.int64)
         for links in self.layers[:0:-1]:
             entries = _search_layer(self.points, links, queries, entries, 1)[0][:, 0]
-        return _search_layer(self.points, self.layers[0], queries, entries, min(width, len(self.points)))[0]
+        return _search_layer(self.points, self.layers[0], queries, entries, min(width, len(self.points)))
 
 
 def _even_lengths(vectors: np.ndarray) -> tuple[np.ndarray, float]:
@@ -183,58 +195,92 @@ def _index(shard: pd.DataFrame) -> pd.DataFrame:
     distinct, member = distinct[shuffled], place[member.ravel()]
     graph = Graph.build(_even_lengths(distinct)[0])
     return pd.DataFrame({
-        "shard": [shard["shard"].iloc[0]], "width": [vectors.shape[1]], "nodes": [len(distinct)], "vectors": [distinct.tobytes()],
+        "dim": [shard["dim"].iloc[0]], "shard": [shard["shard"].iloc[0]], "width": [vectors.shape[1]], "nodes": [len(distinct)], "vectors": [distinct.tobytes()],
         "ids": [shard["id"].to_numpy(dtype=np.int64).tobytes()], "member": [member.astype(np.int32).tobytes()],
         "links": [[x.astype(np.int32).tobytes() for x in graph.layers]],
     })
 
 
-INDEX = "shard long, width int, nodes int, vectors binary, ids binary, member binary, links array<binary>"
+HELD = ["width", "nodes", "vectors", "ids", "member", "links"]
+INDEX = "dim int, shard long, width int, nodes int, vectors binary, ids binary, member binary, links array<binary>"
+
+
+def _search_shard(row: dict, names: np.ndarray, queries: np.ndarray, k: int, width: int, kept: dict) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Ids of the queries, ids and exact scores of the best k found for each in the shard; ``kept`` holds the decoded shard."""
+    if not kept:
+        vectors = np.frombuffer(row["vectors"]).reshape(row["nodes"], row["width"])
+        layers = [np.frombuffer(x, dtype=np.int32).reshape(row["nodes"], -1).astype(np.int64) for x in row["links"]]
+        member = np.frombuffer(row["member"], dtype=np.int32)
+        order = np.argsort(member, kind="stable")  # ids of a node stand together, ascending
+        kept.update(vectors=vectors, graph=Graph(_even_lengths(vectors)[0], layers, 0), ids=np.frombuffer(row["ids"], dtype=np.int64)[order],
+                    begin=np.searchsorted(member[order], np.arange(row["nodes"] + 1)))
+    vectors, ids, begin = kept["vectors"], kept["ids"], kept["begin"]
+    length = np.sqrt((queries ** 2).sum(axis=1))
+    asked = np.concatenate([queries / np.where(length, length, 1)[:, None], np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+    found, far = kept["graph"].search(asked, max(width, k + 1))
+    out: tuple[list, list, list] = ([], [], [])
+    for name, query, nodes, away in zip(names, queries, found, far, strict=True):
+        # the k + 1 nearest in single precision, and all whose order it cannot tell
+        nodes = nodes[(nodes >= 0) & (away <= away[min(k, len(away) - 1)] + ROUNDING)]
+        score = np.array([float(np.dot(vectors[n], query)) for n in nodes])
+        got = np.concatenate([ids[begin[n]:min(begin[n] + k + 1, begin[n + 1])] for n in nodes])
+        exact = np.repeat(score, [min(k + 1, begin[n + 1] - begin[n]) for n in nodes])
+        got, exact = got[got != name], exact[got != name]
+        best = np.lexsort((got, -exact))[:k]
+        for part, values in zip(out, (np.full(len(best), name), got[best], exact[best]), strict=True):
+            part.append(values)
+    return out
 
 
 def _search(k: int, width: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        if len(right):
-            names = right["query_id"].to_numpy(dtype=np.int64)
-            queries = np.stack(right["vector"].to_numpy()).astype(np.float64)
-            for row in left.itertuples(index=False):
-                vectors = np.frombuffer(row.vectors).reshape(row.nodes, row.width)
-                member, ids = np.frombuffer(row.member, dtype=np.int32), np.frombuffer(row.ids, dtype=np.int64)
-                points, _ = _even_lengths(vectors)
-                layers = [np.frombuffer(x, dtype=np.int32).reshape(row.nodes, -1).astype(np.int64) for x in row.links]
-                length = np.sqrt((queries ** 2).sum(axis=1))
-                asked = np.concatenate([queries / np.where(length, length, 1)[:, None], np.zeros((len(queries), 1))], axis=1).astype(np.float32)
-                found = Graph(points, layers, 0).search(asked, max(width, k + 1))
-                order = np.argsort(member, kind="stable")  # ids of a node stand together, ascending
-                begin = np.searchsorted(member[order], np.arange(row.nodes + 1))
-                for q, nodes in enumerate(found):
-                    nodes = nodes[nodes >= 0]
-                    score = np.array([float(np.dot(vectors[n], queries[q])) for n in nodes])
-                    rows = [order[begin[n]:min(begin[n] + k + 1, begin[n + 1])] for n in nodes]
-                    got, far = ids[np.concatenate(rows)], np.repeat(score, [len(r) for r in rows])
-                    other = got != names[q]
-                    got, far = got[other], far[other]
-                    best = np.lexsort((got, -far))[:k]
-                    out.append(pd.DataFrame({"query_id": names[q], "vec_id": got[best], "score": far[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    """Streams rows that are sorted by shard, the index row first: a shard is decoded once, its queries come in small lots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("hnsw")
+        row, place, kept = None, None, {}
+        for batch in batches:
+            places = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "shard", "grp")), strict=True))
+            held = np.flatnonzero(batch.column("nodes").is_valid().to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                if at in held:
+                    row, place, kept = {c: batch.column(c)[at].as_py() for c in HELD}, places[at], {}
+                    at += 1
+                    continue
+                end = int(min([batch.num_rows, at + LOT, *held[held > at][:1]]))
+                if row is None or places[at] != place:
+                    raise ValueError("queries of a shard without its index row")
+                lot = batch.slice(at, end - at)
+                vectors = lot.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(end - at, -1)
+                parts = [np.concatenate(x) for x in _search_shard(row, lot.column("id").to_numpy(), vectors, k, width, kept)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["query_id", "vec_id", "score"])
+                at = end
     return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, width: int = 160) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest inner products found for each query.
 
-    Both inputs have (id long, vector array<double>): unique ids, one length, no nulls.  A query
-    never meets its own id; equal scores go to smaller ids.  ``width`` is how many nodes a
-    search keeps in view; every vector is in the index, and no result is cut below k.
+    Both inputs have (id long, vector array<double>): unique ids, no nulls.  A query never meets
+    its own id, nor vectors of another length, with which it has no product; empty vectors take
+    no part.  Equal scores go to smaller ids.  ``width`` is how many nodes a search keeps in
+    view; every vector is in the index, and no result is cut below k.
     """
-    shards = max(1, round(vectors.count() / SHARD))
-    dealt = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
-    index = written(dealt.groupBy("shard").applyInPandas(_index, INDEX), "hnsw")
-    groups = max(1, -(-queries.count() // QUERY_GROUP))
-    held = index.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    asked = queries.select(F.col("id").alias("query_id"), "vector", F.pmod(F.xxhash64("id"), F.lit(groups).cast("long")).alias("grp"))
-    # every pair of a shard and a query group is work to do; the queries of a group go to each shard
-    sent = asked.join(held.select(F.col("shard").alias("place"), "grp"), "grp").toDF("part", "query_id", "vector", "place")
-    found = held.groupBy("shard", "grp").cogroup(sent.groupBy("place", "part")).applyInPandas(_search(k, width), "query_id long, vec_id long, score double")
+    vectors, queries = (df.select("id", "vector", F.size("vector").alias("dim")).where("dim > 0") for df in (vectors, queries))
+    size = F.greatest(F.lit(1.0), F.lit(SHARD_BYTES) / (8 * F.col("dim")))
+    shards = vectors.groupBy("dim").agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) / size)).cast("long").alias("shards"))
+    groups = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).cast("long").alias("groups"))
+    plan = written(shards.join(groups, "dim", "left"), "hnsw-plan")
+    few = broadcast_if_small(plan)
+    dealt = vectors.join(few, "dim").select("id", "vector", "dim", F.pmod(F.xxhash64("id"), F.col("shards")).alias("shard"))
+    index = written(dealt.groupBy("dim", "shard").applyInPandas(_index, INDEX), "hnsw")
+
+    def each(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    # every pair of a shard and a query group is work to do; the index row of the shard comes first
+    held = index.join(few.where("groups > 0"), "dim").select("dim", "shard", each("groups").alias("grp"), *(F.col(c) for c in HELD))
+    asked = queries.join(few, "dim").select("dim", each("shards").alias("shard"), F.pmod(F.xxhash64("id"), F.col("groups")).alias("grp"), "id", "vector")
+    both = held.unionByName(asked, allowMissingColumns=True).repartition("dim", "shard", "grp").sortWithinPartitions("dim", "shard", "grp", F.col("nodes").desc_nulls_last())
+    found = both.mapInArrow(_search(k, width), "query_id long, vec_id long, score double")
     return top_k(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)

@@ -47,7 +47,8 @@ def test_search_shard_of_few_rows_and_of_none(spark):
 
 
 def test_graph_search_has_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(hnsw, "SHARD", 700)
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 700 * 24 * 8)
+    monkeypatch.setattr(hnsw, "QUERY_GROUP", 40)
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(12, 24))
     vectors = centers[rng.integers(0, 12, 2000)] + rng.normal(size=(2000, 24)) * 0.6
