@@ -27,11 +27,11 @@ from evidentia.llm.tables import written
 from evidentia.operators.ranking import top_k
 from evidentia.session import broadcast_if_small
 
-#: Bytes of the vectors of one shard (32,768 rows of 64 dimensions).
-SHARD_BYTES = 16 << 20
+#: Bytes of the vectors of one shard (16,384 rows of 64 dimensions).
+SHARD_BYTES = 8 << 20
 LINKS = 16  # per layer; twice that on the lowest
 BUILD_WIDTH = 64
-BATCH = 128
+BATCH = 512
 #: Queries that share one copy of a shard's index, and those searched for together.
 QUERY_GROUP = 65_536
 LOT = 512
@@ -258,7 +258,7 @@ def _search(k: int, width: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, width: int = 160) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, width: int = 240) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest inner products found for each query.
 
     Both inputs have (id long, vector array<double>): unique ids, no nulls.  A query never meets

@@ -72,6 +72,16 @@ def test_graph_of_few_points(spark):
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vectors_of_other_lengths_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "LOT", 2)
+    rows = [(i, [float(i % 7), 1.0]) for i in range(9)] + [(20 + i, [1.0, float(i), 2.0]) for i in range(4)] + [(40, []), (41, [3.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = found(hnsw.nearest(df, df, 3))
+    for i, v in rows:
+        want = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i and len(w) == len(v) > 0)[:3]
+        assert got.get(i, []) == [(j, -s) for s, j in want]
+
+
 def test_targets_reshare_what_is_above_the_cap():
     assert mixing.targets([100, 100, 100], [5, 2, 1], 3) == [187.5, 75.0, 37.5]
     got = mixing.targets([10, 1000, 90], [5, 2, 1], 3)
