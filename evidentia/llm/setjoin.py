@@ -8,12 +8,14 @@ to skip work, never to leave out a pair:
 
 * *Index lists are skipped in blocks.*  A long list is sorted by set size and position and cut
   into blocks; two blocks meet only if the largest overlap that their sizes and positions allow
-  reaches the threshold, and if they hold different components.
+  reaches the threshold, and if they hold different components.  They meet as narrow rows first,
+  and their sets only if very many of their pairs may link.
 * *Answers are derived.*  Every set first meets one pivot, the leader of most of its lists; the
   overlaps found are kept.  Two sets with one pivot can share no more than their overlaps with it
   allow.  In long lists, sets that the pivot did not answer meet one of the pivot's own answers.
-  Where two blocks do meet, one set's overlaps with the other block are counted in full; those
-  of the other sets follow from it by the few shingles in which they differ from that set.
+  Many sets like one pivot are a family, whose blocks meet once for all their common lists.
+  Where the sets of two blocks meet, one set's overlaps with the other block are counted in full;
+  those of the others follow from it by the few shingles in which they differ from that set.
 
 Only links between different components are looked for after the first ones, so a group of any
 number of like sets is never expanded into its pairs.
@@ -25,7 +27,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +36,11 @@ from evidentia.llm.neardup import shingles
 from evidentia.llm.tables import components, written
 
 BUCKETS = 1 << 16
-#: Entries of a list whose pairs are tried in a join; entries of a block of a longer list.
+#: Entries of a list whose pairs are tried in a join; entries of a block of a longer list; pairs per
+#: entry of two blocks that are listed (of more, the blocks' sets are brought together instead).
 SMALL = 32
-BLOCK = 256
+BLOCK = 512
+DENSE = 4
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -182,20 +185,56 @@ def overlap_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return total
 
 
+def _sides(rows: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The columns of the left and the right block of a unit."""
+    side = rows.column("side").to_numpy()
+    return tuple({c: rows.column(c).to_numpy()[side == s] for c in rows.column_names if c != "side"} for s in (0, 1))
+
+
+def _need(left: dict, right: dict, percent: int) -> np.ndarray:
+    """Which pairs of two blocks stand in different components and may link, by all that is known without their sets."""
+    across = lambda column: (left[column][:, None], right[column][None, :])
+    (n, m), (at, by), (u, v) = across("n"), across("pos"), across("component")
+    need = (u != v) & _enough(np.minimum(n - at, m - by), n + m, percent)
+    (fam, fam_), (in_fam, in_fam_) = across("fam"), across("in_fam")
+    need &= ~(in_fam & in_fam_ & (fam == fam_))  # met in their family
+    (pivot, pivot_), (known, known_), (shared, shared_) = across("pivot"), across("known"), across("shared")
+    bound = np.minimum(shared, shared_) + np.minimum(n - shared, m - shared_)
+    return need & (~(known & known_ & (pivot == pivot_)) | _enough(bound, n + m, percent))
+
+
+PAIRS = "key long, i long, j long, u long, v long"
+
+
+def _block_pairs(percent: int):
+    """The pairs of a unit that may link; of a unit with many of them only one row, without a pair."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        left, right = _sides(rows)
+        need = _need(left, right, percent)
+        x, y = np.nonzero(need)
+        if len(x) > DENSE * sum(need.shape):
+            u = v = pa.nulls(1, pa.int64())
+        else:
+            a, b = left["cid"][x], right["cid"][y]
+            u, v = pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())
+        here = [pa.array(np.full(len(u), rows.column(c)[0].as_py()), pa.int64()) for c in ("key", "i", "j")]
+        return pa.Table.from_arrays([*here, u, v], names=["key", "i", "j", "u", "v"])
+    return run
+
+
 def _block_links(percent: int):
-    """Links between components among the sets of two blocks of a list; of several that join the same components, one."""
+    """Links between components among the sets of two blocks; of several that join the same components, one."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    def run(rows: pa.Table) -> pa.Table:
+        left, right = _sides(rows)
+        need = _need(left, right, percent)
         found: list[tuple[int, int]] = []
-        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        rest, other = n - left["pos"].to_numpy()[:, None], m - right["pos"].to_numpy()[None, :]
-        need = (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]) & _enough(np.minimum(rest, other), n + m, percent)
         if need.any():
             keep_l, keep_r = np.flatnonzero(need.any(axis=1)), np.flatnonzero(need.any(axis=0))
-            left, right, need = left.iloc[keep_l], right.iloc[keep_r], need[np.ix_(keep_l, keep_r)]
+            left, right = ({c: values[keep] for c, values in side.items()} for side, keep in ((left, keep_l), (right, keep_r)))
             shared = overlap_matrix(*([np.frombuffer(x, np.uint64) for x in side["hashes"]] for side in (left, right)))
-            good = need & _enough(shared, left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :], percent)
+            good = need[np.ix_(keep_l, keep_r)] & _enough(shared, left["n"][:, None] + right["n"][None, :], percent)
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -204,42 +243,49 @@ def _block_links(percent: int):
                     x = parent[x]
                 return x
 
-            lc, rc, li, ri = (side[c].to_numpy() for c in ("component", "cid") for side in (left, right))
             for x, y in zip(*np.nonzero(good), strict=True):
-                a, b = root(int(lc[x])), root(int(rc[y]))
+                a, b = root(int(left["component"][x])), root(int(right["component"][y]))
                 if a != b:
                     parent[a] = b
-                    found.append((int(li[x]), int(ri[y])))
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+                    found.append((int(left["cid"][x]), int(right["cid"][y])))
+        return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
     return run
 
 
+ENTRY = ["key", "cid", "n", "pos", "component", "main", "fam", "in_fam", "pivot", "known", "shared"]
+
+
 def _blocks(entries: DataFrame, name: str) -> DataFrame:
     """Entries with the number of their block: at most BLOCK neighbours of one list by size and position."""
-    ranges = written(entries.repartitionByRange("token", "n", "pos", "cid").withColumn("range", F.spark_partition_id().cast("long")), f"set-{name}")
-    place = F.row_number().over(Window.partitionBy("token", "range").orderBy("n", "pos", "cid")) - 1
-    return ranges.withColumn("block", F.col("range") * (1 << 32) + F.floor(place / BLOCK)).drop("range")
+    ranges = written(entries.repartitionByRange("key", "n", "pos", "cid").withColumn("range", F.spark_partition_id().cast("long")), f"set-{name}-ranges")
+    place = F.row_number().over(Window.partitionBy("key", "range").orderBy("n", "pos", "cid")) - 1
+    return written(ranges.withColumn("block", F.col("range") * (1 << 32) + F.floor(place / BLOCK)).drop("range", "main"), f"set-{name}")
+
 
+def _units(entries: DataFrame, percent: int, name: str) -> DataFrame:
+    """The rows of all pairs of blocks of one list that have to meet: key, i, j, side, and the entry.
 
-def _across_blocks(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join components among the entries of long lists (token, cid, n, pos, component, main)."""
+    One block holds entries outside of the list's main component, the other any entries.
+    """
     def outline(blocks: DataFrame, side: str) -> DataFrame:
-        return blocks.groupBy("token", "block").agg(
+        return blocks.groupBy("key", "block").agg(
             F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"),
             F.min("component").alias("low"), F.max("component").alias("high")).alias(side)
 
-    right = written(_blocks(hot, "all").drop("main"), "set-right")
-    left = written(_blocks(hot.where("component <> main"), "open").drop("main"), "set-left")
+    left, right = _blocks(entries.where("component <> main"), f"{name}-left"), _blocks(entries, f"{name}-right")
     a, b = outline(left, "a"), outline(right, "b")
     sizes = _enough(F.least("a.rest", "b.rest"), F.col("a.least") + F.col("b.least"), percent)
     sizes &= (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
     alike = (F.col("a.low") == F.col("b.high")) & (F.col("a.high") == F.col("b.low"))
-    units = written(a.join(b, (F.col("a.token") == F.col("b.token")) & sizes & ~alike)
-                    .select(F.col("a.token").alias("token"), F.col("a.block").alias("i"), F.col("b.block").alias("j")), "set-units")
-    columns = ["token", "i", "j", "cid", "n", "pos", "component"]
-    rows = (left.join(units.withColumn("block", F.col("i")), ["token", "block"]).select(*columns, F.lit(0).alias("side"))
-            .union(right.join(units.withColumn("block", F.col("j")), ["token", "block"]).select(*columns, F.lit(1).alias("side"))))
-    return rows.join(sets, "cid").groupBy("token", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
+    units = written(a.join(b, (F.col("a.key") == F.col("b.key")) & sizes & ~alike)
+                    .select(F.col("a.key").alias("key"), F.col("a.block").alias("i"), F.col("b.block").alias("j")), f"set-{name}-units")
+    columns = ["key", "i", "j", *(c for c in ENTRY if c not in ("key", "main"))]
+    return (left.join(units.withColumn("block", F.col("i")), ["key", "block"]).select(*columns, F.lit(0).alias("side"))
+            .union(right.join(units.withColumn("block", F.col("j")), ["key", "block"]).select(*columns, F.lit(1).alias("side"))))
+
+
+def _links_of(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return units.join(sets, "cid").groupBy("key", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
 
 
 def _by_votes(offers: DataFrame) -> DataFrame:
@@ -296,6 +342,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = written(_linked(answers, percent), "set-links")
     groups = components(links, "set-groups")
 
+    # of an id with several texts there are several answers, which bound nothing
+    facts = (answers.groupBy("u").agg(F.max("shared").alias("shared"), F.max("v").alias("pivot"), F.max(F.col("nu") + F.col("nv")).alias("sizes"), F.count(F.lit(1)).alias("times"))
+             .where("times = 1").select(F.col("u").alias("cid"), "shared", "pivot", (F.col("shared") * 3 >= F.col("sizes")).alias("like")))
+    big = facts.where("like").groupBy("pivot").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > SMALL).select("pivot", F.lit(True).alias("like"))
+    facts = facts.join(big.withColumnRenamed("like", "big"), "pivot", "left").select(
+        "cid", "pivot", "shared", F.lit(True).alias("known"), (F.col("like") & F.coalesce("big", F.lit(False))).alias("in_fam"))
+    facts = written(facts, "set-facts")
+
+    def entries_of(rows: DataFrame, key: str) -> DataFrame:
+        zero, no = F.lit(0).cast("long"), F.lit(False)
+        full = rows.join(facts, "cid", "left") if "pivot" not in rows.columns else rows
+        return full.select(F.col(key).alias("key"), "cid", "n", "pos", "component", "main", F.coalesce("pivot", zero).alias("fam"), F.coalesce("in_fam", no).alias("in_fam"),
+                           F.coalesce("pivot", zero).alias("pivot"), F.coalesce("known", no).alias("known"), F.coalesce("shared", zero).alias("shared"))
+
     open_ = written(_placed(lists, groups), "set-open")
     hot = open_.where(F.col("entries") > SMALL)
     if not hot.isEmpty():
@@ -304,29 +364,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                   .agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("pivot"), F.col("n").alias("k"), F.col("pos").alias("by"))).alias("s"))
                   .select("token", "s.pivot", "s.k", "s.by"))
         offers = hot.where("component <> main").join(second, "token").where(_may_link(F.col("n"), F.col("pos"), F.col("k"), F.col("by"), percent))
-        more = written(_linked(_measured(_by_votes(offers.select("cid", "pivot")), sets), percent), "set-second")
-        links = links.union(more)
+        links = links.union(written(_linked(_measured(_by_votes(offers.select("cid", "pivot")), sets), percent), "set-second"))
         groups = components(links, "set-groups2")
-        open_ = written(_placed(lists, groups), "set-open2")
-
-    # of an id with several texts there are several answers, which bound nothing
-    facts = (answers.groupBy("u").agg(F.max("shared").alias("shared"), F.max("v").alias("pivot"), F.count(F.lit(1)).alias("times")).where("times = 1")
-             .select(F.col("u").alias("cid"), "shared", "pivot"))
+    family = facts.where("in_fam").join(classes.select("cid", "n").dropDuplicates(["cid"]), "cid")
+    if not family.isEmpty():
+        # large families: the sets like one pivot meet each other, once for all their common lists
+        family = family.join(groups.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        main = (family.groupBy("pivot").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "component")).alias("s"), F.min("component").alias("low"), F.max("component").alias("high"))
+                .where("low <> high").select("pivot", F.col("s.component").alias("main")))
+        members = entries_of(family.join(main, "pivot").withColumn("pos", F.lit(0)), "pivot").withColumn("in_fam", F.lit(False))
+        links = links.union(written(_links_of(_units(members, percent, "family"), sets, percent), "set-family-links"))
+        groups = components(links, "set-groups3")
+
+    open_ = written(_placed(lists, groups), "set-left")
     few = open_.where(F.col("entries") <= SMALL).join(facts, "cid", "left")
     a, b = few.where("component <> main").alias("a"), few.alias("b")
     bound = F.least("a.shared", "b.shared") + F.least(F.col("a.n") - F.col("a.shared"), F.col("b.n") - F.col("b.shared"))
-    by_pivot = F.coalesce((F.col("a.pivot") != F.col("b.pivot")) | _enough(bound, F.col("a.n") + F.col("b.n"), percent), F.lit(True))
-    by_pivot &= F.coalesce((F.col("a.pivot") != F.col("b.cid")) & (F.col("b.pivot") != F.col("a.cid")), F.col("a.pivot") != F.col("b.cid"), F.col("b.pivot") != F.col("a.cid"), F.lit(True))
+    same = F.coalesce(F.col("a.pivot") == F.col("b.pivot"), F.lit(False))
+    met = (same & F.col("a.in_fam") & F.col("b.in_fam")) | (same & ~_enough(bound, F.col("a.n") + F.col("b.n"), percent))
+    met |= F.coalesce(F.col("a.pivot") == F.col("b.cid"), F.lit(False)) | F.coalesce(F.col("b.pivot") == F.col("a.cid"), F.lit(False))
     pairs = (a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component"))
                     & ((F.col("b.component") == F.col("b.main")) | (F.col("a.cid") < F.col("b.cid")))
-                    & _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent) & by_pivot)
-             .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct())
-    pairs = written(pairs, "set-pairs")
-    more = _linked(_measured(pairs, sets), percent)
+                    & _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent) & ~met)
+             .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")))
     hot = open_.where(F.col("entries") > SMALL)
+    dense = None
     if not hot.isEmpty():
-        more = more.union(_across_blocks(hot.select("token", "cid", "n", "pos", "component", "main"), sets, percent))
-    groups = components(links.union(written(more, "set-more")), "set-groups3")
+        units = _units(entries_of(hot, "token"), percent, "lists")
+        found = written(units.groupBy("key", "i", "j").applyInArrow(_block_pairs(percent), PAIRS), "set-found")
+        pairs = pairs.union(found.where("u IS NOT NULL").select("u", "v"))
+        many = found.where("u IS NULL").select("key", "i", "j")
+        if not many.isEmpty():
+            dense = _links_of(units.join(many, ["key", "i", "j"]), sets, percent)
+    more = _linked(_measured(written(pairs.distinct(), "set-pairs"), sets), percent)
+    groups = components(links.union(written(more if dense is None else more.union(dense), "set-more")), "set-groups4")
 
     whole = (known.select("id", "digest").join(classes.select("digest", "cid"), "digest")
              .join(groups.select(F.col("id").alias("cid"), "component"), "cid", "left")

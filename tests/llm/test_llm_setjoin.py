@@ -59,7 +59,7 @@ def like_texts(seed, families=5, count=24, words=90):
     return rows + [(2000, None), (2001, ""), (2002, "one"), (2003, "ONE"), (2004, "one two"), (2005, " \n\t"), (2006, "z " * 500), (2007, "z z z"), (None, rows[0][1])]
 
 
-@pytest.mark.parametrize("limits", [{}, {"SMALL": 1, "BLOCK": 4}, {"SMALL": 3, "BLOCK": 2}, {"SMALL": 10**6}])
+@pytest.mark.parametrize("limits", [{}, {"SMALL": 1, "BLOCK": 4, "DENSE": 0}, {"SMALL": 3, "BLOCK": 2}, {"SMALL": 10**6}, {"SMALL": 1, "BLOCK": 9, "DENSE": 1}])
 @pytest.mark.parametrize("size, percent", [(3, 90), (2, 60)])
 def test_components_equal_brute_force(spark, monkeypatch, limits, size, percent):
     for name, value in limits.items():
