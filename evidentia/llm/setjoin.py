@@ -8,14 +8,14 @@ to skip work, never to leave out a pair:
 
 * *Index lists are skipped in blocks.*  A long list is sorted by set size and position and cut
   into blocks; two blocks meet only if the largest overlap that their sizes and positions allow
-  reaches the threshold, and if they hold different components.  They meet as narrow rows first,
-  and their sets only if very many of their pairs may link.
+  reaches the threshold, and if they hold different components.
 * *Answers are derived.*  Every set first meets one pivot, the leader of most of its lists; the
   overlaps found are kept.  Two sets with one pivot can share no more than their overlaps with it
   allow.  In long lists, sets that the pivot did not answer meet one of the pivot's own answers.
-  Many sets like one pivot are a family, whose blocks meet once for all their common lists.
-  Where the sets of two blocks meet, one set's overlaps with the other block are counted in full;
-  those of the others follow from it by the few shingles in which they differ from that set.
+  Pairs that may still link, also by the parity bitmaps of their sets, make clusters.  Only in
+  these are the sets themselves brought together, each once for a pair of blocks: one set's
+  overlaps with the other block are counted in full, and those of the others follow from it by
+  the few shingles in which they differ from that set.
 
 Only links between different components are looked for after the first ones, so a group of any
 number of like sets is never expanded into its pairs.
@@ -34,10 +34,15 @@ from pyspark.sql import functions as F
 from evidentia.llm import words as W
 from evidentia.llm.neardup import shingles
 from evidentia.llm.tables import components, written
+from evidentia.session import broadcast_if_small
 
 BUCKETS = 1 << 16
+#: 64-bit words of a set's bitmap, in which every shingle flips one bit: the bits in which two bitmaps
+#: differ are no more than the shingles in which the sets differ.
+BITMAP = [f"b{i}" for i in range(8)]
+WIDE = 64  # words of the bitmaps made where the sets themselves are at hand
 #: Entries of a list whose pairs are tried in a join; entries of a block of a longer list; pairs per
-#: entry of two blocks that are listed (of more, the blocks' sets are brought together instead).
+#: entry of two blocks that are listed (of more, their sets are made one cluster instead).
 SMALL = 32
 BLOCK = 512
 DENSE = 4
@@ -78,7 +83,13 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-ROWS = "id long, n long, digest binary, prefix array<long>"
+ROWS = "id long, n long, digest binary, prefix array<long>, " + ", ".join(f"{b} long" for b in BITMAP)
+
+
+def bitmaps(hashes: np.ndarray, owner: np.ndarray, rows: int, words: int) -> np.ndarray:
+    bits = 64 * words
+    flips = np.bincount(owner * bits + (W.mix(hashes + _SALT) % np.uint64(bits)).astype(np.int64), minlength=rows * bits) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little").view("<i8")
 
 
 def _rows(size: int, percent: int, shared):
@@ -98,7 +109,9 @@ def _rows(size: int, percent: int, shared):
                 digest = [hashlib.blake2b(raw[8 * a:8 * b], digest_size=16).digest() if b > a else None for a, b in zip(begin, begin[1:], strict=False)]
                 ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[chosen].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), prefix], names=["id", "n", "digest", "prefix"])
+                bits = bitmaps(hashes, owner, rows, len(BITMAP))
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), prefix]
+                                                 + [pa.array(bits[:, i].copy()) for i in range(len(BITMAP))], names=["id", "n", "digest", "prefix", *BITMAP])
     return run
 
 
@@ -126,10 +139,27 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(shared), pa.array(sizes[0]), pa.array(sizes[1])], names=["u", "v", "shared", "nu", "nv"])
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, shared, nu, nv): how many shingles the sets of each pair share, and their sizes."""
-    both = pairs.join(sets.toDF("u", "hu"), "u").join(sets.toDF("v", "hv"), "v").select("u", "v", "hu", "hv")
-    return both.mapInArrow(_overlaps, "u long, v long, shared long, nu long, nv long")
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the given cids; where these are few, no other row moves."""
+    return rows.join(broadcast_if_small(ids.select("cid").distinct()), "cid", "left_semi")
+
+
+def _near(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that may link by the bitmaps of their sets."""
+    a, b = (facts.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}{x}") for c in BITMAP)) for x in ("u", "v"))
+    differ = sum((F.bit_count(F.col(f"{c}u").bitwiseXOR(F.col(f"{c}v"))) for c in BITMAP), F.lit(0)).cast("long")
+    most = F.expr("(nu + nv - differ) div 2")  # shingles that the two can share
+    both = pairs.join(a, "u").join(b, "v").withColumn("differ", differ)
+    return both.where(_enough(most, F.col("nu") + F.col("nv"), percent)).select("u", "v").distinct()
+
+
+def _measured(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """(u, v, shared, nu, nv) of the pairs that may link: how many shingles their sets share, and the sizes."""
+    near = written(_near(broadcast_if_small(written(pairs, f"set-{name}-pairs")), facts, percent), f"set-{name}-near")
+    few = broadcast_if_small(near)
+    own = written(_only(sets, near.select(F.col("u").alias("cid")).union(near.select(F.col("v").alias("cid")))), f"set-{name}-sets")
+    both = own.toDF("u", "hu").join(few, "u").join(own.toDF("v", "hv"), "v").select("u", "v", "hu", "hv")
+    return written(both.mapInArrow(_overlaps, "u long, v long, shared long, nu long, nv long"), f"set-{name}")
 
 
 def _enough(shared, sizes, percent: int):
@@ -142,47 +172,45 @@ def _may_link(n, at, m, other, percent: int):
     return _enough(F.least(n - at, m - other), n + m, percent)
 
 
-def overlap_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Shared elements of each left and right set (sorted, distinct).
+def _without(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The values that are not among the others; both are sorted."""
+    if not len(others):
+        return values
+    return values[others[np.minimum(np.searchsorted(others, values), len(others) - 1)] != values]
+
 
-    The first left set is counted against all right ones.  A left set's counts are that set's,
-    less the elements that only the first has, plus those that only it has.
+class Answers:
+    """How many elements sets (sorted, distinct) share with each of some right sets.
+
+    The right sets are one index, element to sets.  The first answer reads the lists of all the
+    set's elements.  A later one starts from the answer of a set already asked, and reads only the
+    lists of the elements that the two sets do not share, if these are fewer.
     """
-    first = left[0]
-
-    def inside(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-        if not len(among):
-            return np.zeros(len(values), dtype=bool)
-        return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
-
-    def rows_of(sets: list[np.ndarray]) -> np.ndarray:
-        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-
-    flat_l, row_l, flat_r, row_r = np.concatenate(left), rows_of(left), np.concatenate(right), rows_of(right)
-    base = np.bincount(row_r[inside(flat_r, first)], minlength=len(right))
-    known = inside(flat_l, first)
-    lacks = np.ones((len(left), len(first)), dtype=bool)
-    lacks[row_l[known], np.searchsorted(first, flat_l[known])] = False
-    less, place = np.nonzero(lacks)
-    row = np.concatenate([less, row_l[~known]])
-    value = np.concatenate([first[place], flat_l[~known]])
-    sign = np.concatenate([np.full(len(less), -1, np.float32), np.ones(int((~known).sum()), np.float32)])
-    vocabulary = np.unique(value)
-    column = np.searchsorted(vocabulary, value)
-    hit = inside(flat_r, vocabulary)
-    row_r, column_r = row_r[hit], np.searchsorted(vocabulary, flat_r[hit])
-    order, order_r = np.argsort(column, kind="stable"), np.argsort(column_r, kind="stable")
-    row, column, sign, row_r, column_r = row[order], column[order], sign[order], row_r[order_r], column_r[order_r]
-    total = np.broadcast_to(base.astype(np.int64), (len(left), len(right))).copy()
-    wide = 4096
-    for at in range(0, len(vocabulary), wide):
-        a, b = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
-        low, high = np.searchsorted(column, [at, at + wide])
-        a[row[low:high], column[low:high] - at] = sign[low:high]
-        low, high = np.searchsorted(column_r, [at, at + wide])
-        b[row_r[low:high], column_r[low:high] - at] = 1
-        total += (a @ b.T).astype(np.int64)
-    return total
+
+    def __init__(self, right: list[np.ndarray]):
+        flat, row = np.concatenate(right), np.repeat(np.arange(len(right)), [len(x) for x in right])
+        order = np.argsort(flat, kind="stable")
+        self.elements, self.sets, self.count = flat[order], row[order], len(right)
+        self.known: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _lists(self, elements: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(self.elements, elements, side=side) for side in ("left", "right"))
+        size = high - low
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.sets[at], minlength=self.count)
+
+    def of(self, asked: np.ndarray, like: int | None = None) -> np.ndarray:
+        """The answer of one more set, from that of the set asked as number ``like``."""
+        answer = None
+        if like is not None:
+            base, shared = self.known[like]
+            gone, new = _without(base, asked), _without(asked, base)
+            if len(gone) + len(new) < len(asked):
+                answer = shared - self._lists(gone) + self._lists(new)
+        if answer is None:
+            answer = self._lists(asked)
+        self.known.append((asked, answer))
+        return answer
 
 
 def _sides(rows: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -196,30 +224,25 @@ def _need(left: dict, right: dict, percent: int) -> np.ndarray:
     across = lambda column: (left[column][:, None], right[column][None, :])
     (n, m), (at, by), (u, v) = across("n"), across("pos"), across("component")
     need = (u != v) & _enough(np.minimum(n - at, m - by), n + m, percent)
-    (fam, fam_), (in_fam, in_fam_) = across("fam"), across("in_fam")
-    need &= ~(in_fam & in_fam_ & (fam == fam_))  # met in their family
     (pivot, pivot_), (known, known_), (shared, shared_) = across("pivot"), across("known"), across("shared")
     bound = np.minimum(shared, shared_) + np.minimum(n - shared, m - shared_)
-    return need & (~(known & known_ & (pivot == pivot_)) | _enough(bound, n + m, percent))
-
-
-PAIRS = "key long, i long, j long, u long, v long"
+    need &= ~(known & known_ & (pivot == pivot_)) | _enough(bound, n + m, percent)
+    differ = sum(np.bitwise_count(np.bitwise_xor(*across(c)).view(np.uint64)).astype(np.int64) for c in BITMAP)
+    return need & _enough((n + m - differ) // 2, n + m, percent)
 
 
 def _block_pairs(percent: int):
-    """The pairs of a unit that may link; of a unit with many of them only one row, without a pair."""
+    """The pairs of a unit that may link; of very many, pairs of all their sets with one of them."""
 
     def run(rows: pa.Table) -> pa.Table:
         left, right = _sides(rows)
         need = _need(left, right, percent)
         x, y = np.nonzero(need)
+        u, v = left["cid"][x], right["cid"][y]
         if len(x) > DENSE * sum(need.shape):
-            u = v = pa.nulls(1, pa.int64())
-        else:
-            a, b = left["cid"][x], right["cid"][y]
-            u, v = pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())
-        here = [pa.array(np.full(len(u), rows.column(c)[0].as_py()), pa.int64()) for c in ("key", "i", "j")]
-        return pa.Table.from_arrays([*here, u, v], names=["key", "i", "j", "u", "v"])
+            v = np.unique(np.concatenate([u, v]))
+            u = np.full(len(v), v[0])
+        return pa.Table.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64())], names=["u", "v"])
     return run
 
 
@@ -233,26 +256,31 @@ def _block_links(percent: int):
         if need.any():
             keep_l, keep_r = np.flatnonzero(need.any(axis=1)), np.flatnonzero(need.any(axis=0))
             left, right = ({c: values[keep] for c, values in side.items()} for side, keep in ((left, keep_l), (right, keep_r)))
-            shared = overlap_matrix(*([np.frombuffer(x, np.uint64) for x in side["hashes"]] for side in (left, right)))
-            good = need[np.ix_(keep_l, keep_r)] & _enough(shared, left["n"][:, None] + right["n"][None, :], percent)
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for x, y in zip(*np.nonzero(good), strict=True):
-                a, b = root(int(left["component"][x])), root(int(right["component"][y]))
-                if a != b:
-                    parent[a] = b
-                    found.append((int(left["cid"][x]), int(right["cid"][y])))
+            need = need[np.ix_(keep_l, keep_r)]
+            sets, others = ([np.frombuffer(x, np.uint64) for x in side["hashes"]] for side in (left, right))
+            wide, wide_ = (bitmaps(np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x]), len(x), WIDE) for x in (sets, others))
+            ours, theirs = left["component"].copy(), right["component"].copy()
+            answers, asked = Answers(others), np.zeros(0, dtype=np.int64)
+            for x in np.argsort(-need.sum(axis=1), kind="stable"):
+                size = left["n"][x] + right["n"]
+                open_ = np.flatnonzero(need[x] & (theirs != ours[x]))
+                differ = np.bitwise_count((wide_[open_] ^ wide[x]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                open_ = open_[_enough((size[open_] - differ) // 2, size[open_], percent)]
+                if not len(open_):
+                    continue
+                like = int(np.bitwise_count((wide[asked] ^ wide[x]).view(np.uint64)).sum(axis=1).argmin()) if len(asked) else None
+                shared = answers.of(sets[x], like)
+                asked = np.append(asked, x)
+                for y in open_[_enough(shared[open_], size[open_], percent)]:
+                    if theirs[y] != ours[x]:
+                        found.append((int(left["cid"][x]), int(right["cid"][y])))
+                        joined, into = theirs[y], ours[x]
+                        ours[ours == joined], theirs[theirs == joined] = into, into
         return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
     return run
 
 
-ENTRY = ["key", "cid", "n", "pos", "component", "main", "fam", "in_fam", "pivot", "known", "shared"]
+ENTRY = ["key", "cid", "n", "pos", "component", "main", "pivot", "known", "shared", *BITMAP]
 
 
 def _blocks(entries: DataFrame, name: str) -> DataFrame:
@@ -284,8 +312,12 @@ def _units(entries: DataFrame, percent: int, name: str) -> DataFrame:
             .union(right.join(units.withColumn("block", F.col("j")), ["key", "block"]).select(*columns, F.lit(1).alias("side"))))
 
 
-def _links_of(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return units.join(sets, "cid").groupBy("key", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
+def _entries(rows: DataFrame, key: str, facts: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows (key, cid, n, pos, component, main) with all that is known of their sets."""
+    zero = F.lit(0).cast("long")
+    full = rows.join(told, "cid", "left").join(facts, ["cid", "n"])
+    return full.select(F.col(key).alias("key"), "cid", "n", "pos", "component", "main", F.coalesce("pivot", zero).alias("pivot"),
+                       F.col("pivot").isNotNull().alias("known"), F.coalesce("shared", zero).alias("shared"), *BITMAP)
 
 
 def _by_votes(offers: DataFrame) -> DataFrame:
@@ -324,7 +356,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = spark.sparkContext.broadcast(common_levels(texts.select("text"), size).tobytes())
     rows = written(texts.mapInArrow(_rows(size, percent, levels), ROWS), "set-rows")
     known = rows.where("id IS NOT NULL AND digest IS NOT NULL")
-    classes = written(known.groupBy("digest").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "set-classes")
+    classes = written(known.groupBy("digest").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in BITMAP)), "set-classes")
+    facts = classes.select("cid", "n", *BITMAP)
 
     entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     first = F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("lead")))
@@ -338,23 +371,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = sets.distinct()
     sets = written(sets, "set-sets")
     pivots = _by_votes(lists.where(F.col("cid") != F.col("leader")).where(fits).select("cid", F.col("leader").alias("pivot")))
-    answers = written(_measured(pivots, sets), "set-answers")
+    answers = _measured(pivots, facts, sets, percent, "answers")
     links = written(_linked(answers, percent), "set-links")
     groups = components(links, "set-groups")
 
     # of an id with several texts there are several answers, which bound nothing
-    facts = (answers.groupBy("u").agg(F.max("shared").alias("shared"), F.max("v").alias("pivot"), F.max(F.col("nu") + F.col("nv")).alias("sizes"), F.count(F.lit(1)).alias("times"))
-             .where("times = 1").select(F.col("u").alias("cid"), "shared", "pivot", (F.col("shared") * 3 >= F.col("sizes")).alias("like")))
-    big = facts.where("like").groupBy("pivot").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > SMALL).select("pivot", F.lit(True).alias("like"))
-    facts = facts.join(big.withColumnRenamed("like", "big"), "pivot", "left").select(
-        "cid", "pivot", "shared", F.lit(True).alias("known"), (F.col("like") & F.coalesce("big", F.lit(False))).alias("in_fam"))
-    facts = written(facts, "set-facts")
-
-    def entries_of(rows: DataFrame, key: str) -> DataFrame:
-        zero, no = F.lit(0).cast("long"), F.lit(False)
-        full = rows.join(facts, "cid", "left") if "pivot" not in rows.columns else rows
-        return full.select(F.col(key).alias("key"), "cid", "n", "pos", "component", "main", F.coalesce("pivot", zero).alias("fam"), F.coalesce("in_fam", no).alias("in_fam"),
-                           F.coalesce("pivot", zero).alias("pivot"), F.coalesce("known", no).alias("known"), F.coalesce("shared", zero).alias("shared"))
+    # of an id with several texts there are several answers, which bound nothing
+    told = (answers.groupBy("u").agg(F.max("shared").alias("shared"), F.max("v").alias("pivot"), F.count(F.lit(1)).alias("times")).where("times = 1")
+            .select(F.col("u").alias("cid"), "shared", "pivot"))
 
     open_ = written(_placed(lists, groups), "set-open")
     hot = open_.where(F.col("entries") > SMALL)
@@ -364,40 +388,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                   .agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("pivot"), F.col("n").alias("k"), F.col("pos").alias("by"))).alias("s"))
                   .select("token", "s.pivot", "s.k", "s.by"))
         offers = hot.where("component <> main").join(second, "token").where(_may_link(F.col("n"), F.col("pos"), F.col("k"), F.col("by"), percent))
-        links = links.union(written(_linked(_measured(_by_votes(offers.select("cid", "pivot")), sets), percent), "set-second"))
+        links = links.union(_linked(_measured(_by_votes(offers.select("cid", "pivot")), facts, sets, percent, "second"), percent))
         groups = components(links, "set-groups2")
-    family = facts.where("in_fam").join(classes.select("cid", "n").dropDuplicates(["cid"]), "cid")
-    if not family.isEmpty():
-        # large families: the sets like one pivot meet each other, once for all their common lists
-        family = family.join(groups.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        main = (family.groupBy("pivot").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "component")).alias("s"), F.min("component").alias("low"), F.max("component").alias("high"))
-                .where("low <> high").select("pivot", F.col("s.component").alias("main")))
-        members = entries_of(family.join(main, "pivot").withColumn("pos", F.lit(0)), "pivot").withColumn("in_fam", F.lit(False))
-        links = links.union(written(_links_of(_units(members, percent, "family"), sets, percent), "set-family-links"))
-        groups = components(links, "set-groups3")
-
-    open_ = written(_placed(lists, groups), "set-left")
-    few = open_.where(F.col("entries") <= SMALL).join(facts, "cid", "left")
+        open_ = written(_placed(lists, groups), "set-left")
+
+    few = open_.where(F.col("entries") <= SMALL).join(told, "cid", "left")
     a, b = few.where("component <> main").alias("a"), few.alias("b")
     bound = F.least("a.shared", "b.shared") + F.least(F.col("a.n") - F.col("a.shared"), F.col("b.n") - F.col("b.shared"))
-    same = F.coalesce(F.col("a.pivot") == F.col("b.pivot"), F.lit(False))
-    met = (same & F.col("a.in_fam") & F.col("b.in_fam")) | (same & ~_enough(bound, F.col("a.n") + F.col("b.n"), percent))
+    met = F.coalesce(F.col("a.pivot") == F.col("b.pivot"), F.lit(False)) & ~_enough(bound, F.col("a.n") + F.col("b.n"), percent)
     met |= F.coalesce(F.col("a.pivot") == F.col("b.cid"), F.lit(False)) | F.coalesce(F.col("b.pivot") == F.col("a.cid"), F.lit(False))
     pairs = (a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component"))
                     & ((F.col("b.component") == F.col("b.main")) | (F.col("a.cid") < F.col("b.cid")))
                     & _may_link(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent) & ~met)
-             .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")))
+             .select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct())
+    near = _near(broadcast_if_small(written(pairs, "set-rest-pairs")), facts, percent)
     hot = open_.where(F.col("entries") > SMALL)
-    dense = None
     if not hot.isEmpty():
-        units = _units(entries_of(hot, "token"), percent, "lists")
-        found = written(units.groupBy("key", "i", "j").applyInArrow(_block_pairs(percent), PAIRS), "set-found")
-        pairs = pairs.union(found.where("u IS NOT NULL").select("u", "v"))
-        many = found.where("u IS NULL").select("key", "i", "j")
-        if not many.isEmpty():
-            dense = _links_of(units.join(many, ["key", "i", "j"]), sets, percent)
-    more = _linked(_measured(written(pairs.distinct(), "set-pairs"), sets), percent)
-    groups = components(links.union(written(more if dense is None else more.union(dense), "set-more")), "set-groups4")
+        near = near.union(_units(_entries(hot, "token", facts, told), percent, "lists").groupBy("key", "i", "j").applyInArrow(_block_pairs(percent), "u long, v long"))
+    near = written(near, "set-near")
+    if not near.isEmpty():
+        cluster = components(near, "set-clusters").select(F.col("id").alias("cid"), F.col("component").alias("cluster"))
+        inside = cluster.join(groups.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        main = (inside.groupBy("cluster").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "component")).alias("s"), F.min("component").alias("low"), F.max("component").alias("high"))
+                .where("low <> high").select("cluster", F.col("s.component").alias("main")))
+        members = inside.join(main, "cluster").join(classes.select("cid", "n"), "cid").withColumn("pos", F.lit(0))
+        units = _units(_entries(members, "cluster", facts, told), percent, "clusters").join(_only(sets, members), "cid")
+        found = units.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
+        groups = components(links.union(written(found, "set-more")), "set-groups3")
 
     whole = (known.select("id", "digest").join(classes.select("digest", "cid"), "digest")
              .join(groups.select(F.col("id").alias("cid"), "component"), "cid", "left")
