@@ -38,6 +38,7 @@ PAGES = 3
 SHARD_PAGES = 1000
 
 ARTICLE, OTHER, FURNITURE = "a", "o", "f"
+ASIDE = "i"  # an article in furniture, until the page is read
 RAW = {"script", "style", "noscript", "template", "iframe", "title", "textarea", "xmp", "noembed", "noframes"}
 FOREIGN = {"svg", "math"}  # inside these, any tag that ends in /> is an element without content
 CLOSABLE = FOREIGN | {"object", "canvas"}
@@ -46,6 +47,10 @@ FURNITURE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertisi
                    "notice", "popup", "modal", "overlay", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "footer",
                    "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "newsletter", "subscribe", "signup", "login",
                    "related", "widget", "toolbar", "pagination", "masthead", "alert"}
+#: Words that a compound name may have beside a furniture name: ``site-header`` is furniture, ``with-sidebar`` and ``related-work`` are not.
+PLACE_NAMES = {"site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global", "sticky", "fixed", "list", "box", "bar", "item", "items",
+               "area", "section", "block", "container", "wrapper", "wrap", "inner", "outer", "link", "links", "button", "buttons", "icon", "icons", "form", "panel",
+               "row", "group", "slot", "unit", "zone", "message", "post", "posts", "stories", "user", "reader", "thread"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 BLOCK_TAGS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
               "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav",
@@ -56,33 +61,51 @@ SPACING = {"br", "img", "hr", "td", "th"}
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*)>|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z][\w:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|$)[^>]*(?:>|$)", re.I | re.S) for name in RAW}
-_NAME = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Open(NamedTuple):
     name: str
     furniture: bool
     article: bool
+    before: int  # furniture around an outermost article, which does not count inside it
 
 
-def _kind_of(name: str, rest: str) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it is the article."""
+def _furniture_name(names: str) -> bool:
+    """Whether one of the class names or ids is a furniture name, or a compound of furniture and place names only."""
+    for name in names.split():
+        words = _NAME.findall(_HUMP.sub("-", name).lower())
+        if any(w in FURNITURE_NAMES for w in words) and all(w in FURNITURE_NAMES or w in PLACE_NAMES for w in words):
+            return True
+    return False
+
+
+def _kind_of(name: str, rest: str) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture, whether it is an article, and whether its class or id is a furniture name."""
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if "=" in rest else {}
     role = given.get("role", "").lower()
-    article = name in ("article", "main") or role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody"
     if name in ("html", "body"):
-        return False, False
-    words = {w.lower() for w in _NAME.findall(given.get("class", "") + " " + given.get("id", ""))}
-    furniture = name in FURNITURE_TAGS or role in FURNITURE_ROLES or (not article and bool(words & FURNITURE_NAMES)) or "hidden" in rest.split()
-    return furniture, article and not furniture
+        return False, False, False
+    named = _furniture_name(given.get("class", "") + " " + given.get("id", ""))
+    article = name in ("article", "main") or role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody"
+    furniture = role in FURNITURE_ROLES or "hidden" in rest.split() or (not article and (name in FURNITURE_TAGS or named))
+    return furniture, article and not furniture, named
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of each block with text, in page order; character references decoded, white space one space, trimmed."""
+    """(kind, text) of each block with text, in page order; character references decoded, white space one space, trimmed.
+
+    Furniture counts inside an article; of the furniture around an article, a form does not
+    count (it may hold the whole page).  An article that stands in other furniture, or has a
+    furniture name itself (a comment, a teaser), is the page's article only if there is none
+    beside it.  With an article, blocks outside that are too short to show a repeated run are
+    furniture; longer ones are left to the suffix array.
+    """
     out: list[tuple[str, str]] = []
     parts: list[str] = []
     stack: list[Open] = []
-    furniture = article = 0
+    furniture = forms = article = aside = 0
     kind = OTHER
 
     def flush() -> None:
@@ -93,17 +116,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
             parts.clear()
 
     def pop() -> None:
-        nonlocal furniture, article
+        nonlocal furniture, article, aside, forms
         top = stack.pop()
         furniture -= top.furniture
         article -= top.article
+        forms -= top.furniture and top.name == "form"
+        if top.article and not article:
+            furniture, aside = furniture + top.before, 0
 
     at, size = 0, len(page)
     while at < size:
         found = _TAG.search(page, at)
         begin = found.start() if found else size
         if begin > at:
-            now = FURNITURE if furniture else ARTICLE if article else OTHER
+            now = FURNITURE if furniture else (ASIDE if aside else ARTICLE) if article else OTHER
             if now != kind:
                 flush()
                 kind = now
@@ -133,13 +159,23 @@ def blocks(page: str) -> list[tuple[str, str]]:
         elif name not in VOID:
             if name in BLOCK_TAGS and stack and stack[-1].name == "p":
                 pop()  # a block ends an open paragraph
-            is_furniture, is_article = _kind_of(name, found["rest"] or found["rest2"] or "")
-            stack.append(Open(name, is_furniture, is_article))
+            is_furniture, is_article, named = _kind_of(name, found["rest"] or found["rest2"] or "")
+            before = 0
+            if is_article and not article:
+                before, aside = furniture, int(named or furniture > forms)
+                furniture = 0
+            elif is_article and named:
+                is_furniture, is_article = True, False  # a comment or teaser inside an article
+            stack.append(Open(name, is_furniture, is_article, before))
             furniture += is_furniture
             article += is_article
+            forms += is_furniture and name == "form"
     flush()
-    if any(k == ARTICLE for k, _ in out):  # text outside of a marked article is not main text
-        out = [(k if k == ARTICLE else FURNITURE, t) for k, t in out]
+    kinds = {k for k, _ in out}
+    if ASIDE in kinds:
+        out = [(k if k != ASIDE else FURNITURE if ARTICLE in kinds else ARTICLE, t) for k, t in out]
+    if kinds & {ARTICLE, ASIDE}:
+        out = [(FURNITURE if k == OTHER and len(t.split()) < RUN_TOKENS else k, t) for k, t in out]
     return out
 
 
