@@ -21,7 +21,7 @@ HEADLINE = [
 ]
 
 INDEXES = {
-    "index_text": lambda spark, sf_dir: (derive.posting_index(spark, sf_dir), derive.run_vocabulary(spark, sf_dir, "[a-z0-9]+")),
+    "index_text": lambda spark, sf_dir: (derive.posting_index(spark, sf_dir), derive.line_index(spark, sf_dir, "[a-z0-9]+")),
     "index_code_and_text": derive.mixed_index,
 }
 

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
-from evidentia.operators import lexical
-from evidentia.session import broadcast_if_small
+from evidentia.operators import phrases
 
 # Texts that must not occur in test sources, as patterns.
 PROHIBITED_TEST_TEXT = [
@@ -20,6 +19,7 @@ PROHIBITED_TEST_TEXT = [
 ]
 PUBLIC_TREE_SKIP = [".git", "target", "artifacts", "benchmark"]
 MIN_LEAK_SYMBOL = 8
+MIN_FAMILIES, MAX_PER_FAMILY = 6, 2
 # end fixed values
 
 
@@ -107,28 +107,9 @@ def section_status(checked: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("files"))
 
 
-def term_leaks(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(repo, file, term): which lower-cased text contains which term, anywhere.
-
-    A term of letters and digits is looked up through the distinct runs of the
-    corpus.  Other terms are looked up by their longest run and then checked
-    against the whole text.
-    """
-    low = texts.select("repo", "file", F.lower("content").alias("content"))
-    wanted = terms.select(F.lower("term").alias("term")).distinct().where("term <> ''")
-    runs = F.regexp_extract_all("term", F.lit(lexical.NORMAL_RUN), 0)
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    keyed = wanted.withColumn("needle", longest)
-    single = keyed.where("needle = term")
-    several = keyed.where("needle is not null and needle <> term")
-    other = wanted.where(~F.col("term").rlike(lexical.NORMAL_RUN)).withColumn("needle", F.col("term"))
-    found = lexical.needle_lines(low, keyed.where("needle is not null"), lexical.NORMAL_RUN).select(
-        "repo", "file", "needle").distinct()
-    direct = found.join(broadcast_if_small(single), "needle").select("repo", "file", "term")
-    maybe = found.join(broadcast_if_small(several), "needle").select("repo", "file", "term")
-    checked = maybe.join(low, ["repo", "file"]).where(F.contains("content", F.col("term"))).select("repo", "file", "term")
-    signs = lexical.needle_lines(low, other).select("repo", "file", F.col("needle").alias("term")).distinct()
-    return direct.unionByName(checked).unionByName(signs)
+def term_leaks(texts: DataFrame, terms: DataFrame, index: phrases.Phrases | None = None) -> DataFrame:
+    """(repo, file, term): which lower-cased text contains which term, anywhere; ``index`` is that of ``phrases.build``."""
+    return phrases.holding(phrases.build(texts) if index is None else index, terms)
 
 
 def pattern_hits(text: Column, patterns: Sequence[str]) -> Column:
@@ -140,7 +121,7 @@ def literal_hits(text: Column, tokens: Sequence[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in tokens]))
 
 
-def novelty(fresh: DataFrame, known: DataFrame, copied: DataFrame, min_families: int = 6, max_per_family: int = 2) -> DataFrame:
+def novelty(fresh: DataFrame, known: DataFrame, copied: DataFrame, min_families: int = MIN_FAMILIES, max_per_family: int = MAX_PER_FAMILY) -> DataFrame:
     """One verdict row: no shared trees, no shared descriptions, nothing copied, balanced families.
 
     ``fresh`` and ``known`` are (tree_sha256, description, family); ``copied``

@@ -2,25 +2,32 @@
 
 A search term occurs in a line exactly when it occurs inside one of the runs of
 non-blank characters (or of lower-case letters and digits, for normalised
-terms) that the line consists of.  So terms are matched once against the
-distinct runs of the corpus, by their first characters, and lines join the
-result on the run: no line is ever paired with every term.
+terms) that the line consists of.  The index inverts the runs: a row says in
+which of 64 neighbouring lines of a file a run stands, as the bits of a number.
+Terms are matched once against the distinct runs, by their first characters;
+the lines of a term in a file are then the union of its runs' bits.  Counts and
+scores are taken from the bits, so no line is ever paired with a term unless
+the lines themselves are asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.operators.corpus import numbered_lines
 from evidentia.operators.ranking import top_k
+from evidentia.operators.stored import Bucketed, bucket_count
 from evidentia.session import broadcast_if_light, broadcast_if_small, materialize
 
 NON_BLANK_RUN = r"(?U)\S+"
 NORMAL_RUN = "[a-z0-9]+"
-# Terms that share one number of a bit set.
+# Terms that share one number of a bit set; runs of a folder of the index.
 BITS = 60
+BUCKET_RUNS = 50_000
 
 
 def classified_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -35,81 +42,92 @@ def classified_terms(queries: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("weight", tx.term_weight(F.col("kind")))
         .withColumn(
             "needle",
-            F.when(F.col("kind") == "annotation", F.substring("term", 2, 1_000_000)).otherwise(F.col("term")),
+            F.when(F.col("kind") == "annotation", F.substr("term", F.lit(2))).otherwise(F.col("term")),
         )
     )
 
 
-def normal_query_terms(queries: DataFrame) -> DataFrame:
-    """The same shape for queries whose ``terms`` are already normalised."""
-    return queries.select("query_id", "repo", F.posexplode("terms").alias("term_no", "term")).select(
+def normal_query_terms(queries: DataFrame, min_chars: int = 1, max_chars: int | None = None) -> DataFrame:
+    """The same shape for queries whose ``terms`` are already normalised; terms of any length unless limits are given."""
+    terms = queries.select("query_id", "repo", F.posexplode("terms").alias("term_no", "term")).select(
         "query_id", "repo", "term", F.lit("plain").alias("kind"), F.lit(1.0).alias("weight"),
         F.col("term").alias("needle"), "term_no",
-    ).where(F.length("term").between(2, 64))
+    ).where(F.length("term") >= min_chars)
+    return terms if max_chars is None else terms.where(F.length("term") <= max_chars)
 
 
-def _grams(run):
-    """Distinct two- and three-character pieces of a run."""
-    def pieces(size: int):
+def _grams(run: Column) -> Column:
+    """Distinct pieces of a run of one to three characters."""
+    def pieces(size: int) -> Column:
         return F.when(
             F.length(run) >= size,
-            F.transform(
-                F.sequence(F.lit(1), F.length(run) - (size - 1)), lambda i: F.substring(run, i, F.lit(size))
-            ),
+            F.transform(F.sequence(F.lit(1), F.length(run) - (size - 1)), lambda i: F.substring(run, i, F.lit(size))),
         ).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(pieces(2), pieces(3)))
+    return F.array_distinct(F.concat(pieces(1), pieces(2), pieces(3)))
 
 
-def line_runs(files: DataFrame, run_pattern: str = NON_BLANK_RUN) -> DataFrame:
-    """(repo, file, line_no, run): the distinct runs of every line."""
-    return numbered_lines(files, "repo", "file").select(
-        "repo", "file", "line_no",
-        F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(run_pattern), 0))).alias("run"),
-    )
+@dataclass
+class Lines:
+    """A stored line index: ``rows`` (repo, file, grp, run, bits) in folders by run, ``grams`` (gram, run) in folders by gram."""
 
+    rows: Bucketed
+    grams: Bucketed
 
-def run_needles(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(run, needle): which distinct run of the corpus contains which needle."""
-    needles = terms.select("needle").distinct()
-    keyed = needles.where(F.length("needle") >= 2).withColumn("gram", F.left("needle", F.lit(3)))
-    by_gram = vocabulary.select("run", F.explode(_grams(F.col("run"))).alias("gram")).join(
-        broadcast_if_small(keyed), "gram"
-    )
-    found = by_gram.where(F.contains("run", F.col("needle"))).select("run", "needle")
-    # a one-character needle (the bare name of a short annotation) is its own gram
-    single = needles.where(F.length("needle") == 1)
-    by_char = vocabulary.select("run", F.explode(F.array_distinct(F.split("run", ""))).alias("needle")).join(
-        broadcast_if_small(single), "needle"
-    )
-    return found.unionByName(by_char.select("run", "needle")).distinct()
 
+def run_bits(files: DataFrame, run_pattern: str = NON_BLANK_RUN) -> DataFrame:
+    """(repo, file, grp, run, bits): in which of the lines ``64 * grp + 1`` to ``64 * grp + 64`` of a file a run stands."""
+    lines = numbered_lines(files, "repo", "file")
+    runs = lines.select("repo", "file", (F.col("line_no") - 1).alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(run_pattern), 0))).alias("run"))
+    bit = F.expr("shiftleft(1L, CAST(at % 64 AS INT))")
+    return runs.groupBy("repo", "file", F.expr("at div 64").alias("grp"), "run").agg(F.bit_or(bit).alias("bits"))
 
-def needle_lines(
-    files: DataFrame, terms: DataFrame, run_pattern: str = NON_BLANK_RUN, vocabulary: DataFrame | None = None,
-    runs: DataFrame | None = None,
-) -> DataFrame:
-    """(repo, file, line_no, needle): which needle occurs in which line, exactly.
 
-    The result is partitioned by (repo, file), which every later step of the
-    channel groups by, so this is its only shuffle of the matches.  ``runs`` and
-    ``vocabulary`` are the stored index tables; without them they are derived from ``files``.
+def build_lines(files: DataFrame, run_pattern: str = NON_BLANK_RUN) -> Lines:
+    """Writes the line index of (repo, file, content)."""
+    found = materialize(run_bits(files, run_pattern), "line-runs")
+    runs = materialize(found.select("run").distinct(), "runs")
+    buckets = bucket_count(runs.count(), BUCKET_RUNS)
+    grams = runs.select(F.explode(_grams(F.col("run"))).alias("gram"), "run")
+    return Lines(Bucketed.write(found, "run", buckets, ["repo", "file"], ["run"], "run-lines"), Bucketed.write(grams, "gram", buckets, ["run"], ["gram"], "run-grams"))
+
+
+def run_needles(index: Lines, needles: DataFrame) -> DataFrame:
+    """(run, needle_no): which distinct run of the corpus contains which of the (needle, needle_no)."""
+    keyed = materialize(needles.where("needle <> ''").withColumn("gram", F.left("needle", F.lit(3))), "needle-grams")
+    found = index.grams.of(keyed).join(broadcast_if_small(keyed), "gram")
+    return found.where(F.contains("run", F.col("needle"))).select("run", "needle_no")
+
+
+def needle_bits(index: Lines, terms: DataFrame) -> DataFrame:
+    """(repo, file, grp, needle, bits): in which lines of each 64 a needle stands.
+
+    Partitioned by (repo, file), which every later step groups by: index rows of the matching runs
+    move once, and the bits of a needle's runs are united where they arrive.
     """
-    runs = line_runs(files, run_pattern) if runs is None else runs
-    vocabulary = runs.select("run").distinct() if vocabulary is None else vocabulary
-    matches = materialize(run_needles(vocabulary, terms), "run-needles")
-    found = runs.join(broadcast_if_light(matches, "run", "needle"), "run").select("repo", "file", "line_no", "needle")
-    if "repo" in terms.columns:
-        # a needle counts in the repositories of its queries only; the others leave before the shuffle
-        found = found.join(broadcast_if_small(terms.select("repo", "needle").distinct()), ["repo", "needle"], "left_semi")
-    return found.select("repo", "file", "line_no", "needle").repartition("repo", "file").distinct()
-
-
-def scored_lines(
-    files: DataFrame, terms: DataFrame, run_pattern: str = NON_BLANK_RUN, vocabulary: DataFrame | None = None
-) -> DataFrame:
+    numbered = materialize(terms.select("needle").distinct().withColumn("needle_no", F.monotonically_increasing_id()), "needles")
+    matches = materialize(run_needles(index, numbered), "run-needles")
+    rows = index.rows.of(matches).repartition("repo", "file")
+    found = rows.join(broadcast_if_light(matches, "run"), "run").groupBy("repo", "file", "grp", "needle_no").agg(F.bit_or("bits").alias("bits"))
+    asked = terms.select("repo", "needle").distinct() if "repo" in terms.columns else None
+    named = numbered if asked is None else numbered.join(asked, "needle")  # a needle counts in the repositories of its queries only
+    return found.join(broadcast_if_small(named), ["needle_no"] if asked is None else ["repo", "needle_no"]).drop("needle_no")
+
+
+def _lines_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per set bit, with ``line_no``."""
+    each = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    return rows.select(*columns, "grp", F.explode(each).alias("_i")).select(*columns, (F.col("grp") * 64 + F.col("_i") + 1).alias("line_no"))
+
+
+def needle_lines(index: Lines, terms: DataFrame) -> DataFrame:
+    """(repo, file, line_no, needle): which needle occurs in which line, exactly."""
+    return _lines_of(needle_bits(index, terms), "repo", "file", "needle")
+
+
+def scored_lines(index: Lines, terms: DataFrame) -> DataFrame:
     """Score and matched terms of every (query, file, line) with a match."""
-    found = needle_lines(files, terms, run_pattern, vocabulary)
+    found = needle_lines(index, terms)
     return (
         found.join(broadcast_if_small(terms), ["repo", "needle"])
         .groupBy("query_id", "repo", "file", "line_no")
@@ -124,12 +142,26 @@ def first_matching_lines(scored: DataFrame, n: int | None = None) -> DataFrame:
     return top_k(scored, ["query_id", "repo", "file"], [F.asc("line_no")], n, "_hit").drop("_hit")
 
 
-def search_lines(files: DataFrame, queries: DataFrame, k: int = 10, lines_per_file: int | None = None) -> DataFrame:
+def search_lines(files: DataFrame, queries: DataFrame, k: int = 10, lines_per_file: int | None = None, index: Lines | None = None) -> DataFrame:
     """The line search: the best ``k`` lines of each raw query text."""
-    hits = first_matching_lines(scored_lines(files, classified_terms(queries)), lines_per_file)
+    index = build_lines(files) if index is None else index
+    hits = first_matching_lines(scored_lines(index, classified_terms(queries)), lines_per_file)
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("file"), F.asc("line_no")], k)
 
 
+def file_totals(index: Lines, terms: DataFrame, *more: Column) -> DataFrame:
+    """Per (query, repo, file): the score of all its matching lines, their span, and aggregates of the matched terms' columns.
+
+    A needle's lines in a file are counted, and its first and last found, before queries meet it.
+    """
+    low, high = F.expr("bit_count((bits & -bits) - 1)"), F.length(F.bin("bits")) - 1
+    low = F.when(F.col("bits") == F.lit(-(1 << 63)), 63).otherwise(low)
+    by_needle = needle_bits(index, terms).groupBy("repo", "file", "needle").agg(
+        F.sum(F.bit_count("bits")).alias("n"), F.min(F.col("grp") * 64 + low + 1).alias("start_line"), F.max(F.col("grp") * 64 + high + 1).alias("end_line"))
+    return by_needle.join(broadcast_if_small(terms), ["repo", "needle"]).groupBy("query_id", "repo", "file").agg(
+        F.sum(F.col("weight") * F.col("n")).alias("score"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), *more)
+
+
 def file_scores(hits: DataFrame) -> DataFrame:
     """Per (query, file): total score, the span of matching lines, all matched terms."""
     return (
@@ -147,30 +179,27 @@ def file_scores(hits: DataFrame) -> DataFrame:
     )
 
 
-def _normal_file_scores(found: DataFrame, terms: DataFrame, k: int, lines_per_file: int | None) -> DataFrame:
+def _normal_file_scores(index: Lines, terms: DataFrame, k: int, lines_per_file: int | None) -> DataFrame:
     """Top files for normalised queries, whose matched terms are a bit set.
 
     A bit set aggregates in Spark's hash aggregate, where collected sets would
     fall back to sorting every match; the terms are spelled out for the winners.
     Sixty terms share a number, and the longest query says how many numbers there are.
     """
+    terms = materialize(terms, "lexical-terms")
     longest = terms.agg(F.max("term_no")).first()[0] or 0
     sets = [f"_bits{i}" for i in range(longest // BITS + 1)]
     bits = [F.when(F.floor(F.col("term_no") / BITS) == i, F.expr(f"shiftleft(1L, CAST(term_no % {BITS} AS INT))")).otherwise(F.lit(0).cast("long"))
             .alias(name) for i, name in enumerate(sets)]
-    used_terms = broadcast_if_small(terms.select("query_id", "repo", "needle", "weight", *bits))
-    ends = [F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line")]
+    used_terms = terms.select("query_id", "repo", "needle", "weight", *bits)
     any_bits = [F.bit_or(name).alias(name) for name in sets]
     if lines_per_file is None:
-        # lines are counted per needle before queries meet them: no row per query and line
-        by_needle = found.groupBy("repo", "file", "needle").agg(F.count(F.lit(1)).alias("n"), *ends)
-        matched = by_needle.join(used_terms, ["repo", "needle"]).withColumn("weight", F.col("weight") * F.col("n"))
-        ends = [F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")]
+        per_file = file_totals(index, used_terms, *any_bits)
     else:
-        lines = found.join(used_terms, ["repo", "needle"]).groupBy("query_id", "repo", "file", "line_no").agg(
+        lines = needle_lines(index, used_terms).join(broadcast_if_small(used_terms), ["repo", "needle"]).groupBy("query_id", "repo", "file", "line_no").agg(
             F.sum("weight").alias("weight"), *any_bits)
-        matched = first_matching_lines(lines, lines_per_file)
-    per_file = matched.groupBy("query_id", "repo", "file").agg(F.sum("weight").alias("score"), *ends, *any_bits)
+        per_file = first_matching_lines(lines, lines_per_file).groupBy("query_id", "repo", "file").agg(
+            F.sum("weight").alias("score"), F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), *any_bits)
     best = top_k(per_file, ["query_id"], [F.desc("score"), F.asc("file"), F.asc("start_line")], k)
     spelled = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "term_no"))).alias("_terms"))
     words = F.array(*sets)
@@ -184,14 +213,15 @@ def _normal_file_scores(found: DataFrame, terms: DataFrame, k: int, lines_per_fi
 
 
 def lexical_search(
-    files: DataFrame, terms: DataFrame, k: int = 10, run_pattern: str = NON_BLANK_RUN,
-    vocabulary: DataFrame | None = None, lines_per_file: int | None = None, runs: DataFrame | None = None,
+    files: DataFrame, terms: DataFrame, k: int = 10, run_pattern: str = NON_BLANK_RUN, lines_per_file: int | None = None, index: Lines | None = None,
 ) -> DataFrame:
     """Top ``k`` files per query, by all matching lines or the first ``lines_per_file``.
 
-    Terms of ``normal_query_terms`` and of ``classified_terms`` give the same columns.
+    Terms of ``normal_query_terms`` and of ``classified_terms`` give the same columns.  ``index`` is the
+    stored index of ``build_lines`` with the same pattern; without it, it is made from ``files``.
     """
+    index = build_lines(files, run_pattern) if index is None else index
     if "term_no" in terms.columns:
-        return _normal_file_scores(needle_lines(files, terms, run_pattern, vocabulary, runs), terms, k, lines_per_file)
-    hits = file_scores(first_matching_lines(scored_lines(files, terms, run_pattern, vocabulary), lines_per_file))
+        return _normal_file_scores(index, terms, k, lines_per_file)
+    hits = file_scores(first_matching_lines(scored_lines(index, terms), lines_per_file))
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("file"), F.asc("start_line")], k)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.functions import values as V
-from evidentia.operators import integrity as ig
+from evidentia.operators import integrity as ig, phrases
 from evidentia.plans import sqltext as S
-from evidentia.plans.derive import doc_files, through_files
+from evidentia.plans.derive import doc_files, phrase_index, through_files
 from evidentia.plans.registry import query
 from evidentia.session import table
 
@@ -130,18 +130,45 @@ leaks AS (SELECT file, term FROM files JOIN gold_terms ON contains(lower(content
 
 @query("jn_gold_leak", _LEAKS + " SELECT file, term FROM leaks")
 def jn_gold_leak(spark, sf):
-    return ig.term_leaks(doc_files(spark, sf), _gold_terms(spark, sf)).select("file", "term")
+    return _leaks(spark, sf).select("file", "term")
+
+
+def _leaks(spark, sf):
+    return ig.term_leaks(doc_files(spark, sf), _gold_terms(spark, sf), phrase_index(spark, sf))
 
 
 _AUDIT_PATTERNS = [*ig.PROHIBITED_TEST_TEXT, "password|secret|token", "the .* and"]
 
 
-@query("jn_token_audit", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(
-    f"CASE WHEN regexp_matches(lower(text), {S.quoted(p)}) THEN {S.quoted(p)} END" for p in _AUDIT_PATTERNS)
-    + "], lambda x: x IS NOT NULL), '~') AS hits FROM documents")
+IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
+_MIN_IDENTIFIER = 6
+_IDENTIFIERS = f"""doc_idents AS (SELECT file, unnest(list_distinct(regexp_extract_all(content, '{IDENTIFIER}'))) AS token FROM files),
+item_idents AS (SELECT 'items/i' || item_id AS file, unnest(list_distinct(regexp_extract_all(text, '{IDENTIFIER}'))) AS token FROM benchmark),
+copied_idents AS (SELECT token, d.file, d.n AS files, i.file AS known_file, i.n AS known_files
+  FROM (SELECT token, 'corpus/' || min(file) AS file, count(*) AS n FROM doc_idents WHERE length(token) >= {_MIN_IDENTIFIER} GROUP BY 1) d
+  JOIN (SELECT token, 'gold/' || min(file) AS file, count(*) AS n FROM item_idents GROUP BY 1) i USING (token))"""
+
+
+def _copied(spark, sf):
+    items = table(spark, sf, "benchmark").select(
+        F.lit("gold").alias("repo"), F.concat(F.lit("items/i"), F.col("item_id").cast("string")).alias("file"), F.col("text").alias("content"))
+    return phrases.copied_identifiers(doc_files(spark, sf), items, IDENTIFIER, _MIN_IDENTIFIER)
+
+
+@query("jn_token_audit", f"""WITH {S.FILES}, {_IDENTIFIERS},
+pattern_hits AS (SELECT file, unnest(list_filter([""" + ", ".join(
+    f"CASE WHEN regexp_matches(lower(content), {S.quoted(p)}) THEN {S.quoted(p)} END" for p in _AUDIT_PATTERNS) + """], lambda x: x IS NOT NULL)) AS token FROM files)
+SELECT 'prohibited' AS audit, token, 'corpus/' || file AS file, 1 AS files, NULL AS known_file, NULL AS known_files FROM pattern_hits
+UNION ALL SELECT 'copied', token, file, files, known_file, known_files FROM copied_idents""")
 def jn_token_audit(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", F.array_join(ig.pattern_hits(F.lower("text"), _AUDIT_PATTERNS), "~").alias("hits"))
+    """Prohibited text per file, and identifiers that documents and benchmark items share, with a file of each."""
+    hits = doc_files(spark, sf).select(
+        F.lit("prohibited").alias("audit"), F.explode(ig.pattern_hits(F.lower("content"), _AUDIT_PATTERNS)).alias("token"),
+        F.concat_ws("/", "repo", "file").alias("file"), F.lit(1).cast("bigint").alias("files"),
+        F.lit(None).cast("string").alias("known_file"), F.lit(None).cast("bigint").alias("known_files"))
+    copied = _copied(spark, sf).select(
+        F.lit("copied").alias("audit"), F.col("identifier").alias("token"), F.col("fresh_file").alias("file"), F.col("fresh_files").alias("files"), "known_file", "known_files")
+    return hits.unionByName(copied)
 
 
 # A document as a test source: some of its lines begin with one of the tokens.
@@ -177,16 +204,17 @@ def set_intersect(spark, sf):
     return parts("documents").intersect(parts("benchmark")).select(F.md5("s").alias("shared"))
 
 
-@query("set_except", """SELECT o_orderkey AS order_id, 'missing' AS side FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0
-    EXCEPT SELECT l_orderkey FROM lineitem WHERE l_linenumber > 1)
-UNION ALL SELECT l_orderkey, 'unexpected' FROM (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 1
-    EXCEPT SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)""")
+@query("set_except", """SELECT id, 'missing' AS side FROM (SELECT doc_id AS id FROM documents EXCEPT SELECT page_id FROM pages)
+UNION ALL SELECT id, 'unexpected' FROM (SELECT item_id AS id FROM benchmark EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT id, 'unlabelled' FROM (SELECT doc_id AS id FROM documents EXCEPT SELECT doc_id FROM labels)""")
 def set_except(spark, sf):
-    want = table(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("order_id"))
-    have = table(spark, sf, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("order_id"))
-    missing = want.join(have, "order_id", "left_anti").distinct().withColumn("side", F.lit("missing"))
-    extra = have.join(want, "order_id", "left_anti").distinct().withColumn("side", F.lit("unexpected"))
-    return missing.unionByName(extra)
+    def ids(name, column):
+        return table(spark, sf, name).select(F.col(column).alias("id"))
+
+    sides = [("missing", ids("documents", "doc_id"), ids("pages", "page_id")), ("unexpected", ids("benchmark", "item_id"), ids("labels", "doc_id")),
+             ("unlabelled", ids("documents", "doc_id"), ids("labels", "doc_id"))]
+    parts = [want.join(have, "id", "left_anti").distinct().withColumn("side", F.lit(side)) for side, want, have in sides]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _novelty(spark, sf):
@@ -194,7 +222,7 @@ def _novelty(spark, sf):
     d = table(spark, sf, "documents").withColumn("case_id", (F.col("doc_id") / 8).cast("bigint").cast("string"))
     first = d.groupBy("case_id").agg(F.min_by(F.lower(F.trim("text")), "doc_id").alias("description"), F.min_by("source", "doc_id").alias("family"))
     rows = trees.join(first, "case_id").withColumn("known", F.col("case_id").cast("bigint") % 2 == 0)
-    copied = ig.term_leaks(doc_files(spark, sf), _gold_terms(spark, sf))
+    copied = _leaks(spark, sf)
     cols = ["tree_sha256", "description", "family"]
     return ig.novelty(rows.where("not known").select(*cols), rows.where("known").select(*cols), copied)
 
@@ -215,19 +243,25 @@ def ag_novelty(spark, sf):
     return _novelty(spark, sf)
 
 
-@query("pl_contamination", _NOVELTY + """
-SELECT 'gold_leak' AS audit, count(*) AS hits FROM leaks
-UNION ALL SELECT 'token', count(*) FROM documents WHERE """ + " OR ".join(
+@query("pl_contamination", _NOVELTY.replace("gold_terms AS", _IDENTIFIERS + ", gold_terms AS", 1) + """,
+audits AS (SELECT 'gold_leak' AS audit, count(*) AS hits FROM leaks
+  UNION ALL SELECT 'copied_identifier', count(*) FROM copied_idents
+  UNION ALL SELECT 'token', count(*) FROM documents WHERE """ + " OR ".join(
     f"regexp_matches(lower(text), {S.quoted(p)})" for p in _AUDIT_PATTERNS) + """
-UNION ALL SELECT 'shared_tree', shared_tree_sha256 FROM nov UNION ALL SELECT 'shared_description', shared_description FROM nov""")
+  UNION ALL SELECT 'shared_tree', shared_tree_sha256 FROM nov UNION ALL SELECT 'shared_description', shared_description FROM nov
+  UNION ALL SELECT 'families', families FROM nov UNION ALL SELECT 'largest_family', largest_family FROM nov)
+SELECT audit, hits, CASE audit WHEN 'families' THEN hits >= 6 WHEN 'largest_family' THEN hits <= 2 ELSE hits = 0 END AS passed FROM audits""")
 def pl_contamination(spark, sf):
-    n = _novelty(spark, sf).select(F.explode(F.array(
-        F.struct(F.lit("gold_leak").alias("audit"), F.col("copied").alias("hits")),
-        F.struct(F.lit("shared_tree").alias("audit"), F.col("shared_tree_sha256").alias("hits")),
-        F.struct(F.lit("shared_description").alias("audit"), F.col("shared_description").alias("hits")))).alias("r")).select("r.*")
-    token = table(spark, sf, "documents").agg(
-        F.count_if(F.size(ig.pattern_hits(F.lower("text"), _AUDIT_PATTERNS)) > 0).alias("hits")).select(F.lit("token").alias("audit"), "hits")
-    return n.unionByName(token)
+    """Every audit with its count and verdict: leaks, copies, prohibited text, and how the families are spread."""
+    names = {"gold_leak": "copied", "shared_tree": "shared_tree_sha256", "shared_description": "shared_description", "families": "families", "largest_family": "largest_family"}
+    n = _novelty(spark, sf).select(F.explode(F.array(*(
+        F.struct(F.lit(audit).alias("audit"), F.col(column).alias("hits")) for audit, column in names.items()))).alias("r")).select("r.*")
+    token = doc_files(spark, sf).agg(
+        F.count_if(F.size(ig.pattern_hits(F.lower("content"), _AUDIT_PATTERNS)) > 0).alias("hits")).select(F.lit("token").alias("audit"), "hits")
+    copied = _copied(spark, sf).agg(F.count(F.lit(1)).alias("hits")).select(F.lit("copied_identifier").alias("audit"), "hits")
+    passed = F.when(F.col("audit") == "families", F.col("hits") >= ig.MIN_FAMILIES).when(
+        F.col("audit") == "largest_family", F.col("hits") <= ig.MAX_PER_FAMILY).otherwise(F.col("hits") == 0)
+    return n.unionByName(token).unionByName(copied).withColumn("passed", passed)
 
 
 @query("pl_freeze", f"""WITH {_TREES}, hashes AS ({_THREE})

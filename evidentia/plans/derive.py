@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
-from evidentia.operators import bm25, corpus, lexical, querying, retrieval
+from evidentia.operators import bm25, corpus, lexical, phrases, querying, retrieval
 from evidentia.session import drops, materialize, new_table_path, spread, table
 from evidentia.sources.records import read_jsonl
 
@@ -58,29 +58,14 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     )
 
 
-def posting_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored postings of the document corpus."""
-    return _once(spark, sf_dir, "postings", lambda: bm25.build_postings(chunk_index(spark, sf_dir)[0]))
+def posting_index(spark: SparkSession, sf_dir: str) -> bm25.Postings:
+    """The stored inverted index of the document corpus."""
+    return _once(spark, sf_dir, "postings", lambda: bm25.build_postings(*chunk_index(spark, sf_dir)))
 
 
-def stored_runs(spark: SparkSession, sf_dir: str, run_pattern: str) -> DataFrame:
-    """The stored runs of every line of the document corpus, clustered by run."""
-    return _once(
-        spark, sf_dir, f"line-runs-{run_pattern}",
-        lambda: materialize(
-            lexical.line_runs(doc_files(spark, sf_dir), run_pattern).repartition("run").sortWithinPartitions("run"), "line-runs"
-        ),
-    )
-
-
-def run_vocabulary(spark: SparkSession, sf_dir: str, run_pattern: str) -> DataFrame:
-    """The stored distinct runs of the document corpus."""
-    return _once(
-        spark, sf_dir, f"runs-{run_pattern}",
-        lambda: materialize(
-            stored_runs(spark, sf_dir, run_pattern).select("run").distinct(), "runs"
-        ),
-    )
+def line_index(spark: SparkSession, sf_dir: str, run_pattern: str) -> lexical.Lines:
+    """The stored line index of the document corpus."""
+    return _once(spark, sf_dir, f"lines-{run_pattern}", lambda: lexical.build_lines(doc_files(spark, sf_dir), run_pattern))
 
 
 def through_files(df: DataFrame, name: str, *partitions: str) -> DataFrame:
@@ -90,10 +75,15 @@ def through_files(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     return read_jsonl(df.sparkSession, path)
 
 
+def phrase_index(spark: SparkSession, sf_dir: str) -> phrases.Phrases:
+    """The stored phrase index of the document corpus."""
+    return _once(spark, sf_dir, "phrases", lambda: phrases.build(doc_files(spark, sf_dir)))
+
+
 # ------------------------------------------------------------------ source code
 def _capital(word, default: str):
     w = F.coalesce(word, F.lit(default))
-    return F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1_000_000)))
+    return F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:

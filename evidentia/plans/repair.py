@@ -90,7 +90,7 @@ _GATE_RANGES = [(8, 9), (10, 12), (18, 30), (9, 8), (18, 20)]
   SELECT doc_id AS case_id, file, ls, unnest([8, 10, 18, 9, 18, 8]) AS s, unnest([9, 12, 30, 8, 20, 9]) AS e FROM code),
 kept AS (SELECT DISTINCT case_id, file, s, e, array_to_string(ls[s:e], chr(10)) AS body FROM gate
   WHERE s <= e AND ((s >= 8 AND e <= 11) OR (s >= 18 AND e <= 25)))
-SELECT case_id, file, s AS start_line, e AS end_line, md5(body) AS digest FROM kept WHERE length(body) BETWEEN 1 AND 8000""")
+SELECT case_id, file, s AS start_line, e AS end_line, md5(body) AS digest FROM kept WHERE length(body) >= 1""")
 def jn_evidence_gate(spark, sf):
     ranges = F.array(*[F.struct(F.lit(s).cast("bigint").alias("start_line"), F.lit(e).cast("bigint").alias("end_line"))
                        for s, e in [*_GATE_RANGES, (8, 9)]])

@@ -118,16 +118,14 @@ def ag_verification_totals(spark, sf):
     return sc.verification_totals(results(spark, sf), "run_id")
 
 
-@query("jn_run_delta", _R + """, a AS (SELECT * FROM res WHERE i % 10 <> 0), b AS (SELECT *, coverage + (i % 2) AS cov2, i % 7 <> 1 AND repair_success OR i % 6 = 0 AS ok2 FROM res WHERE i % 15 <> 0)
+@query("jn_run_delta", _R + """, a AS (SELECT * FROM res), b AS (SELECT case_id + 7 AS case_id, coverage AS cov2, repair_success AS ok2, duration_ms FROM res)
 SELECT coalesce(a.case_id, b.case_id) AS case_id, CASE WHEN a.case_id IS NULL THEN 'added' WHEN b.case_id IS NULL THEN 'removed' WHEN a.repair_success AND NOT ok2 THEN 'regressed'
   WHEN NOT a.repair_success AND ok2 THEN 'fixed' ELSE 'unchanged' END AS transition, round(cov2 - a.coverage, 4) AS delta_coverage, b.duration_ms - a.duration_ms AS delta_duration_ms
 FROM a FULL JOIN b ON a.case_id = b.case_id""")
 def jn_run_delta(spark, sf):
-    r = results(spark, sf).withColumn("passed", F.col("repair_success"))
-    i = F.col("case_id")
-    second = r.where("case_id % 15 <> 0").withColumns({
-        "coverage": F.col("coverage") + i % 2, "passed": ((i % 7 != 1) & F.col("repair_success")) | (i % 6 == 0)})
-    d = sc.run_delta(r.where("case_id % 10 <> 0"), second, ["coverage", "duration_ms"])
+    """All results beside all results of a run whose cases are numbered seven further."""
+    first = results(spark, sf).withColumn("passed", F.col("repair_success"))
+    d = sc.run_delta(first, first.withColumn("case_id", F.col("case_id") + 7), ["coverage", "duration_ms"])
     return d.withColumn("delta_coverage", F.round("delta_coverage", 4))
 
 

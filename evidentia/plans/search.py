@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
 from evidentia.operators import bm25, corpus, fusion, lexical
-from evidentia.operators.ranking import top_k
 from evidentia.plans import sqltext as S
-from evidentia.plans.derive import bench_queries, chunk_index, doc_files, posting_index, run_vocabulary, stored_runs
+from evidentia.plans.derive import bench_queries, chunk_index, doc_files, line_index, posting_index
 from evidentia.plans.registry import query
 from evidentia.session import table
 
@@ -114,7 +113,7 @@ def ag_bm25_stats(spark, sf):
 @query("jn_postings", f"""WITH {S.CHUNK_TOKENS}, {S.QUERY_TERMS}
 SELECT query_id, chunk_id, token FROM query_terms JOIN chunk_tokens USING (token)""")
 def jn_postings(spark, sf):
-    return bm25.postings(chunk_index(spark, sf)[0], bm25.query_terms(bench_queries(spark, sf))).select(
+    return bm25.postings(posting_index(spark, sf), bm25.query_terms(bench_queries(spark, sf))).select(
         "query_id", "chunk_id", "token")
 
 
@@ -151,8 +150,7 @@ def pl_bm25_search(spark, sf):
 @query("win_topk", f"""WITH {S.BM25}
 SELECT query_id, rank, chunk_id FROM bm25_top WHERE rank <= 5""")
 def win_topk(spark, sf):
-    scored = _scores(spark, sf, bench_queries(spark, sf))
-    return top_k(scored, ["query_id"], bm25.hit_order(), 5).select(
+    return _bm25_top(spark, sf, 5).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id")
 
 
@@ -161,8 +159,7 @@ SELECT b.query_id, c.file, c.start_line, chunk_id, round(b.score, 6) AS score FR
 QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, c.file, c.start_line, chunk_id) <= 25
 ORDER BY b.query_id, b.score DESC, c.file, c.start_line, chunk_id""")
 def srt_hits(spark, sf):
-    scored = top_k(_scores(spark, sf, bench_queries(spark, sf)), ["query_id"], bm25.hit_order(), 25)
-    return scored.orderBy("query_id", "rank").select(
+    return _bm25_top(spark, sf, 25).orderBy("query_id", "rank").select(
         "query_id", "file", "start_line", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -191,9 +188,8 @@ def fn_classify_terms(spark, sf):
 SELECT DISTINCT file, line_no, needle FROM file_lines JOIN (SELECT DISTINCT needle FROM weighted_terms)
 ON contains(line, needle)""")
 def jn_substring(spark, sf):
-    vocabulary = run_vocabulary(spark, sf, lexical.NON_BLANK_RUN)
     terms = lexical.classified_terms(bench_queries(spark, sf))
-    return lexical.needle_lines(doc_files(spark, sf), terms, vocabulary=vocabulary).drop("repo")
+    return lexical.needle_lines(line_index(spark, sf, lexical.NON_BLANK_RUN), terms).drop("repo")
 
 
 _SCORED = f"""WITH {S.LINES}, {_RAW_TERMS}, scored AS (
@@ -203,9 +199,8 @@ _SCORED = f"""WITH {S.LINES}, {_RAW_TERMS}, scored AS (
 
 
 def _scored_lines(spark, sf):
-    vocabulary = run_vocabulary(spark, sf, lexical.NON_BLANK_RUN)
     terms = lexical.classified_terms(bench_queries(spark, sf))
-    return lexical.scored_lines(doc_files(spark, sf), terms, vocabulary=vocabulary)
+    return lexical.scored_lines(line_index(spark, sf, lexical.NON_BLANK_RUN), terms)
 
 
 @query("win_first_n", _SCORED + """ SELECT query_id, file, line_no, score FROM scored
@@ -218,7 +213,7 @@ def win_first_n(spark, sf):
 SELECT query_id, rank, file, line_no, score, terms FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY score DESC, file, line_no) AS rank FROM scored) WHERE rank <= 10""")
 def srt_line_hits(spark, sf):
-    return lexical.search_lines(doc_files(spark, sf), bench_queries(spark, sf)).select(
+    return lexical.search_lines(doc_files(spark, sf), bench_queries(spark, sf), index=line_index(spark, sf, lexical.NON_BLANK_RUN)).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "file", "line_no", "score",
         _joined("terms").alias("terms"))
 
@@ -227,13 +222,14 @@ def srt_line_hits(spark, sf):
 SELECT query_id, file, sum(score) AS score, min(line_no) AS start_line, max(line_no) AS end_line
 FROM scored GROUP BY 1, 2""")
 def ag_lexical_file(spark, sf):
-    return lexical.file_scores(_scored_lines(spark, sf)).select("query_id", "file", "score", "start_line", "end_line")
+    terms = lexical.classified_terms(bench_queries(spark, sf))
+    return lexical.file_totals(line_index(spark, sf, lexical.NON_BLANK_RUN), terms).select("query_id", "file", "score", "start_line", "end_line")
 
 
 def _lexical_top(spark, sf, k=10):
     return lexical.lexical_search(
         doc_files(spark, sf), lexical.normal_query_terms(bench_queries(spark, sf)), k, lexical.NORMAL_RUN,
-        run_vocabulary(spark, sf, lexical.NORMAL_RUN), runs=stored_runs(spark, sf, lexical.NORMAL_RUN))
+        index=line_index(spark, sf, lexical.NORMAL_RUN))
 
 
 @query("pl_lexical_search", f"WITH {S.LINES}, {S.QUERY_TERMS}, {S.LEXICAL} {_TOP} lex_top")
