@@ -46,6 +46,7 @@ WIDE = 64  # words of the bitmaps made where the sets themselves are at hand
 SMALL = 32
 BLOCK = 512
 DENSE = 4
+MOST_IDS = 2_000_000  # ids that are sent to every task
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -139,9 +140,11 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(shared), pa.array(sizes[0]), pa.array(sizes[1])], names=["u", "v", "shared", "nu", "nv"])
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of the given cids; where these are few, no other row moves."""
-    return rows.join(broadcast_if_small(ids.select("cid").distinct()), "cid", "left_semi")
+def _sets_of(texts: DataFrame, ids: DataFrame, size: int, repeated: bool, name: str) -> DataFrame:
+    """(cid, hashes) of the given cids, written.  Where these are few, no text moves."""
+    few = broadcast_if_small(ids.select("cid").distinct(), MOST_IDS)
+    sets = texts.join(few, F.col("id") == F.col("cid"), "left_semi").mapInArrow(_sets(size), "cid long, hashes binary").where("octet_length(hashes) > 0")
+    return written(sets.distinct() if repeated else sets, f"set-{name}-sets")
 
 
 def _near(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -153,12 +156,13 @@ def _near(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return both.where(_enough(most, F.col("nu") + F.col("nv"), percent)).select("u", "v").distinct()
 
 
-def _measured(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+def _measured(pairs: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int, repeated: bool, name: str) -> DataFrame:
     """(u, v, shared, nu, nv) of the pairs that may link: how many shingles their sets share, and the sizes."""
     near = written(_near(broadcast_if_small(written(pairs, f"set-{name}-pairs")), facts, percent), f"set-{name}-near")
-    few = broadcast_if_small(near)
-    own = written(_only(sets, near.select(F.col("u").alias("cid")).union(near.select(F.col("v").alias("cid")))), f"set-{name}-sets")
-    both = own.toDF("u", "hu").join(few, "u").join(own.toDF("v", "hv"), "v").select("u", "v", "hu", "hv")
+    of = [near.select(F.col(c).alias("cid")) for c in ("u", "v")]
+    sets = _sets_of(texts, of[0].union(of[1]), size, repeated, name)
+    pivots = sets.join(broadcast_if_small(of[1].distinct(), MOST_IDS), "cid", "left_semi")
+    both = sets.toDF("u", "hu").join(broadcast_if_small(near), "u").join(pivots.toDF("v", "hv"), "v").select("u", "v", "hu", "hv")
     return written(both.mapInArrow(_overlaps, "u long, v long, shared long, nu long, nv long"), f"set-{name}")
 
 
@@ -214,9 +218,10 @@ class Answers:
 
 
 def _sides(rows: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """The columns of the left and the right block of a unit."""
+    """The columns of the left and the right block of a unit; a block that meets itself came once."""
     side = rows.column("side").to_numpy()
-    return tuple({c: rows.column(c).to_numpy()[side == s] for c in rows.column_names if c != "side"} for s in (0, 1))
+    left, right = ({c: rows.column(c).to_numpy()[side == s] for c in rows.column_names if c != "side"} for s in (0, 1))
+    return left, right if len(right["cid"]) else left
 
 
 def _need(left: dict, right: dict, percent: int) -> np.ndarray:
@@ -227,6 +232,8 @@ def _need(left: dict, right: dict, percent: int) -> np.ndarray:
     (pivot, pivot_), (known, known_), (shared, shared_) = across("pivot"), across("known"), across("shared")
     bound = np.minimum(shared, shared_) + np.minimum(n - shared, m - shared_)
     need &= ~(known & known_ & (pivot == pivot_)) | _enough(bound, n + m, percent)
+    if left is right:
+        need &= np.triu(np.ones(need.shape, dtype=bool), 1)
     differ = sum(np.bitwise_count(np.bitwise_xor(*across(c)).view(np.uint64)).astype(np.int64) for c in BITMAP)
     return need & _enough((n + m - differ) // 2, n + m, percent)
 
@@ -283,33 +290,28 @@ def _block_links(percent: int):
 ENTRY = ["key", "cid", "n", "pos", "component", "main", "pivot", "known", "shared", *BITMAP]
 
 
-def _blocks(entries: DataFrame, name: str) -> DataFrame:
-    """Entries with the number of their block: at most BLOCK neighbours of one list by size and position."""
-    ranges = written(entries.repartitionByRange("key", "n", "pos", "cid").withColumn("range", F.spark_partition_id().cast("long")), f"set-{name}-ranges")
-    place = F.row_number().over(Window.partitionBy("key", "range").orderBy("n", "pos", "cid")) - 1
-    return written(ranges.withColumn("block", F.col("range") * (1 << 32) + F.floor(place / BLOCK)).drop("range", "main"), f"set-{name}")
-
-
 def _units(entries: DataFrame, percent: int, name: str) -> DataFrame:
     """The rows of all pairs of blocks of one list that have to meet: key, i, j, side, and the entry.
 
-    One block holds entries outside of the list's main component, the other any entries.
+    A block has at most BLOCK neighbours of a list by size and position, those outside of the list's
+    main component first; blocks within one component never meet.
     """
-    def outline(blocks: DataFrame, side: str) -> DataFrame:
-        return blocks.groupBy("key", "block").agg(
-            F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"),
-            F.min("component").alias("low"), F.max("component").alias("high")).alias(side)
-
-    left, right = _blocks(entries.where("component <> main"), f"{name}-left"), _blocks(entries, f"{name}-right")
-    a, b = outline(left, "a"), outline(right, "b")
+    ranges = entries.withColumn("in_main", F.col("component") == F.col("main")).repartitionByRange("key", "in_main", "n", "pos", "cid")
+    ranges = written(ranges.withColumn("range", F.spark_partition_id().cast("long")), f"set-{name}-ranges")
+    place = F.row_number().over(Window.partitionBy("key", "range").orderBy("in_main", "n", "pos", "cid")) - 1
+    blocks = written(ranges.withColumn("block", F.col("range") * (1 << 32) + F.floor(place / BLOCK)).drop("range", "main", "in_main"), f"set-{name}-blocks")
+    outline = blocks.groupBy("key", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("component").alias("low"), F.max("component").alias("high"))
+    a, b = outline.alias("a"), outline.alias("b")
     sizes = _enough(F.least("a.rest", "b.rest"), F.col("a.least") + F.col("b.least"), percent)
     sizes &= (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
     alike = (F.col("a.low") == F.col("b.high")) & (F.col("a.high") == F.col("b.low"))
-    units = written(a.join(b, (F.col("a.key") == F.col("b.key")) & sizes & ~alike)
+    units = written(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")) & sizes & ~alike)
                     .select(F.col("a.key").alias("key"), F.col("a.block").alias("i"), F.col("b.block").alias("j")), f"set-{name}-units")
     columns = ["key", "i", "j", *(c for c in ENTRY if c not in ("key", "main"))]
-    return (left.join(units.withColumn("block", F.col("i")), ["key", "block"]).select(*columns, F.lit(0).alias("side"))
-            .union(right.join(units.withColumn("block", F.col("j")), ["key", "block"]).select(*columns, F.lit(1).alias("side"))))
+    left = blocks.join(units.withColumn("block", F.col("i")), ["key", "block"]).select(*columns, F.lit(0).alias("side"))
+    right = blocks.join(units.where("i <> j").withColumn("block", F.col("j")), ["key", "block"]).select(*columns, F.lit(1).alias("side"))
+    return left.union(right)
 
 
 def _entries(rows: DataFrame, key: str, facts: DataFrame, told: DataFrame) -> DataFrame:
@@ -365,13 +367,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = written(entries.join(shared, "token"), "set-lists")
 
     fits = _may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("lead"), percent)
-    wanted = lists.select("cid").distinct()
-    sets = texts.join(wanted, F.col("id") == F.col("cid"), "left_semi").mapInArrow(_sets(size), "cid long, hashes binary").where("octet_length(hashes) > 0")
-    if not known.groupBy("id", "digest").count().where("count > 1").isEmpty():  # repeated rows
-        sets = sets.distinct()
-    sets = written(sets, "set-sets")
+    repeated = not known.groupBy("id", "digest").count().where("count > 1").isEmpty()
     pivots = _by_votes(lists.where(F.col("cid") != F.col("leader")).where(fits).select("cid", F.col("leader").alias("pivot")))
-    answers = _measured(pivots, facts, sets, percent, "answers")
+    answers = _measured(pivots, facts, texts, size, percent, repeated, "answers")
     links = written(_linked(answers, percent), "set-links")
     groups = components(links, "set-groups")
 
@@ -388,7 +386,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                   .agg(F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("pivot"), F.col("n").alias("k"), F.col("pos").alias("by"))).alias("s"))
                   .select("token", "s.pivot", "s.k", "s.by"))
         offers = hot.where("component <> main").join(second, "token").where(_may_link(F.col("n"), F.col("pos"), F.col("k"), F.col("by"), percent))
-        links = links.union(_linked(_measured(_by_votes(offers.select("cid", "pivot")), facts, sets, percent, "second"), percent))
+        links = links.union(_linked(_measured(_by_votes(offers.select("cid", "pivot")), facts, texts, size, percent, repeated, "second"), percent))
         groups = components(links, "set-groups2")
         open_ = written(_placed(lists, groups), "set-left")
 
@@ -412,7 +410,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         main = (inside.groupBy("cluster").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "component")).alias("s"), F.min("component").alias("low"), F.max("component").alias("high"))
                 .where("low <> high").select("cluster", F.col("s.component").alias("main")))
         members = inside.join(main, "cluster").join(classes.select("cid", "n"), "cid").withColumn("pos", F.lit(0))
-        units = _units(_entries(members, "cluster", facts, told), percent, "clusters").join(_only(sets, members), "cid")
+        members = written(members, "set-members")
+        sets = _sets_of(texts, members, size, repeated, "clusters")
+        units = _units(_entries(members, "cluster", facts, told), percent, "clusters").join(sets, "cid")
         found = units.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
         groups = components(links.union(written(found, "set-more")), "set-groups3")
 
