@@ -37,10 +37,11 @@ from evidentia.llm.tables import components, written
 from evidentia.session import broadcast_if_small
 
 BUCKETS = 1 << 16
-#: 64-bit words of a set's bitmap, in which every shingle flips one bit: the bits in which two bitmaps
-#: differ are no more than the shingles in which the sets differ.
-BITMAP = [f"b{i}" for i in range(8)]
-WIDE = 64  # words of the bitmaps made where the sets themselves are at hand
+#: Bits of a set's bitmap, in which every shingle flips one bit: at least half as many as shingles, a power of
+#: two, no fewer than LEAST_BITS.  The bits in which two bitmaps differ are no more than the shingles in which
+#: the sets differ; a wider bitmap is folded to a narrower one by exclusive or.
+LEAST_BITS = 256
+WIDE = 4096  # bits of the bitmaps made where the sets themselves are at hand
 #: Entries of a list whose pairs are tried in a join; entries of a block of a longer list; pairs per
 #: entry of two blocks that are listed (of more, their sets are made one cluster instead).
 SMALL = 32
@@ -84,13 +85,50 @@ def least_overlap(n, percent: int):
     return -(-n * percent // 100)
 
 
-ROWS = "id long, n long, digest binary, prefix array<long>, " + ", ".join(f"{b} long" for b in BITMAP)
+ROWS = "id long, n long, digest binary, prefix array<long>, bits binary"
 
 
-def bitmaps(hashes: np.ndarray, owner: np.ndarray, rows: int, words: int) -> np.ndarray:
-    bits = 64 * words
+def bitmaps(hashes: np.ndarray, owner: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """The parity bitmaps of sets that lie one after another, as rows of 64-bit words."""
     flips = np.bincount(owner * bits + (W.mix(hashes + _SALT) % np.uint64(bits)).astype(np.int64), minlength=rows * bits) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little").view("<i8")
+    return np.packbits(flips.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little").view("<u8")
+
+
+def _widths(n: np.ndarray) -> np.ndarray:
+    return np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+
+
+def own_bitmaps(hashes: np.ndarray, owner: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Each set's bitmap of its own width."""
+    out: list[bytes] = [b""] * len(n)
+    width = _widths(n)
+    for bits in np.unique(width):
+        here = np.flatnonzero(width == bits)
+        mine = np.isin(owner, here)
+        for row, made in zip(here, bitmaps(hashes[mine], np.searchsorted(here, owner[mine]), len(here), int(bits)), strict=True):
+            out[row] = made.tobytes()
+    return out
+
+
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, words), axis=1)
+
+
+def differing_bits(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many bits each left and right bitmap differ, of the narrower one's width; 0 where one is four times as wide or more."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    sizes = [np.array([len(x) // 8 for x in side]) for side in (left, right)]
+    for a in np.unique(sizes[0]):
+        rows = np.flatnonzero(sizes[0] == a)
+        one = np.frombuffer(b"".join(left[i] for i in rows), dtype="<u8").reshape(len(rows), a)
+        for b in np.unique(sizes[1]):
+            if max(a, b) <= 2 * min(a, b):
+                columns = np.flatnonzero(sizes[1] == b)
+                two = _folded(np.frombuffer(b"".join(right[i] for i in columns), dtype="<u8").reshape(len(columns), b), min(a, b))
+                folded = _folded(one, min(a, b))
+                for i, row in zip(rows, folded, strict=True):
+                    out[i, columns] = np.bitwise_count(two ^ row).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _rows(size: int, percent: int, shared):
@@ -110,9 +148,9 @@ def _rows(size: int, percent: int, shared):
                 digest = [hashlib.blake2b(raw[8 * a:8 * b], digest_size=16).digest() if b > a else None for a, b in zip(begin, begin[1:], strict=False)]
                 ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[chosen].view(np.int64)))
-                bits = bitmaps(hashes, owner, rows, len(BITMAP))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), prefix]
-                                                 + [pa.array(bits[:, i].copy()) for i in range(len(BITMAP))], names=["id", "n", "digest", "prefix", *BITMAP])
+                bits = own_bitmaps(hashes, owner, n)
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), prefix, pa.array(bits, pa.binary())],
+                                                 names=["id", "n", "digest", "prefix", "bits"])
     return run
 
 
@@ -147,13 +185,22 @@ def _sets_of(texts: DataFrame, ids: DataFrame, size: int, repeated: bool, name:
     return written(sets.distinct() if repeated else sets, f"set-{name}-sets")
 
 
+def _by_bitmaps(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.turn_to("setjoin")
+        for batch in batches:
+            u, v = batch.column("bu").to_pylist(), batch.column("bv").to_pylist()
+            differ = np.fromiter((differing_bits([a], [b])[0, 0] for a, b in zip(u, v, strict=True)), dtype=np.int64, count=batch.num_rows)
+            sizes = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
+            good = pa.array(_enough((sizes - differ) // 2, sizes, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("u", "v")], names=["u", "v"])
+    return run
+
+
 def _near(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that may link by the bitmaps of their sets."""
-    a, b = (facts.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}{x}") for c in BITMAP)) for x in ("u", "v"))
-    differ = sum((F.bit_count(F.col(f"{c}u").bitwiseXOR(F.col(f"{c}v"))) for c in BITMAP), F.lit(0)).cast("long")
-    most = F.expr("(nu + nv - differ) div 2")  # shingles that the two can share
-    both = pairs.join(a, "u").join(b, "v").withColumn("differ", differ)
-    return both.where(_enough(most, F.col("nu") + F.col("nv"), percent)).select("u", "v").distinct()
+    a, b = (facts.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in ("u", "v"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_by_bitmaps(percent), "u long, v long").distinct()
 
 
 def _measured(pairs: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int, repeated: bool, name: str) -> DataFrame:
@@ -234,8 +281,12 @@ def _need(left: dict, right: dict, percent: int) -> np.ndarray:
     need &= ~(known & known_ & (pivot == pivot_)) | _enough(bound, n + m, percent)
     if left is right:
         need &= np.triu(np.ones(need.shape, dtype=bool), 1)
-    differ = sum(np.bitwise_count(np.bitwise_xor(*across(c)).view(np.uint64)).astype(np.int64) for c in BITMAP)
-    return need & _enough((n + m - differ) // 2, n + m, percent)
+    rows, columns = np.flatnonzero(need.any(axis=1)), np.flatnonzero(need.any(axis=0))
+    if len(rows):
+        part = np.ix_(rows, columns)
+        sizes = (n + m)[part]
+        need[part] &= _enough((sizes - differing_bits(*([side["bits"][i] for i in at] for side, at in ((left, rows), (right, columns))))) // 2, sizes, percent)
+    return need
 
 
 def _block_pairs(percent: int):
@@ -271,11 +322,11 @@ def _block_links(percent: int):
             for x in np.argsort(-need.sum(axis=1), kind="stable"):
                 size = left["n"][x] + right["n"]
                 open_ = np.flatnonzero(need[x] & (theirs != ours[x]))
-                differ = np.bitwise_count((wide_[open_] ^ wide[x]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                differ = np.bitwise_count(wide_[open_] ^ wide[x]).sum(axis=1, dtype=np.int64)
                 open_ = open_[_enough((size[open_] - differ) // 2, size[open_], percent)]
                 if not len(open_):
                     continue
-                like = int(np.bitwise_count((wide[asked] ^ wide[x]).view(np.uint64)).sum(axis=1).argmin()) if len(asked) else None
+                like = int(np.bitwise_count(wide[asked] ^ wide[x]).sum(axis=1).argmin()) if len(asked) else None
                 shared = answers.of(sets[x], like)
                 asked = np.append(asked, x)
                 for y in open_[_enough(shared[open_], size[open_], percent)]:
@@ -287,7 +338,7 @@ def _block_links(percent: int):
     return run
 
 
-ENTRY = ["key", "cid", "n", "pos", "component", "main", "pivot", "known", "shared", *BITMAP]
+ENTRY = ["key", "cid", "n", "pos", "component", "main", "pivot", "known", "shared", "bits"]
 
 
 def _units(entries: DataFrame, percent: int, name: str) -> DataFrame:
@@ -319,7 +370,7 @@ def _entries(rows: DataFrame, key: str, facts: DataFrame, told: DataFrame) -> Da
     zero = F.lit(0).cast("long")
     full = rows.join(told, "cid", "left").join(facts, ["cid", "n"])
     return full.select(F.col(key).alias("key"), "cid", "n", "pos", "component", "main", F.coalesce("pivot", zero).alias("pivot"),
-                       F.col("pivot").isNotNull().alias("known"), F.coalesce("shared", zero).alias("shared"), *BITMAP)
+                       F.col("pivot").isNotNull().alias("known"), F.coalesce("shared", zero).alias("shared"), "bits")
 
 
 def _by_votes(offers: DataFrame) -> DataFrame:
@@ -358,8 +409,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = spark.sparkContext.broadcast(common_levels(texts.select("text"), size).tobytes())
     rows = written(texts.mapInArrow(_rows(size, percent, levels), ROWS), "set-rows")
     known = rows.where("id IS NOT NULL AND digest IS NOT NULL")
-    classes = written(known.groupBy("digest").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in BITMAP)), "set-classes")
-    facts = classes.select("cid", "n", *BITMAP)
+    classes = written(known.groupBy("digest").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "set-classes")
+    facts = classes.select("cid", "n", "bits")
 
     entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     first = F.min(F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("leader"), F.col("n").alias("m"), F.col("pos").alias("lead")))
