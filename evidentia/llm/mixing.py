@@ -237,5 +237,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), *_keyed(docs, id_col, text_col, source_col, seed))
     drawn = _with_draws(rows, plan).select(*names, "r", F.explode("draws").alias("draw")).select(*names, "r", "draw.shard", "draw.pass")
     new = [free_name(docs, n) for n in ("shard", "pass")]
-    return (drawn.withColumn("order", F.xxhash64(F.lit(seed), "r", "pass")).repartition("shard").sortWithinPartitions("shard", "order")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)  # a shard may span several, in order
+    return (drawn.withColumn("order", F.xxhash64(F.lit(seed), "r", "pass")).repartitionByRange(parts, "shard", "order").sortWithinPartitions("shard", "order")
             .select(*names, "shard", "pass").toDF(*docs.columns, *new))

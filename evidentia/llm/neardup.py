@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import words as W
-from evidentia.llm.tables import components, free_name, written
+from evidentia.llm.tables import components, written
+from evidentia.operators.ranking import ranged_row_number
 
 BANDS, ROWS = 20, 4
 SKETCH_WORDS = 4  # 64-bit words of an odd sketch
@@ -318,9 +319,26 @@ def _by_blocks(many: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input without the rows whose group has a smaller id; repeated rows of one id become one."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
-    key = free_name(docs, "kept_id")
-    rows = docs.join(kept.toDF(key), F.col(id_col) == F.col(key), "left_semi")
-    named = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    """The input without the rows whose group has a smaller id.
+
+    Rows with one id and one text are one document, of which the row with the least hash over all
+    columns stays.  Different texts under one id are documents of their own: each is grouped by its
+    own text, and stays unless its group has a smaller id, or the same id and a smaller hash of the text.
+    Null texts count as empty ones here; rows with a null id stay.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    rows = docs.toDF(*names)
+    named = rows.where(F.col(key).isNotNull())
+    if not named.groupBy(key).count().where("count > 1").isEmpty():
+        # numbers in the order of (id, text) stand for the ids, so the smallest number is the smallest id
+        own = F.sha2(F.coalesce(text, F.lit("")), 256)
+        one = named.groupBy(F.col(key).alias("k"), own.alias("h")).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+        numbered = ranged_row_number(written(one, "one-row"), [], [F.col("k"), F.col("h")], "number")
+        named = written(numbered.select("row.*", F.col("number").cast("long").alias("number")), "numbered")
+        kept = near_duplicates(named, "number", text, **options).where("kept").select(F.col("number").alias("kept_number"))
+        named = named.join(kept, F.col("number") == F.col("kept_number"), "left_semi").select(names)
+    else:
+        kept = near_duplicates(named, key, text, **options).where("kept").select(F.col(key).alias("kept_id"))
+        named = named.join(kept, F.col(key) == F.col("kept_id"), "left_semi")
+    return named.union(rows.where(F.col(key).isNull())).toDF(*docs.columns)

@@ -151,6 +151,18 @@ def test_near_duplicates_of_odd_rows(spark):
         neardup.near_duplicates(docs, percent=50)
 
 
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, 1), (5, long + " end", 2), (5, "something else of five words here", 3), (5, "something else of five words here", 4), (7, "alone in the world it is", 5),
+            (8, None, 6), (8, None, 7), (8, "", 8), (None, long, 9), (None, long, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Number int").repartition(3)
+    for _ in range(2):
+        kept = neardup.keep_one(docs, percent=80)
+        assert kept.columns == docs.columns
+        got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+        assert got == sorted([("1", long), ("5", rows[2][1]), ("7", rows[4][1]), ("8", ""), ("None", long), ("None", long)])
+
+
 def test_odd_sketch_counts_differing_samples():
     rng = np.random.default_rng(3)
     mins = rng.integers(0, 2**63, (2, neardup.BANDS * neardup.ROWS), dtype=np.uint64)
