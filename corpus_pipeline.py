@@ -11,42 +11,56 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, langid, mixing, neardup, repeats
 from evidentia.llm.queries import TOKENIZER
-from evidentia.llm.tables import table, written
+from evidentia.llm.tables import free_name, table, written
 
 #: A document whose best language has a smaller share of its words is rejected.
 LEAST_SCORE = 0.5
 
 
+def _added(done: DataFrame, docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The result of an operator with names for its new columns that the documents do not have."""
+    free = [free_name(docs, n) for n in names]
+    return done.toDF(*docs.columns, *free), free
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents with a language: not undetermined, and one language has half the words."""
-    field = langid.train(docs)
-    judged = langid.predict(docs, field).toDF(*docs.columns, "pred_", "score_", "words_")
-    return judged.where((F.col("pred_") != langid.UNDETERMINED) & (F.col("score_") >= LEAST_SCORE)).select(docs.columns)
+    """Keeps the documents with a language: not undetermined, and one language has half the words.
+
+    Null and empty texts, and texts without a letter, have none and go; repeated rows fare alike.
+    """
+    judged, (pred, score, _) = _added(langid.predict(docs, langid.train(docs)), docs, "pred", "score", "words")
+    return judged.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near copies: similarity 0.8 over five words."""
+    """Keeps one document, the one with the smallest id, of each group of near copies: similarity 0.8 over five words.
+
+    Texts without words are copies of nothing; rows that repeat an id and a text become one, and
+    different texts under one id are documents of their own (``neardup.keep_one``).
+    """
     return neardup.keep_one(docs, size=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts words of repeated passages; untouched texts stay as they are, documents cut to nothing go."""
-    cut = repeats.remove_repeats(docs).toDF(*docs.columns, "words_", "removed_", "kept_")
-    text = F.when(F.col("removed_") > 0, F.col("kept_")).otherwise(F.col("text"))
-    left = cut.where((F.col("removed_") == 0) | (F.col("kept_") != "")).withColumn("text", text)
+    """Cuts words of repeated passages; untouched texts (null and empty ones too) stay as they are, documents cut to nothing go."""
+    cut, (_, removed, kept) = _added(repeats.remove_repeats(docs), docs, "words", "removed", "kept")
+    touched = F.col(removed) > 0
+    left = cut.where(~touched | (F.col(kept) != "")).withColumn("text", F.when(touched, F.col(kept)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("removed_") > 0, F.length("kept_").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        left = left.withColumn("n_chars", F.when(touched, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return left.select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: documents as often as their source's target draws them, in shuffled shards."""
-    mixed = mixing.mix(docs, weights=(5, 2, 1), cap=3)
-    return mixed.toDF(*docs.columns, "shard_", "pass_").select(docs.columns)
+    """The training mix: documents as often as their source's target draws them, in shuffled shards.
+
+    Rows without words are never drawn; a null source is a source, the last one.
+    """
+    return _added(mixing.mix(docs, weights=(5, 2, 1), cap=3), docs, "shard", "pass")[0].select(docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every drawn document, and whether decoding them gives the text back."""
+    """Token ids of every drawn document, and whether decoding them gives the text back; a null text is an empty one."""
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
