@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import lexical
 from evidentia.operators.stored import Bucketed, bucket_count
-from evidentia.session import broadcast_if_light, broadcast_if_small, materialize
+from evidentia.session import broadcast_if_light, broadcast_if_small, computed_once, materialize
 
 RUN = "[a-z0-9]+"
 _GAP = "[a-z0-9]+([^a-z0-9]*)"
@@ -25,12 +25,12 @@ _GAP = "[a-z0-9]+([^a-z0-9]*)"
 EDGE = 2
 
 
-def _windows(text: Column) -> Column:
-    """Every run of a text with its place, its neighbours and the gaps between (null beyond the ends)."""
-    runs, gaps = F.regexp_extract_all(text, F.lit(RUN), 0), F.regexp_extract_all(text, F.lit(_GAP), 1)
-    return F.transform(runs, lambda run, i: F.struct(
-        i.alias("at"), F.get(runs, i - 1).alias("before"), F.get(gaps, i - 1).alias("gap"), run.alias("run"),
-        F.get(gaps, i).alias("next_gap"), F.get(runs, i + 1).alias("after")))
+def _windows(low: DataFrame) -> DataFrame:
+    """Every run of each text with its place, its neighbours and the gaps between (null beyond the ends)."""
+    split = computed_once(low, _runs=F.regexp_extract_all("content", F.lit(RUN), 0), _gaps=F.regexp_extract_all("content", F.lit(_GAP), 1))
+    return split.select("repo", "file", F.inline(F.transform("_runs", lambda run, i: F.struct(
+        i.alias("at"), F.get("_runs", i - 1).alias("before"), F.get("_gaps", i - 1).alias("gap"), run.alias("run"),
+        F.get("_gaps", i).alias("next_gap"), F.get("_runs", i + 1).alias("after")))))
 
 
 @dataclass
@@ -45,7 +45,7 @@ class Phrases:
 def build(texts: DataFrame) -> Phrases:
     """One scan of (repo, file, content); case is folded."""
     low = texts.select("repo", "file", F.lower("content").alias("content"))
-    runs = materialize(low.select("repo", "file", F.inline(_windows(F.col("content")))), "phrase-runs")
+    runs = materialize(_windows(low), "phrase-runs")
     distinct = materialize(runs.select("run").distinct(), "phrase-vocabulary")
     grams = distinct.select(F.explode(lexical._grams(F.col("run"))).alias("gram"), "run")
     return Phrases(runs, Bucketed.write(grams, "gram", bucket_count(distinct.count(), lexical.BUCKET_RUNS), ["run"], ["gram"], "phrase-grams"), low)
