@@ -76,8 +76,15 @@ def read_repositories(
     )
 
 
-def read_logs(spark: SparkSession, root: str, key: str = "run_id") -> DataFrame:
-    """(key, log) of log files below ``root``, each whole, in folders named ``key=value``."""
+def write_logs(logs: DataFrame, path: str, key: str = "run_id") -> None:
+    """Packs (key, log) into JSON lines, one whole log a line: as many files as tasks, however many logs."""
+    logs.select(F.col(key).cast("string").alias(key), "log").write.json(path)
+
+
+def read_logs(spark: SparkSession, root: str, key: str = "run_id", packed: bool = False) -> DataFrame:
+    """(key, log) of the logs below ``root``, each whole: files in folders named ``key=value``, or ``packed`` by ``write_logs``."""
+    if packed:
+        return spark.read.schema(f"`{key}` string, log string").json(root)
     return spark.read.text(root, wholetext=True).select(key, F.col("value").alias("log"))
 
 
