@@ -1,6 +1,7 @@
 """Stored indexes against brute force: BM25 blocks, inverted line runs, phrases, identifiers."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,20 @@ def test_inverted_lines_equal_a_scan(spark):
     assert lexical.normal_query_terms(queries, 2, 64).count() == 4
 
 
+def test_line_searches_move_index_rows_once(spark):
+    df = spark.createDataFrame(line_files(), "repo string, file string, content string").withColumn("repo", F.lit("r"))
+    index = lexical.build_lines(df, lexical.NORMAL_RUN)
+    queries = spark.createDataFrame([(1, "r", ["alp", "x"]), (2, "r", ["the", "9"])], "query_id long, repo string, terms array<string>")
+    totals = lexical.file_totals(index, lexical.normal_query_terms(queries))
+    first = lexical.first_matching_lines(lexical.scored_lines(index, lexical.classified_terms(queries.select("query_id", "repo", F.array_join("terms", " ").alias("text")))), 2)
+    for found in (totals, first):
+        moved = re.findall(r"Exchange hashpartitioning\(([^)]*)", found._jdf.queryExecution().executedPlan().toString())
+        by_block = [m for m in moved if m.startswith("block")]
+        # index rows, the names of files, and the terms of each query; no row of a needle or a line
+        assert len(by_block) == 2 and all("," not in m.rsplit(", ", 1)[0] for m in moved), moved
+        assert found.count() > 0
+
+
 def test_phrases_equal_a_search_of_every_text(spark):
     rng = random.Random(5)
     words = ["the", "of", "and", "a", "long1word", "Mid", "x9", "é", "end"]
