@@ -67,3 +67,12 @@ def test_unasked_index_rows_are_not_moved(spark):
     assert {r.token for r in search.rows.collect()} == {"w1", "rare3"}
     plan = plan_of(search.scores())
     assert plan.index("RepartitionByExpression") < plan.index("LeftSemi")
+
+
+def test_derived_texts_and_line_counts_are_computed_once(spark, sf):
+    from evidentia.plans import builds, repair
+
+    log = builds.win_first_event(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert log.count("regexp_extract_all(text") == 1
+    refs = repair.jn_edit_evidence(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert refs.count("split(text") == 4 * refs.count("Relation [")  # a count names its split four times; one count for each reading of the table
