@@ -60,3 +60,14 @@ def test_code_is_searched_for_symbols_once(spark):
     found = java.symbol_search(files, symbols)
     assert java.SYMBOLS["interface"] not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.symbol, r.start_line, r.end_line) for r in found.orderBy("rank").collect()] == [("Alpha", 1 + 1, 9), ("beta", 3, 5)]
+
+
+def test_proposed_code_is_stripped_once(spark):
+    rows = spark.createDataFrame([("class A {}", "import a.B;\nclass A { B b; c.d.E e; C c; }\nclass C {}", [("class A {}", "class A { B b; c.d.E e; C c; D d; }")])],
+                                 "o string, p string, c array<struct<old_code:string,new_code:string>>")
+    checked = rows.select(java.import_check(F.col("o"), F.col("p"), F.col("c")).alias("x")).select("x.*")
+    r = checked.first()
+    assert (r.introduced, r.resolved, r.unresolved, r.status) == (["B", "C", "D", "E"], ["B", "C", "E"], ["D"], "fail")
+    # its literals are cut out of the text once: a split and an extraction
+    text = checked._jdf.queryExecution().analyzed().toString()
+    assert text.count("regexp_extract_all(p#") == 1
