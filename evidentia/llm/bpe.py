@@ -171,15 +171,16 @@ def _shared(df: DataFrame, path: str):
 
 
 def _with_arrow_columns(df: DataFrame, new: list[tuple[str, str]], column: str, work) -> DataFrame:
-    """Adds (name, type) columns computed from Arrow slices; the others pass through as they are."""
+    """Adds (name, type) columns that ``work(batch, name)`` computes from Arrow slices and one column of theirs; the others pass through as they are."""
     names = [f"c{i}" for i in range(len(df.columns))]
-    plain = df.select(*(df[i].alias(n) for i, n in enumerate(names)), df[df.columns.index(column)].alias("input"))
+    plain = df.select(*(df[i].alias(n) for i, n in enumerate(names)))
+    source = names[df.columns.index(column)]
     outputs = [f"output{i}" for i in range(len(new))]
-    schema = plain.drop("input").withColumns({n: F.lit(None).cast(kind) for n, (_, kind) in zip(outputs, new, strict=True)}).schema
+    schema = plain.withColumns({n: F.lit(None).cast(kind) for n, (_, kind) in zip(outputs, new, strict=True)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, made in work(batch):
+            for rows, made in work(batch, source):
                 yield pa.RecordBatch.from_arrays([rows.column(n) for n in names] + made, names=[*names, *outputs])
 
     return plain.mapInArrow(run, schema).toDF(*df.columns, *(free_name(df, name) for name, _ in new))
@@ -193,10 +194,10 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     """
     shared = _shared(df, path)
 
-    def work(batch: pa.RecordBatch):
+    def work(batch: pa.RecordBatch, name: str):
         bpe = _bpe(shared, True)
-        for piece in W.pieces(batch, "input"):
-            done = [bpe.encode(t) if t else b"" for t in piece.column("input").to_pylist()]
+        for piece in W.pieces(batch, name):
+            done = [bpe.encode(t) if t else b"" for t in piece.column(name).to_pylist()]
             ends = np.cumsum([0] + [len(d) // 4 for d in done]).astype(np.int32)
             values = np.frombuffer(b"".join(done), dtype="<u4").astype(np.int32)
             made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
@@ -216,12 +217,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     """Adds the text of every id list (null: empty), special tokens included; broken UTF-8 becomes U+FFFD."""
     shared = _shared(df, path)
 
-    def work(batch: pa.RecordBatch):
+    def work(batch: pa.RecordBatch, name: str):
         bpe = _bpe(shared, False)
         step = 500
         for at in range(0, batch.num_rows, step):
             piece = batch.slice(at, step)
-            column = piece.column("input").fill_null([])
+            column = piece.column(name).fill_null([])
             yield piece, [_texts(bpe, column.values.to_numpy(), column.offsets.to_numpy())]
 
     return _with_arrow_columns(df, [(text_col, "string")], ids_col, work)

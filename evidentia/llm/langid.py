@@ -293,16 +293,16 @@ def predict(docs: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*(docs[i].alias(n) for i, n in enumerate(names)), docs[docs.columns.index(text_col)].alias("input"),
-                        _has_letter(docs[docs.columns.index(text_col)]).alias("letter"))
-    schema = plain.drop("input", "letter").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "lang_words": F.lit(None).cast("array<double>")}).schema
+    text = names[docs.columns.index(text_col)]  # sent once: a second copy would double the batches in both processes
+    plain = docs.select(*(docs[i].alias(n) for i, n in enumerate(names))).withColumn("letter", _has_letter(F.col(text)))
+    schema = plain.drop("letter").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "lang_words": F.lit(None).cast("array<double>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.turn_to("langid")
         field = shared.value
         for batch in batches:
-            for piece in W.pieces(batch, "input"):
-                w = W.words(piece.column("input"))
+            for piece in W.pieces(batch, text):
+                w = W.words(piece.column(text))
                 found = field.expected(w) if field.languages else np.zeros((piece.num_rows, 1))
                 total = found.sum(axis=1)
                 ok = piece.column("letter").to_numpy(zero_copy_only=False) & (total > 0)

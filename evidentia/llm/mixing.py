@@ -21,6 +21,7 @@ from fractions import Fraction
 from math import gcd
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,7 +172,8 @@ def _plan(rows: DataFrame, weights: Sequence[float], cap: float, shards: int | N
     rows = rows.withColumn("block", _block(sources))
     blocks = written(rows.groupBy("skey", "block").agg(F.sum("size").alias("words")), "blocks")
     place = "skey string, block long, words long, pass int, place long"
-    rest = spark.createDataFrame([(s.key, s.rest) for s in sources], "skey string, rest double")
+    # an Arrow table becomes rows in the JVM; a list of rows would start Python workers of another kind beside the ones there are
+    rest = spark.createDataFrame(pa.table({"skey": pa.array([s.key for s in sources], pa.string()), "rest": pa.array([s.rest for s in sources], pa.float64())}))
     # at most MAX_BLOCKS rows and a few: their running sums need no more than one window per source
     partial = (blocks.mapInPandas(_places(by_key, True), place).join(F.broadcast(rest), "skey")
                .withColumn("before", F.expr("sum(words) OVER (PARTITION BY skey ORDER BY place) - words")).where("before < rest AND words > 0")
