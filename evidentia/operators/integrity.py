@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -114,7 +115,10 @@ def term_leaks(texts: DataFrame, terms: DataFrame, index: phrases.Phrases | None
 
 def pattern_hits(text: Column, patterns: Sequence[str]) -> Column:
     """The patterns that occur in a text, in list order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(p)) for p in patterns]))
+    def holds(p: str) -> Column:
+        return F.contains(text, F.lit(p)) if re.fullmatch(r"[\w ]+", p) else text.rlike(p)  # a plain text needs no pattern
+
+    return F.array_compact(F.array(*[F.when(holds(p), F.lit(p)) for p in patterns]))
 
 
 def literal_hits(text: Column, tokens: Sequence[str]) -> Column:

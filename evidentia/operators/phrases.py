@@ -131,9 +131,11 @@ def holding(index: Phrases, terms: DataFrame) -> DataFrame:
     return exact
 
 
-def identifier_sets(files: DataFrame, pattern: str, min_chars: int = 1) -> DataFrame:
-    """(identifier, file, files): the distinct identifiers of a corpus, each with its first file and in how many files it stands."""
+def identifier_sets(files: DataFrame, pattern: str, min_chars: int = 1, only: DataFrame | None = None) -> DataFrame:
+    """(identifier, file, files): the distinct identifiers of a corpus, each with its first file and in how many files it stands; ``only`` (identifier) are those asked for."""
     each = files.select("repo", "file", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 0))).alias("identifier"))
+    if only is not None:
+        each = each.join(broadcast_if_small(only), "identifier", "left_semi")
     name = F.concat_ws("/", "repo", "file")
     return (each.where(F.length("identifier") >= min_chars).groupBy("identifier")
             .agg(F.min(name).alias("file"), F.count(F.lit(1)).alias("files")))
@@ -142,10 +144,12 @@ def identifier_sets(files: DataFrame, pattern: str, min_chars: int = 1) -> DataF
 def copied_identifiers(fresh: DataFrame, known: DataFrame, pattern: str, min_chars: int = 1, allowed: DataFrame | None = None) -> DataFrame:
     """(identifier, fresh_file, fresh_files, known_file, known_files): identifiers that stand in both corpora.
 
-    Each corpus is reduced to its distinct identifiers before the two meet; ``allowed`` (identifier)
-    are words that both may use, such as those of a language or a framework.
+    The known corpus is reduced to its distinct identifiers, and only those of the fresh one are sorted by
+    identifier that are among them; ``allowed`` (identifier) are words that both may use, such as those of a
+    language or a framework.
     """
-    a, b = (identifier_sets(df, pattern, min_chars) for df in (fresh, known))
+    b = materialize(identifier_sets(known, pattern, min_chars), "known-identifiers")
+    a = identifier_sets(fresh, pattern, min_chars, b.select("identifier"))
     both = a.select("identifier", F.col("file").alias("fresh_file"), F.col("files").alias("fresh_files")).join(
         b.select("identifier", F.col("file").alias("known_file"), F.col("files").alias("known_files")), "identifier")
     return both if allowed is None else both.join(allowed.select("identifier").distinct(), "identifier", "left_anti")
